@@ -18,7 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fx_lines(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return fx_lines_of(table(spark, sf, "documents"))
+
+
+def fx_lines_of(documents: DataFrame) -> DataFrame:
+    return documents.select(
         "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_seq", "line_text"))
 
 
@@ -41,8 +45,12 @@ _ORIGIN = f"if(lop = 0 and doc_id % 8 = 0, 50.0D, 120.0D + lop * {_GAP})"
 
 
 def fx_spans(spark, sf) -> DataFrame:
+    return fx_spans_of(table(spark, sf, "documents"))
+
+
+def fx_spans_of(documents: DataFrame) -> DataFrame:
     """One row per 40 characters of a line, and one footer row per page."""
-    lines = fx_lines(spark, sf).selectExpr(
+    lines = fx_lines_of(documents).selectExpr(
         "doc_id", "line_seq", "line_text", f"cast(floor(line_seq / {LINES_PER_PAGE}) as int) page_no",
         f"line_seq % {LINES_PER_PAGE} lop")
     chunks = lines.filter("length(line_text) > 0").selectExpr(
@@ -57,7 +65,7 @@ def fx_spans(spark, sf) -> DataFrame:
         f"if(hd, 'STATEMENT OF THE CASE', substring(line_text, {CHUNK} * s + 1, {CHUNK})) text",
         "if(doc_id % 5 <> 4, 'Times', 'Arial') font", f"{_size()} size", f"{_FLAGS} flags",
         "origin_y")
-    footers = page_numbers(spark, sf).filter("doc_id % 5 <> 0").selectExpr(
+    footers = page_numbers_of(documents).filter("doc_id % 5 <> 0").selectExpr(
         "doc_id", "page_no", f"{_page_width('page_no')} width_pt", "792.0D height_pt",
         "9 block_no", "0 block_type", "300.0D bx0", "748.0D by0", "312.0D bx1", "763.0D by1",
         "0 line_no", "0 span_no",
@@ -66,8 +74,8 @@ def fx_spans(spark, sf) -> DataFrame:
     return text_rows.unionByName(footers)
 
 
-def page_numbers(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select(
+def page_numbers_of(documents: DataFrame) -> DataFrame:
+    return documents.select(
         "doc_id", F.size(F.split("text", "\n", -1)).alias("n")).selectExpr(
         "doc_id", f"explode(sequence(0, cast(floor((n - 1) / {LINES_PER_PAGE}) as int))) page_no")
 
@@ -83,7 +91,11 @@ def _paged(df: DataFrame, text: str) -> DataFrame:
 
 
 def fx_pages(spark, sf) -> DataFrame:
-    return _paged(table(spark, sf, "documents"), "text").selectExpr(
+    return fx_pages_of(table(spark, sf, "documents"))
+
+
+def fx_pages_of(documents: DataFrame) -> DataFrame:
+    return _paged(documents, "text").selectExpr(
         "doc_id", "page_no", f"{_page_width('page_no')} width_pt", "792.0D height_pt",
         "if(doc_id % 20 = 0 and page_no = 2, concat('Addendum\\n', text), text) text")
 
@@ -159,6 +171,10 @@ DECORATIONS = [
 
 
 def fx_docs(spark, sf) -> DataFrame:
+    return fx_docs_of(table(spark, sf, "documents"))
+
+
+def fx_docs_of(documents: DataFrame) -> DataFrame:
     cover = F.element_at(F.array(*[F.lit(c) for c in COVERS]),
                          (F.col("doc_id") % len(COVERS) + 1).cast("int"))
     cover = F.concat(cover, F.when(F.col("doc_id") % 3 == 0, " oral argument requested")
@@ -167,7 +183,7 @@ def fx_docs(spark, sf) -> DataFrame:
         F.lit("".join("\n" + line for line in lines)), F.lit("{x}"),
         F.expr("repeat('x', cast(doc_id % 400 as int))"))).otherwise("")
         for cond, lines in DECORATIONS]
-    return table(spark, sf, "documents").select(
+    return documents.select(
         "doc_id", F.concat(F.lit("doc-"), F.col("doc_id"), F.lit(".pdf")).alias("path"),
         cover.alias("cover_text"), F.concat("text", *extra).alias("full_text"))
 
