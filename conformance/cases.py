@@ -85,7 +85,8 @@ def src_1(spark, sf):
     return readers.candidate_filings(files, small).select("doc_id", "file_name", "content_hash")
 
 
-@case("SRC-2", """SELECT doc_id, page_no, block_no, line_no, span_no, text, font, size, flags,
+@case("SRC-2", """SELECT doc_id, page_no,
+    dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY block_no) - 1 AS block_no, line_no, span_no, text, font, size, flags,
     origin_y, bx0, by1 FROM fx_spans""")
 def src_2(spark, sf):
     return layout.flatten_layout(V.fx_layout(spark, sf)).select(

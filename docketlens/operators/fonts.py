@@ -107,19 +107,47 @@ def first_seen_mode(df: DataFrame, keys: list[str], value: str, weight: str = "s
         F.min_by(value, F.struct((-F.col("n")).alias("rank"), "first")).alias(out or value))
 
 
+def doc_font_facts(histogram: DataFrame) -> DataFrame:
+    """Font and style facts of each document, all from one pass.
+
+    Each histogram row votes for its size, its font and, after the cover, its
+    style.  The votes are counted together, ties going to the value met first.
+    """
+    votes = F.expr("""explode(array(
+        struct('size' as kind, string(round(size, 1)) as value, size > 0 as counts),
+        struct('font' as kind, font as value, font <> '' as counts),
+        struct('style' as kind, style as value, page_no > 0 as counts))) as vote""")
+    counted = histogram.select("doc_id", "size", "spans", "first_seen", votes).filter(
+        "vote.counts").groupBy("doc_id", "vote.kind", "vote.value").agg(
+        F.sum("spans").alias("n"), F.min("first_seen").alias("first"),
+        F.min(F.when(F.col("size") > 0, F.col("size"))).alias("smallest"))
+    winner = "min_by(value, struct(-n, first)) filter (where kind = '{}')"
+    spans_of = "coalesce(sum(n) filter (where kind = 'style' and value = '{}'), 0L)"
+    return counted.groupBy("doc_id").agg(
+        F.expr(f"double({winner.format('size')})").alias("predominant_font_size"),
+        F.expr(winner.format("font")).alias("predominant_font"),
+        F.min("smallest").alias("min_font_size"),
+        F.expr(winner.format("style")).alias("dominant_style"),
+        F.expr("sum(n) filter (where kind = 'style')").alias("style_spans"),
+        *[F.expr(spans_of.format(style)).alias(name) for style, name in (
+            ("roman", "roman_spans"), ("italic", "italic_spans"), ("bold", "bold_spans"),
+            ("bold-italic", "bold_italic_spans"))],
+    ).withColumn("roman_share", F.col("roman_spans") / F.col("style_spans"))
+
+
 def doc_font_stats(histogram: DataFrame) -> DataFrame:
     """AGG-3: predominant size and font (by number of spans) and smallest size."""
-    size10 = histogram.withColumn("size10", F.round("size", 1))
-    sizes = first_seen_mode(size10.filter("size > 0"), ["doc_id"], "size10",
-                            out="predominant_font_size")
-    names = first_seen_mode(histogram.filter("font <> ''"), ["doc_id"], "font",
-                            out="predominant_font")
-    smallest = histogram.groupBy("doc_id").agg(
-        F.min(F.when(F.col("size") > 0, F.col("size"))).alias("min_font_size"))
-    return smallest.join(sizes, "doc_id", "left").join(names, "doc_id", "left").select(
+    return doc_font_facts(histogram).select(
         "doc_id", "predominant_font_size", "predominant_font", "min_font_size")
 
 
+def style_mix(histogram: DataFrame) -> DataFrame:
+    """AGG-11: spans per style on body pages and the most common style."""
+    return doc_font_facts(histogram).filter("style_spans > 0").select(
+        "doc_id", "style_spans", "roman_spans", "italic_spans", "bold_spans",
+        "bold_italic_spans", "dominant_style", "roman_share")
+
+
 def page_font_counts(histogram: DataFrame, doc_stats: DataFrame,
                      th: R.Thresholds = R.DEFAULTS) -> DataFrame:
     """AGG-8: characters per page, in all and undersized by class."""
@@ -166,17 +194,32 @@ def reclassify_small_caps(counts: DataFrame, pages: DataFrame,
     return move_small_caps(joined, th).drop("conventional")
 
 
-def style_mix(histogram: DataFrame) -> DataFrame:
-    """AGG-11: spans per style on body pages and the most common style."""
-    body = histogram.filter("page_no > 0")
-
-    def spans_of(style: str, name: str) -> Column:
-        return F.sum(F.when(F.col("style") == style, F.col("spans")).otherwise(0)).alias(name)
-
-    mix = body.groupBy("doc_id").agg(
-        F.sum("spans").alias("style_spans"), spans_of("roman", "roman_spans"),
-        spans_of("italic", "italic_spans"), spans_of("bold", "bold_spans"),
-        spans_of("bold-italic", "bold_italic_spans"))
-    dominant = first_seen_mode(body, ["doc_id"], "style", out="dominant_style")
-    return mix.join(dominant, "doc_id").withColumn(
-        "roman_share", F.col("roman_spans") / F.col("style_spans"))
+def page_runs(histogram: DataFrame) -> DataFrame:
+    """The histogram as one row per page; a page has few distinct kinds of spans."""
+    return histogram.groupBy(*PAGE).agg(F.collect_list(F.struct(
+        "font", "size", "style", "position_class", "spans", "chars", "first_seen")).alias("runs"))
+
+
+def unfold_runs(runs: DataFrame) -> DataFrame:
+    return runs.select(*PAGE, F.inline("runs"))
+
+
+def run_count_columns(th: R.Thresholds = R.DEFAULTS) -> dict[str, Column]:
+    """AGG-8 over the ``runs`` of a page row that knows the document's body size."""
+    small = f"r.size < {th.small_font_limit!r}D"
+    caps = (f"r.position_class = 'capitals' and predominant_font_size > 0 and "
+            f"r.size / predominant_font_size between {th.small_caps_ratio_low!r}D "
+            f"and {th.small_caps_ratio_high!r}D")
+
+    def chars(condition: str) -> Column:
+        return F.expr(f"aggregate(filter(runs, r -> {condition}), 0L, (n, r) -> n + r.chars)")
+
+    return {
+        "total_chars": chars("true"),
+        "body_chars": chars(f"{small} and (r.position_class = 'body' or "
+                            f"(r.position_class = 'capitals' and not ({caps})))"),
+        "header_footer_chars": chars(f"{small} and r.position_class = 'header_footer'"),
+        "superscript_chars": chars(f"{small} and r.position_class = 'superscript'"),
+        "small_caps_chars": chars(f"{small} and {caps}"),
+        "min_small_size": F.expr(f"array_min(transform(filter(runs, r -> {small}), r -> r.size))"),
+    }

@@ -94,112 +94,27 @@ def in_bottom_zone(th: R.Thresholds = R.DEFAULTS) -> Column:
     return F.col("by0") >= F.col("height_pt") * th.bottom_zone_share
 
 
-def bottom_blocks(spans: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
-    """Text blocks of the bottom zone, with their text if it is a page number.
-
-    A block can only be a page number when each of its spans consists of
-    numeral characters, so no other text enters the shuffle.  Blocks of this
-    zone are few: about one per page.
-    """
-    zone = span_features(spans).filter(in_bottom_zone(th)).select(
-        *PAGE, "block_no", "bx0", "by0", "bx1", "by1", "line_no", "span_no", "numeral")
-    pieces = F.array_sort(F.collect_list(
-        F.when(F.col("numeral").isNotNull(), F.struct("line_no", "span_no", "numeral"))))
-    blocks = zone.repartition(*PAGE).groupBy(*PAGE, "block_no").agg(
-        F.min("bx0").alias("bx0"), F.min("by0").alias("by0"),
-        F.max("bx1").alias("bx1"), F.max("by1").alias("by1"),
-        F.max(F.col("numeral").isNull()).alias("other"),
-        F.array_join(F.transform(pieces, lambda s: s["numeral"]), "").alias("joined"))
-    label = X.strip(F.col("joined"))
-    is_number = ~F.col("other") & (
-        X.matches(label, R.PAGE_NUMBER_DIGITS, "") | X.matches(label, R.PAGE_NUMBER_ROMAN, "i"))
-    return blocks.select(
-        *PAGE, "block_no", "bx0", "by0", "bx1", "by1",
-        is_number.alias("is_page_number"), F.when(is_number, label).alias("page_number_text"))
-
-
-def page_number_blocks(spans: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
-    """PRJ-8: the first page-number block of each page that has one."""
-    return (
-        bottom_blocks(spans, th).filter("is_page_number").groupBy(*PAGE)
-        .agg(F.min_by("page_number_text", "block_no").alias("page_number_text"))
-        .withColumn("has_page_number", F.lit(True))
-    )
-
-
-def box_columns(keep: Column, prefix: str) -> list[Column]:
-    """Extent of the blocks for which ``keep`` holds.
-
-    Minimum and maximum need no distinct blocks: rows of one block repeat its box.
-    """
-    return [F.min(F.when(keep, F.col("bx0"))).alias(f"{prefix}x0"),
-            F.min(F.when(keep, F.col("by0"))).alias(f"{prefix}y0"),
-            F.max(F.when(keep, F.col("bx1"))).alias(f"{prefix}x1"),
-            F.max(F.when(keep, F.col("by1"))).alias(f"{prefix}y1")]
-
-
-def bottom_facts(spans: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
-    """Per page: its page number and the extent of the other bottom blocks."""
-    return bottom_blocks(spans, th).groupBy(*PAGE).agg(
-        F.min_by("page_number_text", F.when(F.col("is_page_number"), F.col("block_no")))
-        .alias("page_number_text"),
-        F.max("is_page_number").alias("has_page_number"),
-        *box_columns(~F.col("is_page_number"), "low_"))
-
-
-def upper_box(spans: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
-    """Per page: extent of the text blocks above the bottom zone."""
-    return span_features(spans).filter(~in_bottom_zone(th)).groupBy(*PAGE).agg(
-        *box_columns(F.lit(True), "up_"))
-
-
-def margin_columns() -> list[Column]:
-    """Margins in inches from both extents; full page size without any box.
-
-    Only blocks that are not page numbers count, for all four sides.
-    """
-    w, h = F.col("width_pt"), F.col("height_pt")
-    x0 = F.least("up_x0", "low_x0", w)
-    y0 = F.least("up_y0", "low_y0", h)
-    x1 = F.greatest("up_x1", "low_x1", F.lit(0.0))
-    y1 = F.greatest("up_y1", "low_y1", F.lit(0.0))
-    usable = (x1 > x0) & (y1 > y0)
-
-    def margin(inner: Column, full: Column, name: str) -> Column:
-        return F.when(usable, inner / 72.0).otherwise(full / 72.0).alias(name)
-
-    return [
-        margin(x0, w, "left_in"), margin(w - x1, w, "right_in"),
-        margin(y0, h, "top_in"), margin(h - y1, h, "bottom_in"),
-    ]
-
-
-def page_margins(spans: DataFrame, pages: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
-    """AGG-1: the four margins of every page."""
-    return (
-        pages.select(*PAGE, "width_pt", "height_pt")
-        .join(upper_box(spans, th), PAGE, "left")
-        .join(bottom_facts(spans, th), PAGE, "left")
-        .select(*PAGE, *margin_columns())
-    )
-
-
 def line_rows(spans: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
     """One row per line of a text block, all lines of a page in one partition.
 
     ``y`` is the highest visible baseline, null if nothing is visible.  The
-    shuffle key is the page, the finest grain that holds a chain of lines.
+    shuffle key is the page, the finest grain that holds a chain of lines, and
+    the rows are fixed-width but for the few numerals of the bottom zone: only
+    there can a page number stand.
     """
-    upper = ~in_bottom_zone(th)
+    bottom = in_bottom_zone(th)
+    numeral = F.when(bottom, F.struct("span_no", "numeral"))
     return (
         span_features(spans)
         .select(*PAGE, "block_no", F.coalesce("line_no", F.lit(-1)).alias("line_no"),
                 F.when(F.col("visible"), F.col("origin_y")).alias("y"),
-                *[F.when(upper, F.col(c)).alias(c) for c in ("bx0", "by0", "bx1", "by1")])
+                "bx0", "by0", "bx1", "by1", bottom.alias("bottom"), numeral.alias("piece"))
         .repartition(*PAGE)
         .groupBy(*PAGE, "block_no", "line_no")
-        .agg(F.min("y").alias("y"), *[F.min(c).alias(c) for c in ("bx0", "by0")],
-             *[F.max(c).alias(c) for c in ("bx1", "by1")])
+        .agg(F.min("y").alias("y"), F.min("bx0").alias("bx0"), F.min("by0").alias("by0"),
+             F.max("bx1").alias("bx1"), F.max("by1").alias("by1"),
+             F.max("bottom").alias("bottom"),
+             F.array_sort(F.collect_list("piece")).alias("pieces"))
     )
 
 
@@ -221,10 +136,84 @@ def baseline_gaps(spans: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
         F.col("gap").isNotNull()).select(*PAGE, "block_no", "line_no", "gap")
 
 
+def block_rows(spans: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
+    """Text blocks with their box, their gaps and their page number, if they are one.
+
+    A block of the bottom zone is a page number when its whole text reads as a
+    number.  Pages stay where ``line_rows`` put them.
+    """
+    lines = line_rows(spans, th).withColumn("gap", line_gap(th))
+    pieces = F.flatten(F.transform(
+        F.array_sort(F.collect_list(F.when(F.col("bottom"), F.struct("line_no", "pieces")))),
+        lambda line: line["pieces"]))
+    blocks = lines.groupBy(*PAGE, "block_no").agg(
+        F.min("bx0").alias("bx0"), F.min("by0").alias("by0"),
+        F.max("bx1").alias("bx1"), F.max("by1").alias("by1"),
+        F.collect_list("gap").alias("gaps"), pieces.alias("pieces"))
+    whole = (F.size("pieces") > 0) & ~F.exists("pieces", lambda p: p["numeral"].isNull())
+    label = F.when(whole, X.strip(F.array_join(
+        F.transform("pieces", lambda p: p["numeral"]), "")))
+    is_number = X.matches(F.col("label"), R.PAGE_NUMBER_DIGITS, "") | X.matches(
+        F.col("label"), R.PAGE_NUMBER_ROMAN, "i")
+    return blocks.withColumn("label", label).select(
+        *PAGE, "block_no", "bx0", "by0", "bx1", "by1", "gaps",
+        F.when(is_number, F.col("label")).alias("page_number_text"))
+
+
+def page_number_blocks(spans: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
+    """PRJ-8: the first page-number block of each page that has one."""
+    numbers = block_rows(spans, th).filter(F.col("page_number_text").isNotNull())
+    return numbers.groupBy(*PAGE).agg(
+        F.min_by("page_number_text", "block_no").alias("page_number_text")
+    ).withColumn("has_page_number", F.lit(True))
+
+
+def box_columns() -> list[Column]:
+    """Extent of the blocks of a page that are not page numbers."""
+    def side(column: str) -> Column:
+        return F.when(F.col("page_number_text").isNull(), F.col(column))
+
+    return [F.min(side("bx0")).alias("min_x"), F.min(side("by0")).alias("min_y"),
+            F.max(side("bx1")).alias("max_x"), F.max(side("by1")).alias("max_y")]
+
+
+def margin_columns() -> list[Column]:
+    """Margins in inches from the extent of the text; page size without text."""
+    def margin(inner: str, full: str, name: str) -> Column:
+        return F.expr(
+            f"if(greatest(max_x, 0D) > least(min_x, width_pt) and "
+            f"greatest(max_y, 0D) > least(min_y, height_pt), {inner}, {full}) / 72D").alias(name)
+
+    return [
+        margin("least(min_x, width_pt)", "width_pt", "left_in"),
+        margin("width_pt - greatest(max_x, 0D)", "width_pt", "right_in"),
+        margin("least(min_y, height_pt)", "height_pt", "top_in"),
+        margin("height_pt - greatest(max_y, 0D)", "height_pt", "bottom_in"),
+    ]
+
+
+def page_margins(spans: DataFrame, pages: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
+    """AGG-1: the four margins of every page; page numbers count for none of them."""
+    boxes = block_rows(spans, th).groupBy(*PAGE).agg(*box_columns())
+    return pages.select(*PAGE, "width_pt", "height_pt").join(boxes, PAGE, "left").select(
+        *PAGE, *margin_columns())
+
+
 def page_line_spacing(spans: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
     """AGG-2: exact median gap of each page that has one."""
-    return baseline_gaps(spans, th).groupBy(*PAGE).agg(
-        F.median("gap").alias("line_spacing"))
+    return baseline_gaps(spans, th).groupBy(*PAGE).agg(F.median("gap").alias("line_spacing"))
+
+
+def page_block_facts(spans: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
+    """Per page: extent, page number and median gap, from one pass over its lines."""
+    gaps = F.array_sort(F.flatten(F.collect_list("gaps")))
+    return block_rows(spans, th).groupBy(*PAGE).agg(
+        *box_columns(), gaps.alias("gaps"),
+        F.min_by("page_number_text", F.when(F.col("page_number_text").isNotNull(),
+                                            F.col("block_no"))).alias("page_number_text")
+    ).withColumn("line_spacing", F.expr(
+        "if(size(gaps) > 0, (gaps[int((size(gaps) - 1) / 2)] + gaps[int(size(gaps) / 2)]) / 2, null)"
+    )).drop("gaps")
 
 
 def page_text_facts(pages: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
@@ -246,26 +235,18 @@ def conventional_page() -> Column:
         F.col("text"), R.SMALL_CAPS_PAGE_PATTERNS, "i")
 
 
-def line_facts(spans: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
-    """Per page: median baseline gap and upper extent, from one pass over lines."""
-    return line_rows(spans, th).withColumn("gap", line_gap(th)).groupBy(*PAGE).agg(
-        F.median("gap").alias("line_spacing"), *box_columns(F.lit(True), "up_"))
-
-
 def page_facts(spans: DataFrame, pages: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
     """All geometry facts of a page in one row.
 
-    Three inputs meet on the page key, each shuffled once and already narrow:
-    page text facts, line facts, bottom-zone facts.
+    Text facts and block facts meet on the page key, each shuffled once and
+    already narrow.
     """
     return (
         page_text_facts(pages, th)
-        .join(line_facts(spans, th), PAGE, "left")
-        .join(bottom_facts(spans, th), PAGE, "left")
+        .join(page_block_facts(spans, th), PAGE, "left")
         .select(
             *PAGE, (F.col("width_pt") / 72.0).alias("width_in"),
             (F.col("height_pt") / 72.0).alias("height_in"), *margin_columns(),
-            "line_spacing", F.coalesce("has_page_number", F.lit(False)).alias("has_page_number"),
-            "page_number_text", "has_text", "max_line_chars", "conventional",
+            "line_spacing", "page_number_text", "has_text", "max_line_chars", "conventional",
             "has_addendum_line")
     )

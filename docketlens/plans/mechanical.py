@@ -17,6 +17,13 @@ from docketlens.operators import citations, documents, fonts, layout
 from docketlens.operators.layout import PAGE
 from docketlens.plans.stages import Stage, inline
 
+# Page rows of one document meet its font facts in this many tasks at least.
+SALTS = 8
+
+_FONT_FACTS = ["predominant_font_size", "predominant_font", "min_font_size", "dominant_style",
+               "style_spans", "roman_spans", "italic_spans", "bold_spans", "bold_italic_spans",
+               "roman_share"]
+
 
 def text_facts(docs: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
     """Facts of the document text; one pass, no shuffle, text left behind."""
@@ -34,29 +41,41 @@ def text_facts(docs: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
     return citations.with_missing_citations(facts, "full_text", th)
 
 
-def page_rows(spans: DataFrame, pages: DataFrame, histogram: DataFrame, doc_stats: DataFrame,
-              th: R.Thresholds = R.DEFAULTS) -> DataFrame:
-    """One row per page: geometry, text and font facts."""
-    counts = fonts.page_font_counts(histogram, doc_stats, th)
-    rows = layout.page_facts(spans, pages, th).join(counts, PAGE, "left")
-    return fonts.move_small_caps(rows, th)
+def page_rows(spans: DataFrame, pages: DataFrame, th: R.Thresholds = R.DEFAULTS,
+              stage: Stage = inline) -> DataFrame:
+    """One row per page: geometry, text and font facts.
+
+    Whether small capitals are small depends on the document's body size, so
+    page rows join the font facts of their document.  That join is salted: a
+    document with very many pages is spread over ``SALTS`` keys.
+    """
+    runs = stage("page_runs", fonts.page_runs(fonts.font_histogram(spans, th)))
+    font_facts = fonts.doc_font_facts(fonts.unfold_runs(runs)).select(
+        "doc_id", *_FONT_FACTS, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = (
+        layout.page_facts(spans, pages, th).join(runs, PAGE, "left")
+        .withColumn("salt", F.pmod("page_no", F.lit(SALTS)))
+        .join(font_facts, ["doc_id", "salt"], "left")
+        .withColumns(fonts.run_count_columns(th))
+    )
+    return fonts.move_small_caps(rows, th).drop("runs", "salt")
 
 
-def _page_conditions(th: R.Thresholds) -> dict[str, Column]:
+def _page_conditions(th: R.Thresholds) -> dict[str, str]:
     """Predicates on a page row: what makes the page count against a check."""
-    width = F.col("width_in") - F.col("left_in") - F.col("right_in")
     tolerance = th.margin_tolerance_in
+    width = "(width_in - left_in - right_in)"
     return {
-        "FMT-001": (F.abs(F.col("width_in") - th.paper_width_in) > th.paper_tolerance_in)
-        | (F.abs(F.col("height_in") - th.paper_height_in) > th.paper_tolerance_in),
-        "FMT-002": F.col("left_in") < th.min_left_in - tolerance,
-        "FMT-003": F.col("right_in") < th.min_right_in - tolerance,
-        "FMT-004": F.col("top_in") < th.min_top_in - tolerance,
-        "FMT-005": F.col("bottom_in") < th.min_bottom_in - tolerance,
-        "FMT-006": F.col("total_chars").isNotNull(),
-        "FMT-007": (F.col("page_no") > 0) & (width > 0)
-        & (F.col("max_line_chars") / width > th.max_chars_per_inch),
-        "FMT-011": ~F.col("has_page_number") & F.col("has_text"),
+        "FMT-001": f"abs(width_in - {th.paper_width_in}D) > {th.paper_tolerance_in}D "
+                   f"or abs(height_in - {th.paper_height_in}D) > {th.paper_tolerance_in}D",
+        "FMT-002": f"left_in < {th.min_left_in - tolerance!r}D",
+        "FMT-003": f"right_in < {th.min_right_in - tolerance!r}D",
+        "FMT-004": f"top_in < {th.min_top_in - tolerance!r}D",
+        "FMT-005": f"bottom_in < {th.min_bottom_in - tolerance!r}D",
+        "FMT-006": "body_chars + header_footer_chars + superscript_chars + small_caps_chars > 0",
+        "FMT-007": f"page_no > 0 and {width} > 0 "
+                   f"and max_line_chars / {width} > {th.max_chars_per_inch}",
+        "FMT-011": "page_number_text is null and has_text",
     }
 
 
@@ -67,27 +86,29 @@ def _key(check_id: str) -> str:
 def document_rows(page_rows_: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
     """One row per document with pages: every page-level fact the checks need."""
     bad = _page_conditions(th)
-    cover = F.col("page_no") == 0
-    body_spacing = F.when(F.col("page_no") > 0, F.col("line_spacing"))
-    issue = F.struct(
-        (F.col("page_no") + 1).cast("int").alias("page"), "total_chars", "body_chars",
-        "header_footer_chars", "superscript_chars", "small_caps_chars")
+    page = "int(page_no + 1)"
+    columns = {f"bad_{_key(cid)}": f"array_sort(collect_list(if({cond}, {page}, null)))"
+               for cid, cond in bad.items()}
+    for side, cid in (("left", "FMT-002"), ("right", "FMT-003"), ("top", "FMT-004"),
+                      ("bottom", "FMT-005")):
+        columns[f"min_{side}"] = f"min(if({bad[cid]}, {side}_in, null))"
+    columns |= {
+        "cover_size": "max(if(page_no = 0, struct(width_in, height_in), null))",
+        "cover_number": "max(if(page_no = 0, page_number_text, null))",
+        "median_spacing": "median(line_spacing)",
+        "body_spacing": "median(if(page_no > 0, line_spacing, null))",
+        "body_small_chars": "sum(body_chars)",
+        "caps_small_chars": "sum(small_caps_chars)",
+        "worst_page_body_chars": "max(body_chars)",
+        "smallest_pt": "min(min_small_size)",
+        "font_issues": f"array_sort(collect_list(if({bad['FMT-006']}, struct({page} as page, "
+                       "total_chars, body_chars, header_footer_chars, superscript_chars, "
+                       "small_caps_chars), null)))",
+    }
+    columns |= {name: f"max({name})" for name in _FONT_FACTS}
     return page_rows_.groupBy("doc_id").agg(
         *documents.page_counts(F.col("has_addendum_line")),
-        *[documents.bad_page_list(cond).alias(f"bad_{_key(cid)}") for cid, cond in bad.items()],
-        F.min(F.when(bad["FMT-002"], F.col("left_in"))).alias("min_left"),
-        F.min(F.when(bad["FMT-003"], F.col("right_in"))).alias("min_right"),
-        F.min(F.when(bad["FMT-004"], F.col("top_in"))).alias("min_top"),
-        F.min(F.when(bad["FMT-005"], F.col("bottom_in"))).alias("min_bottom"),
-        F.max(F.when(cover, F.struct("width_in", "height_in"))).alias("cover_size"),
-        F.max(F.when(cover, F.col("page_number_text"))).alias("cover_number"),
-        F.median("line_spacing").alias("median_spacing"),
-        F.median(body_spacing).alias("body_spacing"),
-        F.sum("body_chars").alias("body_small_chars"),
-        F.sum("small_caps_chars").alias("caps_small_chars"),
-        F.max("body_chars").alias("worst_page_body_chars"),
-        F.min("min_small_size").alias("smallest_pt"),
-        F.array_sort(F.collect_list(F.when(bad["FMT-006"], issue))).alias("font_issues"))
+        *[F.expr(f"{sql} as {name}") for name, sql in columns.items()])
 
 
 def document_facts(docs: DataFrame, pages: DataFrame, spans: DataFrame,
@@ -96,312 +117,288 @@ def document_facts(docs: DataFrame, pages: DataFrame, spans: DataFrame,
     if "brief_type" not in docs.columns:
         docs = documents.classify(docs)
     features = stage("span_features", layout.span_features(spans))
-    histogram = stage("font_histogram", fonts.font_histogram(features, th))
-    stats = fonts.doc_font_stats(histogram)
-    rows = page_rows(features, pages, histogram, stats, th)
-    facts = (
-        text_facts(docs, th)
-        .join(document_rows(rows, th), "doc_id", "left")
-        .join(fonts.style_mix(histogram), "doc_id", "left")
-        .join(stats, "doc_id", "left")
-    )
+    facts = text_facts(docs, th).join(
+        document_rows(page_rows(features, pages, th, stage), th), "doc_id", "left")
     facts = documents.with_cover_color(documents.with_page_limit(facts))
-    return facts.withColumn(
-        "has_double_spacing", F.coalesce(
-            F.col("median_spacing") >= th.min_double_space_pt, F.lit(True))
-    ).withColumns({name: F.coalesce(name, F.lit(0).cast("long"))
-                   for name in ("total_pages", "body_pages")})
+    return facts.withColumns({
+        "has_double_spacing": F.expr(
+            f"coalesce(median_spacing >= {th.min_double_space_pt}D, true)"),
+        "total_pages": F.expr("coalesce(total_pages, 0L)"),
+        "body_pages": F.expr("coalesce(body_pages, 0L)"),
+    })
 
 
 # --------------------------------------------------------------------------
-# Result rows
+# Result rows.  Each check is one SQL struct over the facts of a document.
 # --------------------------------------------------------------------------
 
-def _result(check_id, name, rule, passed: Column, severity, message: Column,
-            details: Column | None = None, applicable: Column | None = None,
-            pages: Column | None = None) -> Column:
-    def col(value):
-        return value if isinstance(value, Column) else F.lit(value)
+_NO_PAGES = "cast(array() as array<int>)"
+_FIXED = {row[0]: row for row in R.MECHANICAL_CHECKS}
+
+
+def _text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+def _fill(template: str, *values: str) -> str:
+    """``format_string`` over a literal template."""
+    return f"format_string({_text(template)}, {', '.join(values)})"
+
+
+def _pages(column: str, n: int = R.DEFAULTS.page_list_max) -> str:
+    """A page list as shown to readers: the first ``n``, then how many more."""
+    return (f"concat(array_join(slice({column}, 1, {n}), ', '), if(size({column}) > {n}, "
+            f"concat(' (and ', size({column}) - {n}, ' more)'), ''))")
+
 
-    return F.struct(
-        col(check_id).alias("check_id"), col(name).alias("name"), col(rule).alias("rule"),
-        F.coalesce(passed, F.lit(True)).alias("passed"), col(severity).alias("severity"),
-        (F.lit(True) if applicable is None else applicable).alias("applicable"),
-        message.alias("message"),
-        (F.lit(None) if details is None else details).cast("string").alias("details"),
-        (F.lit(None) if pages is None else pages).cast("array<int>").alias("pages"))
+def _result(key: str, passed: str, message: str, details: str = "null", /,
+            applicable: str = "true", pages: str = "null", **fixed: str) -> str:
+    """One result; id, name, rule and severity come from the table unless given."""
+    _, name, rule, severity = _FIXED.get(key, (key, "", "", ""))
+    head = {"check_id": _text(key), "name": _text(name), "rule": _text(rule),
+            "severity": _text(severity)} | fixed
+    return (
+        f"named_struct('check_id', {head['check_id']}, 'name', {head['name']}, "
+        f"'rule', {head['rule']}, 'passed', coalesce({passed}, true), "
+        f"'severity', {head['severity']}, 'applicable', {applicable}, 'message', {message}, "
+        f"'details', cast({details} as string), 'pages', cast({pages} as array<int>))")
 
 
-def _fixed(check_id: str) -> tuple[str, str, str, str]:
-    return next(row for row in R.MECHANICAL_CHECKS if row[0] == check_id)
+def _case(*branches: tuple[str, str], otherwise: str = "null") -> str:
+    return "case " + " ".join(f"when {c} then {v}" for c, v in branches) + f" else {otherwise} end"
 
 
-def _paper(th: R.Thresholds) -> Column:
-    bad = F.col("bad_fmt_001")
-    none = F.col("total_pages") == 0
-    ok = ~none & (F.size(bad) == 0)
+def _paper(th: R.Thresholds) -> str:
+    none, ok = "total_pages = 0", "total_pages > 0 and size(bad_fmt_001) = 0"
+    bad = "total_pages > 0 and size(bad_fmt_001) > 0"
     return _result(
-        *_fixed("FMT-001")[:3], ok, "reject",
-        F.when(none, "No pages found in PDF.").when(ok, 'All pages are 8.5" x 11".').otherwise(
-            F.format_string('Pages not 8.5" x 11": %s.', X.page_list(bad))),
-        F.when(~none & ~ok, F.format_string(
-            'Expected 8.5" x 11.0". Page 1 is %.2f" x %.2f".',
-            F.col("cover_size.width_in"), F.col("cover_size.height_in"))),
-        pages=F.when(~none & ~ok, bad))
-
-
-def _margin(check_id: str, side: str, required: str) -> Column:
-    _, name, rule, severity = _fixed(check_id)
-    bad = F.coalesce(f"bad_{_key(check_id)}", F.array().cast("array<int>"))
-    ok = F.size(bad) == 0
+        "FMT-001", ok,
+        _case((none, _text("No pages found in PDF.")), (ok, _text('All pages are 8.5" x 11".')),
+              otherwise=_fill('Pages not 8.5" x 11": %s.', _pages("bad_fmt_001"))),
+        _case((bad, _fill(
+            f'Expected {th.paper_width_in}" x {th.paper_height_in}". '
+            'Page 1 is %.2f" x %.2f".', "cover_size.width_in", "cover_size.height_in"))),
+        pages=_case((bad, "bad_fmt_001")))
+
+
+def _margin(check_id: str, side: str, required: str) -> str:
+    name = _FIXED[check_id][1]
+    bad = f"coalesce(bad_{_key(check_id)}, {_NO_PAGES})"
+    ok = f"size({bad}) = 0"
     return _result(
-        check_id, name, rule, ok, severity,
-        F.when(ok, f"{name} meets the {required} requirement.").otherwise(
-            F.format_string(name.replace("%", "%%") + f" < {required} on %s.", X.page_list(bad))),
-        F.when(~ok, F.format_string(
+        check_id, ok,
+        _case((ok, _text(f"{name} meets the {required} requirement.")),
+              otherwise=_fill(f"{name} < {required} on %s.", _pages(bad))),
+        _case((f"not {ok}", _fill(
             f'Smallest {side} margin found: %.2f". Minimum required: {required}.',
-            F.col(f"min_{side}"))),
-        pages=F.when(~ok, bad))
-
-
-def _font_size(th: R.Thresholds) -> Column:
-    issues = F.coalesce("font_issues", F.array().cast(
-        "array<struct<page:int,total_chars:bigint,body_chars:bigint,"
-        "header_footer_chars:bigint,superscript_chars:bigint,small_caps_chars:bigint>>"))
-    clean = F.size(issues) == 0
-    harmless = ~clean & (F.col("body_small_chars") == 0)
-    ok = clean | harmless
-    serious = F.col("worst_page_body_chars") >= th.serious_body_chars
-    pages = F.transform(issues, lambda i: i["page"])
-
-    def pages_with(field: str, label: str) -> Column:
-        hit = F.transform(F.filter(issues, lambda i: i[field] > 0), lambda i: i["page"])
-        return F.when(F.size(hit) > 0, F.concat(F.lit(f"{label} on pages "), X.page_list(hit)))
-
-    kinds = F.concat_ws("; ", pages_with("small_caps_chars", "small caps"),
-                        pages_with("header_footer_chars", "headers/footers"),
-                        pages_with("superscript_chars", "superscripts"))
-
-    def line(i: Column) -> Column:
-        counts = {"body": i["body_chars"], "small caps": i["small_caps_chars"],
-                  "header/footer": i["header_footer_chars"],
-                  "superscript": i["superscript_chars"]}
-        total = sum(counts.values(), F.lit(0))
-        parts = F.concat_ws(", ", *[F.when(n > 0, F.format_string(f"%d {label}", n))
-                                    for label, n in counts.items()])
-        return F.format_string("  Page %d: %d of %,d chars (%.1f%%) noncompliant — %s",
-                               i["page"], total, i["total_chars"],
-                               total / i["total_chars"] * 100.0, parts)
-
-    breakdown = F.concat(
-        F.format_string("Predominant font size: %spt. Smallest detected: %.1fpt.\n\n"
-                        "Per-page breakdown:\n",
-                        F.col("predominant_font_size").cast("string"), F.col("smallest_pt")),
-        F.array_join(F.transform(issues, line), "\n"),
-        F.when(F.col("caps_small_chars") > 0, F.format_string(
-            "\n\nNote: %d sub-12pt characters appear consistent with small-caps formatting "
-            "and are excluded from the violation count.", F.col("caps_small_chars"))
-               ).otherwise(""))
+            f"min_{side}"))),
+        pages=_case((f"not {ok}", bad)))
+
+
+def _font_size(th: R.Thresholds) -> str:
+    clean = "coalesce(size(font_issues), 0) = 0"
+    harmless = "body_small_chars = 0"
+    ok = f"({clean} or {harmless})"
     minimum = f"{th.min_font_pt}pt"
+    pages = "transform(font_issues, i -> i.page)"
+    kinds = (("small_caps_chars", "small caps"), ("header_footer_chars", "headers/footers"),
+             ("superscript_chars", "superscripts"))
+
+    def pages_with(field: str, label: str) -> str:
+        hit = f"transform(filter(font_issues, i -> i.{field} > 0), i -> i.page)"
+        return f"if(size({hit}) > 0, concat('{label} on pages ', {_pages(hit)}), null)"
+
+    counts = (("body_chars", "body"), ("small_caps_chars", "small caps"),
+              ("header_footer_chars", "header/footer"), ("superscript_chars", "superscript"))
+    parts = ", ".join(f"if(i.{f} > 0, concat(i.{f}, ' {label}'), null)" for f, label in counts)
+    total = "(" + " + ".join(f"i.{f}" for f, _ in counts) + ")"
+    line = _fill("  Page %d: %d of %,d chars (%.1f%%) noncompliant — %s", "i.page", total,
+                 "i.total_chars", f"{total} / i.total_chars * 100D", f"concat_ws(', ', {parts})")
+    breakdown = (
+        "concat(" + _fill("Predominant font size: %spt. Smallest detected: %.1fpt.\n\n"
+                          "Per-page breakdown:\n", "string(predominant_font_size)", "smallest_pt")
+        + f", array_join(transform(font_issues, i -> {line}), '\\n'), "
+        + _case(("caps_small_chars > 0", _fill(
+            "\n\nNote: %d sub-12pt characters appear consistent with small-caps formatting and "
+            "are excluded from the violation count.", "caps_small_chars")), otherwise="''") + ")")
     return _result(
-        *_fixed("FMT-006")[:3], ok, F.when(ok | serious, "reject").otherwise("note"),
-        F.when(clean, f"Font size meets the {minimum} minimum.")
-        .when(harmless, f"Font size meets the {minimum} minimum (sub-12pt characters are "
-                        "small caps / superscripts / headers).")
-        .otherwise(F.format_string(
-            f"Font size %.1fpt found on %s %s; minimum is {minimum}.", F.col("smallest_pt"),
-            F.when(F.size(pages) == 1, "page").otherwise("pages"), X.page_list(pages))),
-        F.when(clean, None).when(harmless, F.concat(
-            F.lit("Sub-12pt characters detected; all appear consistent with conventional "
-                  "formatting (not undersized body text).\n"), kinds, F.lit(".")))
-        .otherwise(breakdown),
-        pages=F.when(~ok, F.transform(F.filter(issues, lambda i: i["body_chars"] > 0),
-                                      lambda i: i["page"])))
-
-
-def _density() -> Column:
-    bad = F.coalesce("bad_fmt_007", F.array().cast("array<int>"))
-    ok = F.size(bad) == 0
-    return _result(
-        *_fixed("FMT-007")[:3], ok, "correction",
-        F.when(ok, "Character density within 16 characters per inch.")
-        .otherwise("Some lines may exceed 16 characters per inch."),
-        F.when(~ok, F.format_string("High character density detected on pages: %s.",
-                                    X.page_list(bad))),
-        pages=F.when(~ok, bad))
-
-
-def _style(th: R.Thresholds) -> Column:
-    ok = F.coalesce(F.col("roman_share") >= th.min_roman_share, F.lit(True))
-    dominant = F.col("dominant_style")
-    n = (F.when(dominant == "italic", F.col("italic_spans"))
-         .when(dominant == "bold", F.col("bold_spans"))
-         .when(dominant == "bold-italic", F.col("bold_italic_spans"))
-         .otherwise(F.col("roman_spans")))
+        "FMT-006", ok,
+        _case((clean, _text(f"Font size meets the {minimum} minimum.")),
+              (harmless, _text(f"Font size meets the {minimum} minimum (sub-12pt characters are "
+                               "small caps / superscripts / headers).")),
+              otherwise=_fill(
+                  f"Font size %.1fpt found on %s %s; minimum is {minimum}.", "smallest_pt",
+                  "if(size(font_issues) = 1, 'page', 'pages')", _pages(pages))),
+        _case((clean, "null"), (harmless, "concat(" + _text(
+            "Sub-12pt characters detected; all appear consistent with conventional formatting "
+            "(not undersized body text).\n") + ", concat_ws('; ', "
+            + ", ".join(pages_with(*k) for k in kinds) + "), '.')"), otherwise=breakdown),
+        pages=_case((f"not {ok}", "transform(filter(font_issues, i -> i.body_chars > 0), "
+                                  "i -> i.page)")),
+        severity=f"if({ok} or worst_page_body_chars >= {th.serious_body_chars}, "
+                 "'reject', 'note')")
+
+
+def _page_check(check_id: str, passed_text: str, message: str, details: str) -> str:
+    """A check that fails on listed pages."""
+    bad = f"coalesce(bad_{_key(check_id)}, {_NO_PAGES})"
+    ok = f"size({bad}) = 0"
+
+    def shown(text: str) -> str:
+        return _fill(text, _pages(bad)) if "%s" in text else _text(text)
+
+    return _result(check_id, ok, _case((ok, _text(passed_text)), otherwise=shown(message)),
+                   _case((f"not {ok}", shown(details))), pages=_case((f"not {ok}", bad)))
+
+
+def _style(th: R.Thresholds) -> str:
+    ok = f"coalesce(roman_share >= {th.min_roman_share}D, true)"
     return _result(
-        *_fixed("FMT-008")[:3], ok, "note",
-        F.when(ok, "Font style appears to be plain roman.")
-        .otherwise("Primary body font may not be plain roman style."),
-        F.when(~ok, F.format_string(
+        "FMT-008", ok,
+        _case((ok, _text("Font style appears to be plain roman.")),
+              otherwise=_text("Primary body font may not be plain roman style.")),
+        _case((f"not {ok}", _fill(
             "Only %.0f%% of text spans are plain roman. Most common style: %s (%d/%d spans).",
-            F.col("roman_share") * 100.0, dominant, n, F.col("style_spans"))))
+            "roman_share * 100D", "dominant_style",
+            "case dominant_style when 'italic' then italic_spans when 'bold' then bold_spans "
+            "when 'bold-italic' then bold_italic_spans else roman_spans end", "style_spans"))))
 
 
-def _spacing(th: R.Thresholds) -> Column:
-    median = F.col("body_spacing")
-    ok = F.coalesce(median >= th.min_double_space_pt, F.lit(True))
+def _spacing(th: R.Thresholds) -> str:
+    ok = f"coalesce(body_spacing >= {th.min_double_space_pt}D, true)"
     return _result(
-        *_fixed("FMT-009")[:3], ok, "correction",
-        F.when(median.isNull(), "Unable to measure line spacing; assumed compliant.")
-        .when(ok, F.format_string("Body text appears double-spaced (median: %.1fpt).", median))
-        .otherwise(F.format_string(
-            "Body text appears single-spaced (median spacing: %.1fpt).", median)),
-        F.when(~ok, F.format_string(
+        "FMT-009", ok,
+        _case(("body_spacing is null",
+               _text("Unable to measure line spacing; assumed compliant.")),
+              (ok, _fill("Body text appears double-spaced (median: %.1fpt).", "body_spacing")),
+              otherwise=_fill("Body text appears single-spaced (median spacing: %.1fpt).",
+                              "body_spacing")),
+        _case((f"not {ok}", _fill(
             "Double spacing requires ~24pt between baselines for 12pt text. "
-            "Median detected: %.1fpt.", median)))
+            "Median detected: %.1fpt.", "body_spacing"))))
 
 
-def _footnotes() -> Column:
-    return _result(
-        *_fixed("FMT-010")[:3], F.lit(True), "note",
-        F.lit("Footnote spacing not automatically verified; manual review recommended."),
-        F.lit("Layout extraction cannot reliably distinguish footnotes from body text."))
+def _starts_at_one() -> str:
+    """Null, and so no row, for a document without pages."""
+    space = _text(X.WHITESPACE)
+    ok = (f"coalesce(btrim(btrim(btrim(cover_number, {space}), '-–—'), {space}) = '1', false)")
+    row = _result(
+        "FMT-012", ok,
+        _case((ok, _text('Page numbering starts with "1" on the cover.')),
+              otherwise=_text('Cover page number is not "1" or not detected.')),
+        _case((f"not {ok}", _fill("Detected cover page number: %s.",
+                                  "coalesce(concat('\\'', cover_number, '\\''), 'None')"))))
+    return _case(("total_pages > 0", row))
 
 
-def _numbered() -> Column:
-    bad = F.coalesce("bad_fmt_011", F.array().cast("array<int>"))
-    ok = F.size(bad) == 0
+def _page_limit() -> str:
+    known, ok = "page_limit is not null", "coalesce(body_pages <= page_limit, true)"
     return _result(
-        *_fixed("FMT-011")[:3], ok, "correction",
-        F.when(ok, "All pages have bottom page numbers.").otherwise(
-            F.format_string("Pages without bottom page numbers: %s.", X.page_list(bad))),
-        F.when(~ok, "Rule 32(a)(4) requires pages to be numbered at the bottom."),
-        pages=F.when(~ok, bad))
-
-
-def _starts_at_one() -> Column:
-    """Null, and so no row, for a document without pages."""
-    printed = F.col("cover_number")
-    ok = F.coalesce(X.strip(F.btrim(X.strip(printed), F.lit("-–—"))) == "1", F.lit(False))
-    row = _result(
-        *_fixed("FMT-012")[:3], ok, "note",
-        F.when(ok, 'Page numbering starts with "1" on the cover.')
-        .otherwise('Cover page number is not "1" or not detected.'),
-        F.when(~ok, F.format_string("Detected cover page number: %s.",
-                                    F.coalesce(F.concat(F.lit("'"), printed, F.lit("'")),
-                                               F.lit("None")))))
-    return F.when(F.col("total_pages") > 0, row)
-
-
-def _page_limit() -> Column:
-    limit, body = F.col("page_limit"), F.col("body_pages")
-    known = limit.isNotNull()
-    ok = ~known | (body <= limit)
-    start = F.coalesce((F.col("addendum_start") + 1).cast("string"), F.lit("N/A"))
+        "PG-001", ok,
+        _case(("page_limit is null", _text("Brief type unknown; page limit not checked.")),
+              (ok, _fill("Brief is %d pages (limit: %d).", "body_pages", "page_limit")),
+              otherwise=_fill("%s brief is %d pages; limit is %d.",
+                              "initcap(brief_type)", "body_pages", "page_limit")),
+        _case((f"not {ok}", _fill(
+            "Body pages (excluding addendum): %d. Addendum starts at page %s.", "body_pages",
+            "coalesce(string(addendum_start + 1), 'N/A')"))),
+        applicable=known, check_id="coalesce(limit_check_id, 'PG-001')",
+        rule="coalesce(limit_rule, '32(a)(8)')")
+
+
+def _cover_color() -> str:
+    rehearing = "brief_type = 'petition_rehearing'"
+    known = f"({rehearing} or cover_color is not null)"
     return _result(
-        F.coalesce("limit_check_id", F.lit("PG-001")), "Page Limit",
-        F.coalesce("limit_rule", F.lit("32(a)(8)")), ok, "reject",
-        F.when(~known, "Brief type unknown; page limit not checked.")
-        .when(ok, F.format_string("Brief is %d pages (limit: %d).", body, limit))
-        .otherwise(F.format_string("%s brief is %d pages; limit is %d.",
-                                   X.title_case(F.col("brief_type")), body, limit)),
-        F.when(~ok, F.format_string(
-            "Body pages (excluding addendum): %d. Addendum starts at page %s.", body, start)),
+        "COV-001", "true",
+        _case((rehearing, _text(
+            "Petition for rehearing cover must be the same color as the petitioning party's "
+            "principal brief. Cannot verify from PDF; manual check required.")),
+            ("cover_color is not null", _fill(
+                "Cover color should be %s for %s brief. Cannot verify from PDF; manual check "
+                "required.", "cover_color", "brief_type")),
+            otherwise=_text("Cover color check not applicable (unknown brief type).")),
+        _case((known, _text("The physical cover color cannot be read from the layout."))),
         applicable=known)
 
 
-def _cover_color() -> Column:
-    kind, color = F.col("brief_type"), F.col("cover_color")
-    rehearing = kind == "petition_rehearing"
-    return _result(
-        *_fixed("COV-001")[:3], F.lit(True), "correction",
-        F.when(rehearing, "Petition for rehearing cover must be the same color as the "
-                          "petitioning party's principal brief. Cannot verify from PDF; "
-                          "manual check required.")
-        .when(color.isNotNull(), F.format_string(
-            "Cover color should be %s for %s brief. Cannot verify from PDF; manual check "
-            "required.", color, kind))
-        .otherwise("Cover color check not applicable (unknown brief type)."),
-        F.when(rehearing | color.isNotNull(),
-               "The physical cover color cannot be read from the layout."),
-        applicable=rehearing | color.isNotNull())
-
-
-def _oral_argument() -> Column:
-    rehearing = F.col("brief_type") == "petition_rehearing"
-    ok = rehearing | F.col("asks_oral_argument")
+def _oral_argument() -> str:
+    rehearing = "brief_type = 'petition_rehearing'"
+    ok = f"({rehearing} or asks_oral_argument)"
     return _result(
-        "COV-002", "Oral Argument Notation",
-        F.when(rehearing, "40(a)(2)").otherwise("28(h)/34(a)(1)(C)"), ok, "note",
-        F.when(rehearing, "Not applicable — oral argument is not permitted on petitions "
-                          "for rehearing.")
-        .when(ok, "Cover includes oral argument request notation.")
-        .otherwise("No 'ORAL ARGUMENT REQUESTED' found on cover page."),
-        F.when(~ok, "Rule 28(h) requires 'ORAL ARGUMENT REQUESTED' on the cover; without a "
-                    "request under Rule 34(a)(1)(C) oral argument is generally not scheduled."),
-        applicable=~rehearing)
-
-
-def _paragraphs(th: R.Thresholds) -> Column:
-    n, m = F.col("bracket_marks"), F.col("paragraph_marks")
-    ok = (n >= th.min_paragraph_marks) | (m >= th.min_paragraph_marks)
+        "COV-002", ok,
+        _case((rehearing, _text("Not applicable — oral argument is not permitted on petitions "
+                                "for rehearing.")),
+              (ok, _text("Cover includes oral argument request notation.")),
+              otherwise=_text("No 'ORAL ARGUMENT REQUESTED' found on cover page.")),
+        _case((f"not {ok}", _text(
+            "Rule 28(h) requires 'ORAL ARGUMENT REQUESTED' on the cover; without a request "
+            "under Rule 34(a)(1)(C) oral argument is generally not scheduled."))),
+        applicable=f"not ({rehearing})",
+        rule=f"if({rehearing}, '40(a)(2)', '28(h)/34(a)(1)(C)')")
+
+
+def _paragraphs(th: R.Thresholds) -> str:
+    least = th.min_paragraph_marks
+    ok = f"(bracket_marks >= {least} or paragraph_marks >= {least})"
     return _result(
-        *_fixed("CNT-004")[:3], ok, "correction",
-        F.when(ok, "Paragraphs appear to use arabic numeral numbering.")
-        .otherwise("Paragraph numbering with arabic numerals not detected."),
-        F.when(~ok, F.format_string(
+        "CNT-004", ok,
+        _case((ok, _text("Paragraphs appear to use arabic numeral numbering.")),
+              otherwise=_text("Paragraph numbering with arabic numerals not detected.")),
+        _case((f"not {ok}", _fill(
             "Rule 32(a)(7) requires paragraphs to be numbered with arabic numerals. Found %d "
-            "bracket-number patterns and %d paragraph-symbol patterns.", n, m)))
+            "bracket-number patterns and %d paragraph-symbol patterns.", "bracket_marks",
+            "paragraph_marks"))))
 
 
-def _certificate() -> Column:
-    ok = F.col("has_certificate")
+def _certificate() -> str:
     return _result(
-        *_fixed("SEC-013")[:3], ok, "correction",
-        F.when(ok, "Certificate of Compliance found.")
-        .otherwise("Certificate of Compliance not found."),
-        F.when(~ok, "Rule 32(d) requires a Certificate of Compliance."))
+        "SEC-013", "has_certificate",
+        _case(("has_certificate", _text("Certificate of Compliance found.")),
+              otherwise=_text("Certificate of Compliance not found.")),
+        _case(("not has_certificate", _text("Rule 32(d) requires a Certificate of Compliance."))))
 
 
-def _record_cites() -> Column:
-    asked = F.col("brief_type").isin("appellant", "appellee", "cross_appeal")
-    n = F.col("record_cites")
-    ok = ~asked | (n > 0)
+def _record_cites() -> str:
+    asked = "brief_type in ('appellant', 'appellee', 'cross_appeal')"
+    ok = f"(not {asked} or record_cites > 0)"
     return _result(
-        *_fixed("REC-001")[:3], ok, "note",
-        F.when(~asked, F.format_string("Not applicable to %s briefs.", F.col("brief_type")))
-        .when(ok, F.format_string("Found %d record citation(s) in (R#:#) format.", n))
-        .otherwise("No record citations in (R#:#) format detected."),
-        F.when(~ok, "Rule 30(a) requires references to the record with register of actions "
-                    "index numbers, in the (R{index}:{page}) format of Rule 30(b)(1)."),
+        "REC-001", ok,
+        _case((f"not {asked}", _fill("Not applicable to %s briefs.", "brief_type")),
+              (ok, _fill("Found %d record citation(s) in (R#:#) format.", "record_cites")),
+              otherwise=_text("No record citations in (R#:#) format detected.")),
+        _case((f"not {ok}", _text(
+            "Rule 30(a) requires references to the record with register of actions index "
+            "numbers, in the (R{index}:{page}) format of Rule 30(b)(1)."))),
         applicable=asked)
 
 
-def _neutral_cites() -> Column:
-    n, missing = F.col("reporter_cites"), F.col("missing_cites")
-    ok = F.size(missing) == 0
+def _neutral_cites(th: R.Thresholds) -> str:
+    ok, n = "size(missing_cites) = 0", th.citation_examples
+    examples = (f"concat(array_join(slice(missing_cites, 1, {n}), '; '), "
+                f"if(size(missing_cites) > {n}, concat(' (and ', size(missing_cites) - {n}, "
+                "' more)'), ''))")
     return _result(
-        *_fixed("CIT-001")[:3], ok, "correction",
-        F.when(n == 0, "No N.W.2d citations found to check.")
-        .when(ok, F.format_string(
-            "All %d N.W.2d citation(s) have accompanying medium-neutral cites.", n))
-        .otherwise(F.format_string(
-            "%d of %d N.W.2d citation(s) lack a nearby medium-neutral cite.",
-            F.size(missing), n)),
-        F.when(~ok, F.format_string(
+        "CIT-001", ok,
+        _case(("reporter_cites = 0", _text("No N.W.2d citations found to check.")),
+              (ok, _fill("All %d N.W.2d citation(s) have accompanying medium-neutral cites.",
+                         "reporter_cites")),
+              otherwise=_fill("%d of %d N.W.2d citation(s) lack a nearby medium-neutral cite.",
+                              "size(missing_cites)", "reporter_cites")),
+        _case((f"not {ok}", _fill(
             "N.D.R.Ct. 11.6(b) requires the medium-neutral citation (YYYY ND ##) for opinions "
             "since 1997. Citations without one nearby: %s. Earlier cases need none; verify "
-            "manually.", X.first_examples(missing))))
+            "manually.", examples))))
 
 
-def _rehearing_words(th: R.Thresholds) -> Column:
+def _rehearing_words(th: R.Thresholds) -> str:
     """PG-004, opt-in: declared by the rules but not part of parity results."""
-    n = F.col("word_count")
-    asked = F.col("brief_type") == "petition_rehearing"
-    ok = ~asked | (n <= th.amicus_rehearing_words)
+    asked, limit = "brief_type = 'petition_rehearing'", th.amicus_rehearing_words
     return _result(
-        "PG-004", "Rehearing Word Limit", "29(b)(4)", ok, "reject",
-        F.format_string(f"%d words (limit: {th.amicus_rehearing_words}).", n), applicable=asked)
+        "PG-004", f"(not ({asked}) or word_count <= {limit})",
+        _fill(f"%d words (limit: {limit}).", "word_count"), applicable=asked,
+        name="'Rehearing Word Limit'", rule="'29(b)(4)'", severity="'reject'")
 
 
 def result_array(th: R.Thresholds = R.DEFAULTS, word_limit: bool = False) -> Column:
@@ -409,13 +406,22 @@ def result_array(th: R.Thresholds = R.DEFAULTS, word_limit: bool = False) -> Col
     rows = [
         _paper(th), _margin("FMT-002", "left", '1.5"'), _margin("FMT-003", "right", '1"'),
         _margin("FMT-004", "top", '1"'), _margin("FMT-005", "bottom", '1"'), _font_size(th),
-        _density(), _style(th), _spacing(th), _footnotes(), _numbered(), _starts_at_one(),
-        _page_limit(), _cover_color(), _oral_argument(), _paragraphs(th), _certificate(),
-        _record_cites(), _neutral_cites(),
+        _page_check("FMT-007", "Character density within 16 characters per inch.",
+                    "Some lines may exceed 16 characters per inch.",
+                    "High character density detected on pages: %s."),
+        _style(th), _spacing(th),
+        _result("FMT-010", "true", _text(
+            "Footnote spacing not automatically verified; manual review recommended."),
+            _text("Layout extraction cannot reliably distinguish footnotes from body text.")),
+        _page_check("FMT-011", "All pages have bottom page numbers.",
+                    "Pages without bottom page numbers: %s.",
+                    "Rule 32(a)(4) requires pages to be numbered at the bottom."),
+        _starts_at_one(), _page_limit(), _cover_color(), _oral_argument(), _paragraphs(th),
+        _certificate(), _record_cites(), _neutral_cites(th),
     ]
     if word_limit:
         rows.append(_rehearing_words(th))
-    return F.filter(F.array(*rows), lambda r: r.isNotNull())
+    return F.expr(f"filter(array({', '.join(rows)}), r -> r is not null)")
 
 
 def results_of(facts: DataFrame, th: R.Thresholds = R.DEFAULTS,
