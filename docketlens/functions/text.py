@@ -36,8 +36,16 @@ def matches_any(col: Column, patterns: list[str], flags: str = "") -> Column:
     return hit
 
 
-def count_matches(col: Column, pattern: str, flags: str = "") -> Column:
-    return F.regexp_count(col, F.lit(rx(pattern, flags))).cast("long")
+def count_matches(col: Column, pattern: str, flags: str = "", needs: str | None = None) -> Column:
+    """Number of matches.
+
+    ``needs`` is a literal that every match contains: texts without it skip the
+    pattern, which is several times cheaper.
+    """
+    n = F.regexp_count(col, F.lit(rx(pattern, flags))).cast("long")
+    if needs is None:
+        return n
+    return F.when(col.contains(needs), n).otherwise(F.lit(0).cast("long"))
 
 
 def all_matches(col: Column, pattern: str, flags: str = "", group: int = 0) -> Column:
@@ -50,12 +58,15 @@ def strip(col: Column) -> Column:
 
 
 def word_count(col: Column) -> Column:
-    return count_matches(col, r"[^\s\x1c-\x1f]+")
+    """Pieces between white space of the trimmed text."""
+    bare = strip(col)
+    return F.when(bare == "", F.lit(0).cast("long")).otherwise(
+        F.size(F.split(bare, rx(SPACE_CLASS + "+"), -1)).cast("long"))
 
 
 def is_all_uppercase(col: Column) -> Column:
     """At least one letter, and no letter that is not upper case."""
-    return col.rlike(r"\p{L}") & ~col.rlike(r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]")
+    return ~col.rlike(r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]") & col.rlike(r"\p{L}")
 
 
 @F.pandas_udf(T.StringType())

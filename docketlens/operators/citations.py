@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docketlens import rules as R
 from docketlens.functions import text as X
 
+_REPORTER_LITERAL = "N.W."  # part of every reporter citation
 _SHORTEST_REPORTER_CITE = 10  # characters of "1 N.W.2d 1"
 
 
@@ -71,7 +72,7 @@ def citation_pieces(text: Column, th: R.Thresholds = R.DEFAULTS) -> list[Column]
     """
     span = F.lit(th.citation_window_chars)
     pieces = F.split(text, X.rx(R.REPORTER_CITE), -1)
-    found = X.matches(text, R.REPORTER_CITE, "")
+    found = text.contains(_REPORTER_LITERAL) & X.matches(text, R.REPORTER_CITE, "")
     none = F.array().cast("array<string>")
     return [
         F.when(found, X.all_matches(text, R.REPORTER_CITE)).otherwise(none).alias("hits"),

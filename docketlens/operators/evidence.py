@@ -70,7 +70,7 @@ def toc_reference_style(pages: DataFrame) -> DataFrame:
     """EVD-2: on contents pages, paragraph marks against trailing page numbers."""
     text = F.col("text")
     toc = pages.filter(X.matches(text, R.SECTION_PATTERNS["table_of_contents"], "i"))
-    marks = X.count_matches(text, R.BRACKET_MARK) + X.count_matches(text, R.PARAGRAPH_MARK)
+    marks = X.count_matches(text, R.BRACKET_MARK, needs="[") + X.count_matches(text, R.PARAGRAPH_MARK, needs="¶")
     numbers = X.count_matches(text, r"[^\d\n][ .\t]\d+[ \t]*$", "m")
     return toc.select("doc_id", marks.alias("marks"), numbers.alias("numbers")).groupBy(
         "doc_id").agg(F.count(F.lit(1)).alias("toc_pages"),
@@ -90,7 +90,7 @@ def authorities_sorted(pages: DataFrame) -> DataFrame:
                      lambda line: line.contains(" v. "))
     per_page = toa.select(
         "doc_id", "page_no", cases.alias("cases"),
-        (X.count_matches(text, R.BRACKET_MARK) + X.count_matches(text, R.PARAGRAPH_MARK))
+        (X.count_matches(text, R.BRACKET_MARK, needs="[") + X.count_matches(text, R.PARAGRAPH_MARK, needs="¶"))
         .alias("marks")).select(
         "doc_id", "page_no", F.size("cases").alias("n"), "marks",
         (F.col("cases") == F.array_sort("cases")).alias("sorted"))

@@ -83,15 +83,28 @@ def classify_small_spans(spans: DataFrame, doc_stats: DataFrame,
     ).drop("position_class", "capitals")
 
 
+def place_in_page() -> Column:
+    """Reading order inside a page as one number, so that hashing can take its minimum.
+
+    Each ordinal has 21 bits.  A filing's size cap keeps a page far below two
+    million blocks, lines or spans; anything beyond stops the job.
+    """
+    limit = 1 << 21
+    return F.expr(
+        f"if(greatest(block_no, coalesce(line_no, 0), coalesce(span_no, 0)) < {limit}, "
+        f"(bigint(block_no) * {limit} + coalesce(line_no, 0)) * {limit} + coalesce(span_no, 0), "
+        f"bigint(raise_error('more than {limit} blocks, lines or spans on a page')))")
+
+
 def font_histogram(spans: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
     """Visible spans per page by font, size, style and position class."""
-    keyed = span_features(spans).filter("visible").select(
+    keyed = span_features(spans, th).filter("visible").select(
         *PAGE, "font", "size", style_class(F.col("flags")).alias("style"),
         span_position_class(th).alias("position_class"), "chars",
-        "block_no", "line_no", "span_no")
+        place_in_page().alias("place"))
     return keyed.groupBy(*PAGE, "font", "size", "style", "position_class").agg(
         F.count(F.lit(1)).alias("spans"), F.sum("chars").alias("chars"),
-        F.min(F.struct("page_no", "block_no", "line_no", "span_no")).alias("first_seen"))
+        F.min("place").alias("place")).withColumn("first_seen", F.struct("page_no", "place"))
 
 
 def first_seen_mode(df: DataFrame, keys: list[str], value: str, weight: str = "spans",

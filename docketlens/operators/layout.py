@@ -59,25 +59,22 @@ def layout_pages(layout: DataFrame) -> DataFrame:
         "doc_id", "p.page_no", "p.width_pt", "p.height_pt", "p.text")
 
 
-FEATURES = ["visible", "chars", "capitals", "numeral"]
-
-
-def span_features(spans: DataFrame) -> DataFrame:
+def span_features(spans: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
     """Narrow form of the spans of text blocks: the text becomes four facts.
 
     ``visible`` and ``chars`` describe the trimmed text, ``capitals`` is PRJ-4,
-    ``numeral`` keeps the raw text only if it could be part of a page number.
+    ``numeral`` keeps the raw text only where a page number could stand.
     Store this once (see ``plans.stages``): every later step reads a few
     fixed-width columns and never the text again.
     """
     if "capitals" in spans.columns:
         return spans
-    raw, trimmed = F.col("text"), X.strip(F.col("text"))
+    raw = F.col("text")
+    numeral = in_bottom_zone(th) & X.matches(raw, _NUMERAL_CHARS, "i")
     return spans.filter(F.col("block_type") == 0).select(
         *[c for c in spans.columns if c not in ("text", "block_type")],
-        (trimmed != "").alias("visible"), F.length(trimmed).alias("chars"),
-        X.is_all_uppercase(raw).alias("capitals"),
-        F.when(X.matches(raw, _NUMERAL_CHARS, "i"), raw).alias("numeral"))
+        F.length(X.strip(raw)).alias("chars"), X.is_all_uppercase(raw).alias("capitals"),
+        F.when(numeral, raw).alias("numeral")).withColumn("visible", F.col("chars") > 0)
 
 
 def visible_spans(spans: DataFrame) -> DataFrame:
@@ -105,7 +102,7 @@ def line_rows(spans: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
     bottom = in_bottom_zone(th)
     numeral = F.when(bottom, F.struct("span_no", "numeral"))
     return (
-        span_features(spans)
+        span_features(spans, th)
         .select(*PAGE, "block_no", F.coalesce("line_no", F.lit(-1)).alias("line_no"),
                 F.when(F.col("visible"), F.col("origin_y")).alias("y"),
                 "bx0", "by0", "bx1", "by1", bottom.alias("bottom"), numeral.alias("piece"))

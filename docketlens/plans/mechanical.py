@@ -32,11 +32,11 @@ def text_facts(docs: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
     facts = docs.select(
         "doc_id", *passing, "full_text",
         F.upper("cover_text").contains("ORAL ARGUMENT").alias("asks_oral_argument"),
-        X.count_matches(text, R.BRACKET_MARK).alias("bracket_marks"),
-        X.count_matches(text, R.PARAGRAPH_MARK).alias("paragraph_marks"),
+        X.count_matches(text, R.BRACKET_MARK, needs="[").alias("bracket_marks"),
+        X.count_matches(text, R.PARAGRAPH_MARK, needs="¶").alias("paragraph_marks"),
         X.matches(text, R.SECTION_PATTERNS["certificate_of_compliance"], "i")
         .alias("has_certificate"),
-        X.count_matches(text, R.RECORD_CITE).alias("record_cites"),
+        X.count_matches(text, R.RECORD_CITE, needs="(R").alias("record_cites"),
         X.word_count(text).alias("word_count"))
     return citations.with_missing_citations(facts, "full_text", th)
 
@@ -116,7 +116,7 @@ def document_facts(docs: DataFrame, pages: DataFrame, spans: DataFrame,
     """All facts of each document; documents without pages keep nulls."""
     if "brief_type" not in docs.columns:
         docs = documents.classify(docs)
-    features = stage("span_features", layout.span_features(spans))
+    features = stage("span_features", layout.span_features(spans, th))
     facts = text_facts(docs, th).join(
         document_rows(page_rows(features, pages, th, stage), th), "doc_id", "left")
     facts = documents.with_cover_color(documents.with_page_limit(facts))
