@@ -97,8 +97,13 @@ def place_in_page() -> Column:
 
 
 def font_histogram(spans: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
-    """Visible spans per page by font, size, style and position class."""
-    keyed = span_features(spans, th).filter("visible").select(
+    """Visible spans per page by font, size, style and position class.
+
+    Rows without a page are left out here and not by a later join, so that all
+    branches over the histogram share one plan and Spark reuses its exchange.
+    """
+    visible = F.expr("visible and doc_id is not null and page_no is not null")
+    keyed = span_features(spans, th).filter(visible).select(
         *PAGE, "font", "size", style_class(F.col("flags")).alias("style"),
         span_position_class(th).alias("position_class"), "chars",
         place_in_page().alias("place"))
