@@ -694,7 +694,10 @@ _evidence("EVD-15", sensitive.sensitive_counts,
 _SPACED = "array_to_string(string_split(cover_text, ''), ' ')"
 
 
-@case("SCL-1")
+@case("SCL-1", f"""SELECT doc_id, trim(regexp_replace({collapse("plain")}, '\\s+', ' ', 'g')) AS normal FROM (
+    SELECT doc_id, trim(lower(regexp_replace(regexp_replace(strip_accents(text),
+      '[''"`‘’‚‛´′‵“”„‟«»″‶]', '', 'g'), '[‐‑‒–—―−]', '-', 'g')), {WS}) AS plain
+    FROM fx_pages WHERE page_no = 0)""")
 def scl_1(spark, sf):
     return V.fx_pages(spark, sf).filter("page_no = 0").select(
         "doc_id", X.normalize_cover(F.col("text")).alias("normal"))

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketlens import rules as R
+from docketlens.operators.catalog import docs_by_checks
+
 LINES_PER_PAGE = 5
 CHUNK = 40
 
@@ -215,10 +218,8 @@ def fx_captions(spark, sf) -> DataFrame:
 
 def fx_judged(spark, sf) -> DataFrame:
     """Answers of an outside judge: most asked checks and one unknown id."""
-    from docketlens import rules as R
-    catalog = F.broadcast(R.check_catalog(spark))
     docs = table(spark, sf, "documents").select("doc_id")
-    known = docs.crossJoin(catalog).filter("(doc_id + check_no) % 5 <> 0").selectExpr(
+    known = docs_by_checks(docs, R.check_catalog(spark)).filter("(doc_id + check_no) % 5 <> 0").selectExpr(
         "doc_id", "check_no", "check_id", "(doc_id + check_no) % 7 <> 0 passed",
         "if((doc_id + check_no) % 11 = 0, '28(z)', if((doc_id + check_no) % 13 = 0, '', rule)) rule",
         "concat('seen ', check_id) message", "cast(null as string) details")

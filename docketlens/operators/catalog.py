@@ -17,13 +17,19 @@ UNANSWERED = "Not evaluated by AI analysis; manual review recommended."
 NO_MESSAGE = "No details provided."
 
 
+# A rule text longer than this is not a rule text; the corpus goes into every request.
+MAX_RULE_CHARS = 1_000_000
+
+
 def docs_by_checks(docs: DataFrame, catalog: DataFrame) -> DataFrame:
     """JN-3: every document with every catalogue row.
 
-    The catalogue has a few dozen rows, so it is broadcast and each document
-    row fans out in place; select the document columns needed beforehand.
+    The catalogue, a few dozen rows, becomes one array constant (a scalar
+    subquery), and each document row unfolds it in place: no join, no shuffle.
+    Select the document columns needed beforehand.
     """
-    return docs.crossJoin(F.broadcast(catalog))
+    rows = catalog.agg(F.array_sort(F.collect_list(F.struct(*catalog.columns))).alias("checks"))
+    return docs.select("*", F.inline(rows.scalar()))
 
 
 def asked() -> Column:
@@ -55,7 +61,9 @@ def rule_corpus(rule_texts: DataFrame, required: list[str] | None = None) -> Dat
         list(enumerate(names)), "rule_no int, file_name string")
     number = F.regexp_extract("file_name", r"^rule-(.*)\.md$", 1)
     gap = F.format_string("[Rule %s text not available. Expected at %s]", number, F.col("file_name"))
-    known = rule_texts.filter(F.col("file_name").isin(names))
+    sized = F.when(F.length("text") <= MAX_RULE_CHARS, F.col("text")).otherwise(
+        F.raise_error(F.lit("a rule text is too long")).cast("string"))
+    known = rule_texts.filter(F.col("file_name").isin(names)).withColumn("text", sized)
     filled = wanted.join(known, "file_name", "left").select(
         "rule_no", F.coalesce("text", gap).alias("text"))
     parts = F.array_sort(F.collect_list(F.struct("rule_no", "text")))
@@ -68,9 +76,8 @@ def requested_checks(catalog: DataFrame) -> DataFrame:
 
     Built once per type (seven rows), not once per document.
     """
-    types = catalog.sparkSession.createDataFrame(
-        [(t,) for t in R.BRIEF_TYPES], "brief_type string")
-    rows = types.crossJoin(F.broadcast(catalog)).filter(asked())
+    types = F.array(*[F.lit(t) for t in R.BRIEF_TYPES])
+    rows = catalog.withColumn("brief_type", F.explode(types)).filter(asked())
     items = F.array_sort(F.collect_list(F.struct(
         "check_no", F.struct(F.col("check_id").alias("id"), "name", "rule", "description")
         .alias("item"))))
@@ -81,12 +88,14 @@ def requested_checks(catalog: DataFrame) -> DataFrame:
 
 def judge_requests(docs: DataFrame, catalog: DataFrame, rule_texts: DataFrame,
                    th: R.Thresholds = R.DEFAULTS) -> DataFrame:
-    """PRJ-14: one request per document with everything a judge needs."""
+    """PRJ-14: one request per document with everything a judge needs.
+
+    The rule corpus (ten files of bounded size) is a scalar constant of the plan.
+    """
     return (
         docs.join(F.broadcast(requested_checks(catalog)), "brief_type")
-        .crossJoin(F.broadcast(rule_corpus(rule_texts)))
         .select("doc_id", "brief_type", "total_pages", "word_count", "asked_checks",
-                "checks_json", "rules_text",
+                "checks_json", rule_corpus(rule_texts).scalar().alias("rules_text"),
                 X.truncate_text(F.col("full_text"), th.judge_text_chars).alias("brief_text"))
     )
 

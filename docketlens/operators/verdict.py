@@ -54,32 +54,35 @@ def count_columns() -> list[Column]:
             F.count_if(F.col("passed") & F.col("applicable")).alias("passed_checks")]
 
 
-def hard_recommendation(results: DataFrame) -> DataFrame:
-    """AGG-13: worst failed severity per document, with ids in the reasoning.
+def decide(results: DataFrame, *extra: Column) -> DataFrame:
+    """Verdict, reasoning and counts per document in one combining aggregation.
 
-    One combining aggregation; only failed checks (a few dozen at most per
-    document) are collected.
+    ``extra`` aggregates ride along, so that reports need no second pass.  Only
+    failed checks, a few dozen at most per document, are collected.
     """
     rank = F.max(F.when(failed(), severity_rank(F.col("severity"))))
     failures = F.array_sort(F.collect_list(F.when(failed(), F.struct(
         "check_id", "name", "severity"))))
     summary = results.groupBy("doc_id").agg(
-        rank.alias("worst"), failures.alias("failures"), *count_columns())
-    decided = summary.withColumn("recommendation", recommendation_of(F.col("worst")))
-    deciding = F.filter("failures", lambda f: F.when(
-        F.col("worst") == 2, f["severity"] == "reject").otherwise(f["severity"] == "correction"))
-    listed = F.array_join(F.transform(
-        deciding, lambda f: F.concat(f["check_id"], F.lit(" ("), f["name"], F.lit(")"))), "; ")
-    reasoning = (
-        F.when(F.col("worst") == 2, F.format_string(
-            "REJECT due to %d critical failure(s): %s", F.size(deciding), listed))
-        .when(F.col("worst") == 1, F.format_string(
-            "Correction letter recommended due to %d issue(s): %s", F.size(deciding), listed))
-        .otherwise("All checks passed."))
-    return decided.select(
-        "doc_id", "recommendation", reasoning.alias("reasoning"),
-        "total_checks", "failed_checks", "passed_checks",
-        F.array_join(F.transform("failures", lambda f: f["check_id"]), ",").alias("failed_ids"))
+        rank.alias("worst"), failures.alias("failed_list"), *count_columns(), *extra)
+    deciding = F.expr("filter(failed_list, f -> f.severity = if(worst = 2, 'reject', 'correction'))")
+    listed = "array_join(transform(deciding, f -> concat(f.check_id, ' (', f.name, ')')), '; ')"
+    reasoning = F.expr(f"""case
+        when worst = 2 then concat('REJECT due to ', size(deciding), ' critical failure(s): ', {listed})
+        when worst = 1 then concat('Correction letter recommended due to ', size(deciding),
+                                   ' issue(s): ', {listed})
+        else 'All checks passed.' end""")
+    return summary.withColumn("deciding", deciding).withColumns({
+        "recommendation": recommendation_of(F.col("worst")), "reasoning": reasoning,
+        "failed_ids": F.expr("array_join(transform(failed_list, f -> f.check_id), ',')"),
+    }).drop("worst", "deciding", "failed_list")
+
+
+def hard_recommendation(results: DataFrame) -> DataFrame:
+    """AGG-13: worst failed severity per document, with ids in the reasoning."""
+    return decide(results).select(
+        "doc_id", "recommendation", "reasoning", "total_checks", "failed_checks",
+        "passed_checks", "failed_ids")
 
 
 def escalate(hard: DataFrame, advised: DataFrame) -> DataFrame:

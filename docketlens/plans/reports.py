@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docketlens import schema as S
 from docketlens.functions import text as X
-from docketlens.operators import catalog, verdict
+from docketlens.operators import verdict
 
 RESULT_FIELDS = [c for c in S.RESULT_COLUMNS if c != "doc_id"]
 
@@ -20,19 +20,18 @@ def report_rows(docs: DataFrame, results: DataFrame, run_id: str,
     the counts are used where present.  ``advised`` is the optional outside
     opinion of AGG-14.
     """
-    decided = verdict.hard_recommendation(results)
+    order = F.struct(verdict.result_group().alias("g"), "check_id", "name")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(
+        order.alias("o"), F.struct(*RESULT_FIELDS).alias("r")))), lambda x: x["r"])
+    decided = verdict.decide(results, listed.alias("results"))
     if advised is not None:
         raised = verdict.escalate(decided, advised).select("doc_id", "recommendation", "reasoning")
         decided = decided.drop("recommendation", "reasoning").join(raised, "doc_id")
-    order = F.struct(verdict.result_group().alias("g"), "check_id", "name")
-    listed = results.groupBy("doc_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct(order.alias("o"), F.struct(*RESULT_FIELDS).alias("r")))),
-        lambda x: x["r"]).alias("results"))
     keep = [c for c in ("brief_type", "total_pages", "body_pages", "word_count", "path")
             if c in docs.columns]
     facts = docs.select("doc_id", *keep, *_case_facts(docs))
     return (
-        facts.join(decided, "doc_id").join(listed, "doc_id")
+        facts.join(decided, "doc_id")
         .withColumn("report_id", X.report_id(F.col("doc_id"), run_id))
     )
 
@@ -46,12 +45,3 @@ def _case_facts(docs: DataFrame) -> list:
     return [X.case_number(cover).alias("case_number"),
             X.case_title(cover, path).alias("case_title"),
             X.brief_label(cover).alias("brief_label")]
-
-
-def full_results(facts_results: DataFrame, docs: DataFrame, check_catalog: DataFrame,
-                 judged: DataFrame | None = None) -> DataFrame:
-    """Deterministic results plus, when answers exist, the judged ones."""
-    if judged is None:
-        return facts_results
-    return catalog.all_results(
-        facts_results, catalog.semantic_results(docs, check_catalog, judged))

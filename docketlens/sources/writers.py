@@ -39,12 +39,11 @@ def write_documents(docs: DataFrame, results: DataFrame, path: str,
 def summaries(results: DataFrame, docs: DataFrame, run_id: str, details: bool = False) -> DataFrame:
     """SNK-2: verdict, counts and failed checks of each document."""
     fields = ["check_id", "name", "rule", "severity", "message"] + (["details"] if details else [])
-    failures = results.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(
-        verdict.failed(), F.struct(*fields)))).alias("failures"))
+    failures = F.array_sort(F.collect_list(F.when(verdict.failed(), F.struct(*fields))))
     kept = [c for c in ("path", "brief_type") if c in docs.columns]
     return (
-        verdict.hard_recommendation(results).drop("failed_ids")
-        .join(failures, "doc_id").join(docs.select("doc_id", *kept), "doc_id")
+        verdict.decide(results, failures.alias("failures")).drop("failed_ids")
+        .join(docs.select("doc_id", *kept), "doc_id")
         .withColumn("report_id", X.report_id(F.col("doc_id"), run_id))
     )
 
