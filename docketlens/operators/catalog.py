@@ -17,7 +17,8 @@ UNANSWERED = "Not evaluated by AI analysis; manual review recommended."
 NO_MESSAGE = "No details provided."
 
 
-# A rule text longer than this is not a rule text; the corpus goes into every request.
+# Sizes up to which the catalogue and the rule texts may become plan constants.
+MAX_CATALOG_ROWS = 1_000
 MAX_RULE_CHARS = 1_000_000
 
 
@@ -28,8 +29,17 @@ def docs_by_checks(docs: DataFrame, catalog: DataFrame) -> DataFrame:
     subquery), and each document row unfolds it in place: no join, no shuffle.
     Select the document columns needed beforehand.
     """
-    rows = catalog.agg(F.array_sort(F.collect_list(F.struct(*catalog.columns))).alias("checks"))
-    return docs.select("*", F.inline(rows.scalar()))
+    return docs.select("*", F.inline(bounded_catalog(catalog).scalar()))
+
+
+def bounded_catalog(catalog: DataFrame) -> DataFrame:
+    """The catalogue as one array; a table too large to be one stops the job."""
+    kept = catalog.limit(MAX_CATALOG_ROWS + 1)
+    rows = F.array_sort(F.collect_list(F.struct(*catalog.columns)))
+    return kept.agg(rows.alias("checks")).select(
+        F.when(F.size("checks") <= MAX_CATALOG_ROWS, F.col("checks")).otherwise(
+            F.raise_error(F.lit("the check catalogue is too large"))
+            .cast(kept.agg(rows).schema[0].dataType)).alias("checks"))
 
 
 def asked() -> Column:
@@ -77,7 +87,8 @@ def requested_checks(catalog: DataFrame) -> DataFrame:
     Built once per type (seven rows), not once per document.
     """
     types = F.array(*[F.lit(t) for t in R.BRIEF_TYPES])
-    rows = catalog.withColumn("brief_type", F.explode(types)).filter(asked())
+    rows = bounded_catalog(catalog).select(F.inline("checks")).withColumn(
+        "brief_type", F.explode(types)).filter(asked())
     items = F.array_sort(F.collect_list(F.struct(
         "check_no", F.struct(F.col("check_id").alias("id"), "name", "rule", "description")
         .alias("item"))))
@@ -155,7 +166,8 @@ def merge_judgements(applicable: DataFrame, judged: DataFrame) -> DataFrame:
     merged = asked_rows.join(answers, ["doc_id", "check_id"], "left")
     unanswered = F.lit(UNANSWERED)
     if "problem" in judged.columns:
-        problems = judged.filter(F.col("problem").isNotNull()).select("doc_id", "problem")
+        problems = judged.groupBy("doc_id").agg(F.min("problem").alias("problem")).filter(
+            F.col("problem").isNotNull())
         merged = merged.join(problems, "doc_id", "left")
         unanswered = F.coalesce(
             F.concat(F.lit("AI analysis unavailable: "), "problem"), unanswered)

@@ -197,7 +197,7 @@ def _margin(check_id: str, side: str, required: str) -> str:
 
 
 def _font_size(th: R.Thresholds) -> str:
-    clean = "coalesce(size(font_issues), 0) = 0"
+    clean = "(font_issues is null or size(font_issues) = 0)"
     harmless = "body_small_chars = 0"
     ok = f"({clean} or {harmless})"
     minimum = f"{th.min_font_pt}pt"
@@ -299,7 +299,8 @@ def _page_limit() -> str:
         _case(("page_limit is null", _text("Brief type unknown; page limit not checked.")),
               (ok, _fill("Brief is %d pages (limit: %d).", "body_pages", "page_limit")),
               otherwise=_fill("%s brief is %d pages; limit is %d.",
-                              "initcap(brief_type)", "body_pages", "page_limit")),
+                              "replace(initcap(replace(brief_type, '_', ' ')), ' ', '_')",
+                              "body_pages", "page_limit")),
         _case((f"not {ok}", _fill(
             "Body pages (excluding addendum): %d. Addendum starts at page %s.", "body_pages",
             "coalesce(string(addendum_start + 1), 'N/A')"))),

@@ -207,3 +207,10 @@ def test_full_analysis_with_judge_and_registry(spark, corpus, tmp_path):
     assert all((r.n, r.ids) == (51, 51) for r in rows) and len(rows) == 200
     assert done.reports.filter("recommendation <> 'reject'").count() == 0  # SEC-001 rejects
     assert done.results.columns == S.RESULT_COLUMNS
+
+
+def test_oversized_catalogue_stops_the_job(spark):
+    rows = [(f"X-{i}", "n", "r", None, "note", "d") for i in range(catalog.MAX_CATALOG_ROWS + 1)]
+    docs = spark.createDataFrame([(1, "reply")], "doc_id long, brief_type string")
+    with pytest.raises(Exception, match="too large"):
+        catalog.applicable_checks(docs, R.check_catalog(spark, rows)).collect()
