@@ -588,9 +588,11 @@ def set_3(spark, sf):
 
 # ----------------------------------------------------------------- checks ---
 
-def _check(check_ids: list[str]):
+def _check(check_id: str):
     def run(spark, sf):
-        return results(spark, sf).filter(F.col("check_id").isin(check_ids)).select(
+        rows = mechanical.mechanical_checks(
+            V.fx_docs(spark, sf), V.fx_pages(spark, sf), V.fx_spans(spark, sf), only={check_id})
+        return rows.select(
             "doc_id", "check_id", "rule", "passed", "severity", "applicable",
             F.coalesce(joined("pages"), F.lit("")).alias("pages"))
     return run
@@ -598,7 +600,7 @@ def _check(check_ids: list[str]):
 
 for _id in [r[0] for r in R.MECHANICAL_CHECKS] + ["PG-002", "PG-003", "PG-005"]:
     case(_id, f"""SELECT doc_id, check_id, rule, passed, severity, applicable, pages FROM v_results
-        WHERE check_id = '{_id}'""")(_check([_id]))
+        WHERE check_id = '{_id}'""")(_check(_id))
 
 
 @case("PG-004", f"""SELECT t.doc_id, 'PG-004' AS check_id, t.brief_type <> 'petition_rehearing'
@@ -606,8 +608,9 @@ for _id in [r[0] for r in R.MECHANICAL_CHECKS] + ["PG-002", "PG-003", "PG-005"]:
     FROM v_types t JOIN fx_docs d ON t.doc_id = d.doc_id""")
 def pg_004(spark, sf):
     short = R.Thresholds(amicus_rehearing_words=300)
-    return mechanical.results_of(doc_facts(spark, sf), short, word_limit=True).filter(
-        "check_id = 'PG-004'").select("doc_id", "check_id", "passed", "applicable")
+    return mechanical.mechanical_checks(
+        V.fx_docs(spark, sf), V.fx_pages(spark, sf), V.fx_spans(spark, sf), short,
+        word_limit=True, only={"PG-004"}).select("doc_id", "check_id", "passed", "applicable")
 
 
 @case("mechanical_checks", "SELECT doc_id, check_id, rule, passed, severity, applicable, pages FROM v_results")

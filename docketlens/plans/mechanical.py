@@ -41,6 +41,11 @@ def text_facts(docs: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
     return citations.with_missing_citations(facts, "full_text", th)
 
 
+# What a check reads, for runs of a few checks only.
+TEXT_CHECKS = {"FMT-010", "COV-001", "COV-002", "CNT-004", "SEC-013", "REC-001", "CIT-001", "PG-004"}
+FONT_CHECKS = {"FMT-006", "FMT-008"}
+
+
 def page_rows(spans: DataFrame, pages: DataFrame, th: R.Thresholds = R.DEFAULTS,
               stage: Stage = inline) -> DataFrame:
     """One row per page: geometry, text and font facts.
@@ -84,11 +89,14 @@ def _key(check_id: str) -> str:
 
 
 def document_rows(page_rows_: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
-    """One row per document with pages: every page-level fact the checks need."""
+    """One row per document with pages: every page-level fact the checks need.
+
+    Font facts are added when the page rows carry them.
+    """
     bad = _page_conditions(th)
     page = "int(page_no + 1)"
     columns = {f"bad_{_key(cid)}": f"array_sort(collect_list(if({cond}, {page}, null)))"
-               for cid, cond in bad.items()}
+               for cid, cond in bad.items() if cid not in FONT_CHECKS}
     for side, cid in (("left", "FMT-002"), ("right", "FMT-003"), ("top", "FMT-004"),
                       ("bottom", "FMT-005")):
         columns[f"min_{side}"] = f"min(if({bad[cid]}, {side}_in, null))"
@@ -97,35 +105,47 @@ def document_rows(page_rows_: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataF
         "cover_number": "max(if(page_no = 0, page_number_text, null))",
         "median_spacing": "median(line_spacing)",
         "body_spacing": "median(if(page_no > 0, line_spacing, null))",
-        "body_small_chars": "sum(body_chars)",
-        "caps_small_chars": "sum(small_caps_chars)",
-        "worst_page_body_chars": "max(body_chars)",
-        "smallest_pt": "min(min_small_size)",
-        "font_issues": f"array_sort(collect_list(if({bad['FMT-006']}, struct({page} as page, "
-                       "total_chars, body_chars, header_footer_chars, superscript_chars, "
-                       "small_caps_chars), null)))",
     }
-    columns |= {name: f"max({name})" for name in _FONT_FACTS}
+    if "body_chars" in page_rows_.columns:
+        columns |= {
+            "body_small_chars": "sum(body_chars)",
+            "caps_small_chars": "sum(small_caps_chars)",
+            "worst_page_body_chars": "max(body_chars)",
+            "smallest_pt": "min(min_small_size)",
+            "font_issues": f"array_sort(collect_list(if({bad['FMT-006']}, struct({page} as page, "
+                           "total_chars, body_chars, header_footer_chars, superscript_chars, "
+                           "small_caps_chars), null)))",
+        }
+        columns |= {name: f"max({name})" for name in _FONT_FACTS}
     return page_rows_.groupBy("doc_id").agg(
         *documents.page_counts(F.col("has_addendum_line")),
         *[F.expr(f"{sql} as {name}") for name, sql in columns.items()])
 
 
 def document_facts(docs: DataFrame, pages: DataFrame, spans: DataFrame,
-                   th: R.Thresholds = R.DEFAULTS, stage: Stage = inline) -> DataFrame:
-    """All facts of each document; documents without pages keep nulls."""
+                   th: R.Thresholds = R.DEFAULTS, stage: Stage = inline,
+                   only: set[str] | None = None) -> DataFrame:
+    """All facts of each document; documents without pages keep nulls.
+
+    ``only`` names the checks wanted: text checks then leave the layout alone,
+    and geometry checks leave the fonts alone.
+    """
     if "brief_type" not in docs.columns:
         docs = documents.classify(docs)
-    features = stage("span_features", layout.span_features(spans, th))
-    facts = text_facts(docs, th).join(
-        document_rows(page_rows(features, pages, th, stage), th), "doc_id", "left")
-    facts = documents.with_cover_color(documents.with_page_limit(facts))
-    return facts.withColumns({
-        "has_double_spacing": F.expr(
-            f"coalesce(median_spacing >= {th.min_double_space_pt}D, true)"),
-        "total_pages": F.expr("coalesce(total_pages, 0L)"),
-        "body_pages": F.expr("coalesce(body_pages, 0L)"),
-    })
+    facts = text_facts(docs, th)
+    if only is None or only - TEXT_CHECKS:
+        features = stage("span_features", layout.span_features(spans, th))
+        if only is None or only & FONT_CHECKS:
+            rows = page_rows(features, pages, th, stage)
+        else:
+            rows = layout.page_facts(features, pages, th)
+        facts = facts.join(document_rows(rows, th), "doc_id", "left").withColumns({
+            "has_double_spacing": F.expr(
+                f"coalesce(median_spacing >= {th.min_double_space_pt}D, true)"),
+            "total_pages": F.expr("coalesce(total_pages, 0L)"),
+            "body_pages": F.expr("coalesce(body_pages, 0L)"),
+        })
+    return documents.with_cover_color(documents.with_page_limit(facts))
 
 
 # --------------------------------------------------------------------------
@@ -402,38 +422,58 @@ def _rehearing_words(th: R.Thresholds) -> str:
         name="'Rehearing Word Limit'", rule="'29(b)(4)'", severity="'reject'")
 
 
-def result_array(th: R.Thresholds = R.DEFAULTS, word_limit: bool = False) -> Column:
-    """All results of a document, in catalogue order."""
-    rows = [
-        _paper(th), _margin("FMT-002", "left", '1.5"'), _margin("FMT-003", "right", '1"'),
-        _margin("FMT-004", "top", '1"'), _margin("FMT-005", "bottom", '1"'), _font_size(th),
-        _page_check("FMT-007", "Character density within 16 characters per inch.",
-                    "Some lines may exceed 16 characters per inch.",
-                    "High character density detected on pages: %s."),
-        _style(th), _spacing(th),
-        _result("FMT-010", "true", _text(
+def result_array(th: R.Thresholds = R.DEFAULTS, word_limit: bool = False,
+                 only: set[str] | None = None) -> Column:
+    """The results of a document as an array, in catalogue order."""
+    rows = {
+        "FMT-001": _paper(th),
+        "FMT-002": _margin("FMT-002", "left", '1.5"'),
+        "FMT-003": _margin("FMT-003", "right", '1"'),
+        "FMT-004": _margin("FMT-004", "top", '1"'),
+        "FMT-005": _margin("FMT-005", "bottom", '1"'),
+        "FMT-006": _font_size(th),
+        "FMT-007": _page_check("FMT-007", "Character density within 16 characters per inch.",
+                               "Some lines may exceed 16 characters per inch.",
+                               "High character density detected on pages: %s."),
+        "FMT-008": _style(th),
+        "FMT-009": _spacing(th),
+        "FMT-010": _result("FMT-010", "true", _text(
             "Footnote spacing not automatically verified; manual review recommended."),
             _text("Layout extraction cannot reliably distinguish footnotes from body text.")),
-        _page_check("FMT-011", "All pages have bottom page numbers.",
-                    "Pages without bottom page numbers: %s.",
-                    "Rule 32(a)(4) requires pages to be numbered at the bottom."),
-        _starts_at_one(), _page_limit(), _cover_color(), _oral_argument(), _paragraphs(th),
-        _certificate(), _record_cites(), _neutral_cites(th),
-    ]
+        "FMT-011": _page_check("FMT-011", "All pages have bottom page numbers.",
+                               "Pages without bottom page numbers: %s.",
+                               "Rule 32(a)(4) requires pages to be numbered at the bottom."),
+        "FMT-012": _starts_at_one(),
+        "PG-001": _page_limit(),
+        "COV-001": _cover_color(),
+        "COV-002": _oral_argument(),
+        "CNT-004": _paragraphs(th),
+        "SEC-013": _certificate(),
+        "REC-001": _record_cites(),
+        "CIT-001": _neutral_cites(th),
+    }
     if word_limit:
-        rows.append(_rehearing_words(th))
-    return F.expr(f"filter(array({', '.join(rows)}), r -> r is not null)")
+        rows["PG-004"] = _rehearing_words(th)
+    # The page limit of a document goes by one of several ids.
+    limits = {row[2] for row in R.PAGE_LIMITS}
+    wanted = [sql for key, sql in rows.items() if only is None or key in only
+              or (key == "PG-001" and only & limits)]
+    return F.expr(f"filter(array({', '.join(wanted)}), r -> r is not null)")
 
 
-def results_of(facts: DataFrame, th: R.Thresholds = R.DEFAULTS,
-               word_limit: bool = False) -> DataFrame:
+def results_of(facts: DataFrame, th: R.Thresholds = R.DEFAULTS, word_limit: bool = False,
+               only: set[str] | None = None) -> DataFrame:
     """Document facts to one row per document and check."""
-    return facts.select("doc_id", F.explode(result_array(th, word_limit)).alias("r")).select(
+    rows = facts.select("doc_id", F.explode(result_array(th, word_limit, only)).alias("r")).select(
         "doc_id", *[f"r.{c}" for c in S.RESULT_COLUMNS if c != "doc_id"])
+    return rows if only is None else rows.filter(F.col("check_id").isin(sorted(only)))
 
 
 def mechanical_checks(docs: DataFrame, pages: DataFrame, spans: DataFrame,
                       th: R.Thresholds = R.DEFAULTS, stage: Stage = inline,
-                      word_limit: bool = False) -> DataFrame:
-    """All deterministic checks: 19 rows per document, 18 without pages."""
-    return results_of(document_facts(docs, pages, spans, th, stage), th, word_limit)
+                      word_limit: bool = False, only: set[str] | None = None) -> DataFrame:
+    """All deterministic checks: 19 rows per document, 18 without pages.
+
+    With ``only``, just the named ones, reading just what they need.
+    """
+    return results_of(document_facts(docs, pages, spans, th, stage, only), th, word_limit, only)

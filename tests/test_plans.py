@@ -87,3 +87,18 @@ def test_too_many_ordinals_stop_the_job(spark):
     rows = spans_df(spark, [span(block=1 << 21)])
     with pytest.raises(Exception, match="blocks, lines or spans"):
         fonts.font_histogram(rows).collect()
+
+
+def test_single_checks_read_only_what_they_need(spark, sf_dir, expected):
+    def run(only):
+        return mechanical.mechanical_checks(
+            V.fx_docs(spark, sf_dir), V.fx_pages(spark, sf_dir), V.fx_spans(spark, sf_dir),
+            only=only)
+
+    certificate = run({"SEC-013"})
+    assert plan(certificate).count("FileScan") == 1
+    assert "Exchange hashpartitioning" not in plan(certificate)
+    assert "flags" not in plan(run({"FMT-002"}))
+    ids = {"SEC-013", "FMT-009", "PG-002"}
+    got = sorted(map(str, run(ids).select(*COLS).collect()))
+    assert got == [r for r in expected if any(f"'{i}'" in r.split("name")[0] for i in ids)]
