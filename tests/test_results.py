@@ -114,13 +114,13 @@ def test_governance(spark, tmp_path):
     manifest = {"version": "1", "rule_hashes": {
         "a.md": "sha256:" + __import__("hashlib").sha256(b"one").hexdigest(),
         "b.md": "sha256:0", "c.md": "sha256:0"}}
-    (tmp_path / "version.json").write_text(json.dumps(manifest))
+    (tmp_path / "manifest.json").write_text(json.dumps(manifest))
     (tmp_path / "rules").mkdir()
     for name, text in (("a.md", "one"), ("b.md", "two"), ("d.md", "extra")):
         (tmp_path / "rules" / name).write_text(text)
     texts = readers.read_rules(spark, str(tmp_path / "rules"))
     got = governance.verify_manifest(
-        readers.read_rule_manifest(spark, str(tmp_path / "version.json")), readers.rule_hashes(texts))
+        readers.read_rule_manifest(spark, str(tmp_path / "manifest.json")), readers.rule_hashes(texts))
     assert {(r.file_name, r.status) for r in got.collect()} == {("b.md", "modified"), ("c.md", "missing")}
     corpus_text = catalog.rule_corpus(texts, ["b.md", "rule-9.md", "a.md"]).first()[0].split("\n\n---\n\n")
     assert corpus_text[0] == "two" and corpus_text[2] == "one" and "[Rule 9 text not" in corpus_text[1]
