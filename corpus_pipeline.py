@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docketlens.llm import common, exact_dedup, simhash
+from docketlens.llm import common, decontaminate, exact_dedup, packing, quality, simhash
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled documents, does not reject."""
+    weights = quality.train(common.documents(spark, sf_dir), common.labels(spark, sf_dir))
+    return quality.keep_good(docs, weights, threshold=0.3)
 
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +24,20 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return simhash.simhash_dedup(docs)
 
 
-STAGES = [("exact dedup", remove_copies), ("simhash near-dedup", remove_near_copies)]
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document in a sequence of at most 4096 tokens."""
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(pieces).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [("quality classifier", keep_quality), ("exact dedup", remove_copies),
+          ("simhash near-dedup", remove_near_copies), ("benchmark decontamination", remove_benchmark),
+          ("packing", pack_windows)]
 ORACLE_SQL = None
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, simhash
+from . import common, decontaminate, exact_dedup, packing, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +43,50 @@ def near(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = simhash.shingle_fingerprints(common.documents(spark, sf_dir), words=3)
     return simhash.near_groups(prints).select(
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@_query("op9_best_fit_packing")
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens, one row per piece."""
+    pieces = packing.token_pieces(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(pieces).withColumnRenamed("id", "doc_id")
+
+
+@_query("op1_decontamination", r"""
+WITH i AS (
+  SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+d AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+si AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 4], ' ') AS s FROM (
+  SELECT item_id, w, unnest(range(1, len(w) - 3)) AS k FROM i)),
+sd AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (
+  SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d)),
+n AS (SELECT item_id, count(*) AS item_shingles FROM si GROUP BY item_id),
+f AS (SELECT doc_id, item_id, count(*) AS found_shingles FROM si JOIN sd USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, item_shingles, found_shingles, found_shingles / item_shingles AS containment
+FROM f JOIN n USING (item_id) WHERE found_shingles / item_shingles >= 0.8""")
+def contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and the benchmark item it contains."""
+    return decontaminate.contained_items(
+        common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"),
+    ).withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
+@_query("op7_quality")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability of good quality of every document."""
+    docs = common.documents(spark, sf_dir)
+    weights = quality.train(docs, common.labels(spark, sf_dir))
+    return quality.score(docs, weights).select(
+        F.col("id").alias("doc_id"), (common.fold("id") == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query("op4_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability of toxicity of every document."""
+    docs = common.documents(spark, sf_dir)
+    lexicon = toxicity.train(docs, common.labels(spark, sf_dir))
+    return toxicity.score(docs, lexicon).select(
+        F.col("id").alias("doc_id"), (common.fold("id") == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "weight", "words")
