@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, exact_dedup, packing, quality, simhash, toxicity
+from . import brown, common, decontaminate, exact_dedup, packing, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,13 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, lexicon).select(
         F.col("id").alias("doc_id"), (common.fold("id") == 0).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "weight", "words")
+
+
+@_query("op2_brown_lm")
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of every document, by words alone and by class bigrams."""
+    docs = common.documents(spark, sf_dir)
+    model = brown.train(docs.filter(~brown.held_out()))
+    return brown.score(docs, model).select(
+        F.col("id").alias("doc_id"), brown.held_out("id").alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
