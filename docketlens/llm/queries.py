@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, common, decontaminate, exact_dedup, packing, quality, simhash, toxicity
+from . import brown, common, decontaminate, exact_dedup, packing, quality, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,18 @@ def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(docs, model).select(
         F.col("id").alias("doc_id"), brown.held_out("id").alias("held_out"), "n_tokens", "n_known",
         F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@_query("op6_warc_index", """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS head FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> head THEN head END AS refers_to FROM m""")
+def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives, indexed, looked up by their keys and read back."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    archive = warc.write_archives(pages)
+    index = warc.build_index(archive)
+    return warc.read_records(archive, warc.lookup(index, pages)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
