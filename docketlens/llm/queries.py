@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, common, decontaminate, exact_dedup, packing, quality, simhash, toxicity, warc
+from . import brown, common, decontaminate, exact_dedup, line_dedup, packing, quality, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,10 @@ def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.build_index(archive)
     return warc.read_records(archive, warc.lookup(index, pages)).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query("op5_line_dedup")
+def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its repeated chunks removed."""
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    return line_dedup.line_dedup(docs, report=("removed_chunks", "removed_bytes"))
