@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, common, decontaminate, exact_dedup, line_dedup, packing, quality, simhash, toxicity, warc
+from . import brown, common, decontaminate, exact_dedup, licenses, line_dedup, packing, quality, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,3 +122,63 @@ def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its repeated chunks removed."""
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
     return line_dedup.line_dedup(docs, report=("removed_chunks", "removed_bytes"))
+
+
+def _paths(docs: DataFrame) -> DataFrame:
+    """The documents as files of a tree: ten to a directory, ten directories to one above,
+    and so on; the first of ten is its directory's license file."""
+    i = F.col("doc_id")
+    level = lambda n: F.floor(i / n).cast("string")
+    name = F.when(i % 10 == 0, F.lit("LICENSE")).otherwise(F.concat(i.cast("string"), F.lit(".txt")))
+    # The license file of the first directory of ten stands one level higher, and so on.
+    where = (F.when(i % 1000 == 0, F.concat_ws("/", level(1000)))
+             .when(i % 100 == 0, F.concat_ws("/", level(1000), level(100)))
+             .otherwise(F.concat_ws("/", level(1000), level(100), level(10))))
+    return docs.select("doc_id", F.concat_ws("/", F.lit("docs"), where, name).alias("path"), "text")
+
+
+_LICENSE_SQL = r"""
+WITH RECURSIVE p AS (
+  SELECT doc_id, coalesce(text, '') AS text, 'docs/' ||
+    CASE WHEN doc_id % 1000 = 0 THEN '' || doc_id // 1000
+         WHEN doc_id % 100 = 0 THEN doc_id // 1000 || '/' || doc_id // 100
+         ELSE doc_id // 1000 || '/' || doc_id // 100 || '/' || doc_id // 10 END AS dir,
+    doc_id % 10 = 0 AS is_file, CASE WHEN doc_id % 10 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS name
+  FROM documents),
+s0 AS (SELECT DISTINCT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[ 	
+
+]+', '' || chr(10), 'g'), chr(10))) AS s FROM p),
+s AS (SELECT * FROM s0 WHERE regexp_matches(s, '%(cue)s')),
+u AS (SELECT s, count(*) AS times, regexp_extract_all(lower(s), '%(term)s') AS terms FROM s GROUP BY s),
+n AS (SELECT coalesce(sum(times), 0) AS n FROM u),
+df AS (SELECT term, sum(times) AS df FROM (SELECT times, unnest(list_distinct(terms)) AS term FROM u) GROUP BY term),
+t(template, license, body) AS (VALUES %(templates)s),
+st AS (SELECT s, term, count(*) AS tf FROM (SELECT s, unnest(terms) AS term FROM u) GROUP BY s, term),
+tt AS (SELECT template, license, term, count(*) AS tf FROM (
+  SELECT template, license, unnest(regexp_extract_all(lower(body), '%(term)s')) AS term FROM t) GROUP BY ALL),
+sw AS (SELECT s, term, tf * (ln((n.n + 1) / (df + 1)) + 1) AS w FROM st JOIN df USING (term), n),
+tw AS (SELECT template, license, term, tf * (ln((n.n + 1) / (coalesce(df, 0) + 1)) + 1) AS w FROM tt LEFT JOIN df USING (term), n),
+sn AS (SELECT s, sqrt(sum(w * w)) AS size FROM sw GROUP BY s),
+tn AS (SELECT template, sqrt(sum(w * w)) AS size FROM tw GROUP BY template),
+c AS (SELECT sw.s, tw.license, round(sum(sw.w * tw.w) / (any_value(sn.size) * any_value(tn.size)), 6) AS cosine
+  FROM sw JOIN tw USING (term) JOIN sn ON sn.s = sw.s JOIN tn ON tn.template = tw.template
+  GROUP BY sw.s, tw.template, tw.license),
+o AS (SELECT doc_id, license, cosine FROM s JOIN c USING (s) WHERE cosine >= 0.6
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) = 1),
+f AS (SELECT p.doc_id, p.dir, p.name, p.is_file, o.license AS own_license, o.cosine AS own_similarity FROM p LEFT JOIN o USING (doc_id)),
+g AS (SELECT dir, arg_max(own_license, {'c': own_similarity, 'l': own_license}) AS dir_license FROM f WHERE is_file AND own_license IS NOT NULL GROUP BY dir),
+i AS (SELECT f.doc_id, g.dir, g.dir_license FROM f JOIN g ON f.dir = g.dir OR starts_with(f.dir, g.dir || '/') WHERE f.own_license IS NULL
+  QUALIFY row_number() OVER (PARTITION BY f.doc_id ORDER BY length(g.dir) DESC) = 1)
+SELECT doc_id, f.dir || '/' || name AS path, own_license, own_similarity, coalesce(own_license, dir_license) AS license,
+       CASE WHEN own_license IS NOT NULL THEN 'own' WHEN dir_license IS NOT NULL THEN 'inherited' END AS via, i.dir AS license_dir
+FROM f LEFT JOIN i USING (doc_id)"""
+for _mark, _value in (("%(cue)s", licenses.CUE), ("%(term)s", licenses.TERM),
+                      ("%(templates)s", ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(licenses.TEMPLATES)))):
+    _LICENSE_SQL = _LICENSE_SQL.replace(_mark, _value)
+
+
+@_query("op8_license_scan", _LICENSE_SQL)
+def licensed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license of every document, its own or that of the nearest directory above."""
+    files = _paths(common.documents(spark, sf_dir))
+    return licenses.inherit_licenses(licenses.scan_licenses(files, keep=["doc_id"])).drop("file")
