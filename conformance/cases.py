@@ -72,17 +72,18 @@ def all_results(spark, sf):
 
 # ---------------------------------------------------------------- sources ---
 
-@case("SRC-1", """SELECT doc_id, file_name, 'sha256:' || sha256(text) AS content_hash FROM (
+@case("SRC-1", """SELECT doc_id, file_name, 'sha256:' || sha256(text) AS content_hash,
+    CASE WHEN strlen(text) <= 20000 THEN 'ok' ELSE 'oversized' END AS status FROM (
     SELECT doc_id, text, 'doc-' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF'
       WHEN 2 THEN '.docx' ELSE '.Pdf' END AS file_name FROM documents)
-    WHERE regexp_matches(file_name, '(?i)\\.pdf$') AND strlen(text) <= 20000""")
+    WHERE regexp_matches(file_name, '(?i)\\.pdf$')""")
 def src_1(spark, sf):
     files = V.table(spark, sf, "documents").selectExpr(
         "doc_id", "concat('in/doc-', doc_id, case doc_id % 4 when 0 then '.pdf' when 1 then '.PDF' "
                   "when 2 then '.docx' else '.Pdf' end) path",
         "cast(text as binary) content", "cast(octet_length(text) as bigint) length")
     small = R.Thresholds(max_filing_bytes=20000)
-    return readers.candidate_filings(files, small).select("doc_id", "file_name", "content_hash")
+    return readers.candidate_filings(files, small).select("doc_id", "file_name", "content_hash", "status")
 
 
 @case("SRC-2", """SELECT doc_id, page_no,
@@ -131,11 +132,14 @@ def _rule_texts(spark, sf) -> DataFrame:
     ).agg(F.max("text").alias("text"))
 
 
-@case("SRC-4", f"""SELECT string_agg(coalesce(t.text, '[Rule ' || regexp_extract(w.f, '^rule-(.*)\\.md$', 1)
+_CORPUS = f"""SELECT string_agg(coalesce(t.text, '[Rule ' || regexp_extract(w.f, '^rule-(.*)\\.md$', 1)
       || ' text not available. Expected at ' || w.f || ']'), {q(R.RULE_SEPARATOR)} ORDER BY w.i) AS rules_text
     FROM (SELECT unnest({R.REQUIRED_RULES}) AS f, unnest(range(0, 10)) AS i) w LEFT JOIN (
       SELECT ({R.REQUIRED_RULES[:9] + ["other.md"]})[doc_id % 10 + 1] AS f, max(text) AS text
-      FROM documents GROUP BY 1) t ON w.f = t.f""")
+      FROM documents GROUP BY 1) t ON w.f = t.f"""
+
+
+@case("SRC-4", _CORPUS)
 def src_4(spark, sf):
     return catalog.rule_corpus(_rule_texts(spark, sf))
 
@@ -182,11 +186,17 @@ def snk_3(spark, sf):
 @case("SNK-4", f"""SELECT v.doc_id, substring(sha256(v.doc_id || ':{RUN}'), 1, 12) AS report_id, recommendation
     FROM v_verdict v WHERE v.doc_id IN (SELECT doc_id FROM labels)""")
 def snk_4(spark, sf):
-    reports = writers.summaries(results(spark, sf), V.fx_docs(spark, sf), RUN)
+    """Stored twice, as a rerun would, and read back from the store."""
+    reports = writers.summaries(results(spark, sf), V.fx_docs(spark, sf), RUN).select(
+        "doc_id", "report_id", "recommendation")
+    store = V.work_folder(spark) + "/reports"
+    for _ in range(2):
+        writers.write_reports(reports, store, RUN)
     asked = V.table(spark, sf, "labels").select(
         X.report_id(F.col("doc_id"), RUN).alias("report_id")).unionByName(
         V.table(spark, sf, "labels").select(F.concat(F.lit("none-"), "doc_id").alias("report_id")))
-    return writers.reports_by_id(reports, asked).select("doc_id", "report_id", "recommendation")
+    return writers.reports_by_id(spark.read.parquet(store), asked).select(
+        "doc_id", "report_id", "recommendation")
 
 
 # ------------------------------------------------------------ projections ---
@@ -279,26 +289,35 @@ def prj_12(spark, sf):
         "doc_id", "check_id", "applicable")
 
 
-@case("PRJ-13", """SELECT doc_id, CASE WHEN length(full_text) > 2000 THEN substring(full_text, 1, 2000)
-    || chr(10) || chr(10) || '[TEXT TRUNCATED]' ELSE full_text END AS text FROM fx_docs""")
+def _parts_sql(n: int) -> str:
+    return (f"SELECT *, greatest(1, cast(ceil(length(full_text) / {n}.0) AS int)) AS part_count, "
+            f"unnest(range(1, greatest(1, cast(ceil(length(full_text) / {n}.0) AS int)) + 1)) AS part_no FROM fx_docs")
+
+
+@case("PRJ-13", f"""SELECT doc_id, cast(part_no AS int) AS part_no, part_count,
+    substring(full_text, 2000 * (part_no - 1) + 1, 2000) AS text FROM ({_parts_sql(2000)})""")
 def prj_13(spark, sf):
-    return V.fx_docs(spark, sf).select("doc_id", X.truncate_text(F.col("full_text"), 2000).alias("text"))
+    parts = X.text_parts(F.col("full_text"), 2000)
+    return V.fx_docs(spark, sf).select(
+        "doc_id", F.size(parts).alias("part_count"), F.posexplode(parts).alias("part", "text")).select(
+        "doc_id", (F.col("part") + 1).alias("part_no"), "part_count", "text")
 
 
 @case("PRJ-14", f"""SELECT a.doc_id, a.brief_type, c.total_pages, {words('d.full_text')} AS word_count, a.n AS asked_checks,
-    a.ids, length(d.full_text) AS text_length FROM (SELECT doc_id, any_value(brief_type) AS brief_type, count(*) AS n,
+    a.ids, 'sha256:' || sha256(k.rules_text) AS rules_key, d.part_count, cast(d.part_no AS int) AS part_no,
+    substring(d.full_text, 60000 * (d.part_no - 1) + 1, 60000) AS brief_text FROM (SELECT doc_id, any_value(brief_type) AS brief_type, count(*) AS n,
       string_agg(check_id, ',' ORDER BY check_no) AS ids FROM v_asked WHERE applicable GROUP BY 1) a
-    JOIN v_pagecounts c ON a.doc_id = c.doc_id JOIN fx_docs d ON a.doc_id = d.doc_id""")
+    JOIN v_pagecounts c ON a.doc_id = c.doc_id JOIN ({_parts_sql(60000)}) d ON a.doc_id = d.doc_id CROSS JOIN ({_CORPUS}) k""")
 def prj_14(spark, sf):
     docs = typed_docs(spark, sf).join(
         documents.doc_page_counts(V.fx_pages(spark, sf)), "doc_id").withColumn(
         "word_count", X.word_count(F.col("full_text")))
-    whole = R.Thresholds(judge_text_chars=10_000_000)
+    key = catalog.rules_key(catalog.rule_corpus(_rule_texts(spark, sf)))
     asked = F.from_json("checks_json", "array<struct<id:string>>")
-    return catalog.judge_requests(docs, R.check_catalog(spark), _rule_texts(spark, sf), whole).select(
+    return catalog.judge_requests(docs, R.check_catalog(spark), key).select(
         "doc_id", "brief_type", "total_pages", "word_count", "asked_checks",
         F.array_join(F.transform(asked, lambda a: a["id"]), ",").alias("ids"),
-        F.length("brief_text").alias("text_length"))
+        "rules_key", "part_count", "part_no", "brief_text")
 
 
 # ------------------------------------------------------------------ joins ---
@@ -320,7 +339,7 @@ def jn_2(spark, sf):
 @case("JN-3", "SELECT d.doc_id, c.check_id, c.severity FROM documents d CROSS JOIN dim_catalog c")
 def jn_3(spark, sf):
     return catalog.docs_by_checks(
-        V.table(spark, sf, "documents").select("doc_id"), R.check_catalog(spark)).select(
+        typed_docs(spark, sf).select("doc_id", "brief_type"), R.check_catalog(spark)).select(
         "doc_id", "check_id", "severity")
 
 
@@ -381,6 +400,18 @@ def jn_9(spark, sf):
         "doc_id", "brief_type")
 
 
+@case("rule_warnings", """SELECT page_id, rule, CASE WHEN page_id % 3 = 0 OR date_diff('day',
+    DATE '2024-01-01' + CAST(page_id % 200 AS int), DATE '2024-06-01') >= 90
+    THEN CASE WHEN page_id % 2 = 0 THEN 'new ' || page_id END ELSE 'old ' || page_id END AS warning FROM fx_html""")
+def rule_warnings(spark, sf):
+    rules = V.fx_html(spark, sf).select("page_id", F.concat(F.lit("r"), "page_id").alias("rule"), F.col("rule").alias("shown"))
+    log = rules.select("*", F.expr("if(page_id % 3 = 0, 'junk', string(date_add(date'2024-01-01', int(page_id % 200))))")
+                       .alias("last_checked"), F.expr("concat('old ', page_id)").alias("warning"))
+    fresh = rules.filter("page_id % 2 = 0").select("rule", F.expr("concat('new ', page_id)").alias("warning"))
+    found = governance.rule_warnings(log, fresh, F.lit("2024-06-01").cast("date"))
+    return rules.join(found, "rule").select("page_id", F.col("shown").alias("rule"), "warning")
+
+
 # ----------------------------------------------------------- aggregations ---
 
 @case("AGG-1", """SELECT doc_id, page_no, round(left_in, 6) AS left_in, round(right_in, 6) AS right_in,
@@ -643,11 +674,12 @@ _evidence("EVD-2", evidence.toc_reference_style,
           cast(sum({count('text', '[^0-9' + chr(10) + '][ .' + chr(9) + ']\\d+[ ' + chr(9) + ']*$', 'm')}) AS bigint) AS page_refs
           FROM fx_dpages WHERE {hit('text', _SECTION['table_of_contents'], 'i')} GROUP BY 1""", V.fx_dpages)
 _evidence("EVD-3", evidence.authorities_sorted,
-          f"""SELECT doc_id, cast(sum(len(cases)) AS bigint) AS case_lines, bool_and(cases = list_sort(cases)) AS pages_sorted,
-          cast(sum(marks) AS bigint) AS paragraph_refs FROM (SELECT doc_id,
+          f"""SELECT doc_id, cast(len(whole) AS bigint) AS case_lines, whole = list_sort(whole) AS in_order, paragraph_refs
+          FROM (SELECT doc_id, flatten(list(cases ORDER BY page_no)) AS whole, cast(sum(marks) AS bigint) AS paragraph_refs
+          FROM (SELECT doc_id, page_no,
             list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, {WS})), lambda x: contains(x, ' v. ')) AS cases,
             {count('text', R.BRACKET_MARK)} + {count('text', R.PARAGRAPH_MARK)} AS marks
-          FROM fx_dpages WHERE {hit('text', _SECTION['table_of_authorities'], 'i')}) GROUP BY 1""", V.fx_dpages)
+          FROM fx_dpages WHERE {hit('text', _SECTION['table_of_authorities'], 'i')}) GROUP BY 1)""", V.fx_dpages)
 _evidence("EVD-4", evidence.record_cite_mix,
           f"""SELECT *, CASE WHEN record_cites + other_cites > 0 THEN
           round(record_cites / (record_cites + other_cites), 6) END AS compliant_share FROM (SELECT doc_id,
@@ -678,18 +710,38 @@ _evidence("EVD-11", evidence.neutral_cite_years,
           JOIN v_cites c ON y.doc_id = c.doc_id""")
 _evidence("EVD-12", evidence.amicus_statements,
           f"SELECT doc_id, {_flag_sql(evidence.AMICUS_STATEMENTS)} FROM fx_docs")
+def _redacted_sql(col: str) -> str:
+    for pattern, flags, shortened in evidence.REDACTIONS:
+        col = f"regexp_replace({col}, {q((f'(?{flags})' if flags else '') + pattern)}, {q(shortened.replace('$', chr(92)))}, 'g')"
+    return col
+
+
 _evidence("EVD-13", evidence.personal_identifiers,
-          f"SELECT doc_id, {_count_sql(evidence.IDENTIFIERS)} FROM fx_docs")
+          f"SELECT doc_id, {_count_sql(evidence.IDENTIFIERS)}, {_redacted_sql('full_text')} AS redacted_text FROM fx_docs")
+_LINES = f"list_filter(list_transform(string_split(full_text, chr(10)), lambda x: trim(x, {WS})), lambda x: x <> '')"
 _evidence("EVD-14", evidence.statute_quotes,
           f"""SELECT doc_id, {count('full_text', evidence.CODE_CITE)} AS code_cites,
-          {hit('full_text', R.ADDENDUM_LINE, 'im')} AS has_addendum FROM fx_docs""")
-_evidence("EVD-15", sensitive.sensitive_counts,
-          f"""SELECT d.doc_id, coalesce(h.dockets, 0) AS dockets, coalesce(h.district_dockets, 0) AS district_dockets,
-          coalesce(c.n, 0) AS captions FROM fx_docs d LEFT JOIN (SELECT doc_id, count(*) FILTER (kind = 'supreme') AS dockets,
-            count(*) FILTER (kind = 'district') AS district_dockets FROM ({ORACLES['SET-2'].split('WITH', 1)[0]}
-            SELECT * FROM ({_DOCKETS}) WHERE hit NOT IN
-            ({', '.join(q(x) for x in R.PLACEHOLDER_DOCKETS + R.PLACEHOLDER_DISTRICT_DOCKETS)})) GROUP BY 1) h
-          ON d.doc_id = h.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({_CAPTIONS}) GROUP BY 1) c ON d.doc_id = c.doc_id""")
+          {hit('full_text', R.ADDENDUM_LINE, 'im')} AS has_addendum,
+          CASE WHEN len({_LINES}) > 0 THEN round(1 - len(list_distinct({_LINES})) / len({_LINES}), 6) END AS repeated_lines
+          FROM fx_docs""")
+
+_ALLOWED = "7$"  # a user's allow-list: whatever ends in a seven
+_NAMED = "'doc-' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.DOCX' WHEN 1 THEN '.md' ELSE '.xlsx7' END"
+
+
+@case("EVD-15", f"""SELECT d.doc_id, coalesce(h.dockets, 0) AS dockets, coalesce(h.district_dockets, 0) AS district_dockets,
+    coalesce(c.n, 0) AS captions, {hit(_NAMED.replace('doc_id', 'd.doc_id'), R.BINARY_NAME_PATTERN, 'i')}
+      AND NOT {hit(_NAMED.replace('doc_id', 'd.doc_id'), _ALLOWED)} AS binary_name
+    FROM fx_docs d LEFT JOIN (SELECT doc_id, count(*) FILTER (kind = 'supreme') AS dockets,
+      count(*) FILTER (kind = 'district') AS district_dockets FROM ({_DOCKETS}) WHERE hit NOT IN
+      ({', '.join(q(x) for x in R.PLACEHOLDER_DOCKETS + R.PLACEHOLDER_DISTRICT_DOCKETS)})
+      AND NOT {hit('hit', _ALLOWED)} GROUP BY 1) h ON d.doc_id = h.doc_id
+    LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({_CAPTIONS}) WHERE NOT {hit('line', _ALLOWED)} GROUP BY 1) c
+    ON d.doc_id = c.doc_id""")
+def evd_15(spark, sf):
+    named = V.fx_docs(spark, sf).withColumn("file_name", F.expr(
+        "concat('doc-', doc_id, case doc_id % 3 when 0 then '.DOCX' when 1 then '.md' else '.xlsx7' end)"))
+    return sensitive.sensitive_counts(named, _ALLOWED)
 
 
 # ---------------------------------------------------------------- scalars ---
@@ -807,7 +859,7 @@ def scl_14(spark, sf):
 def str_1(spark, sf):
     return intake.run_available(
         spark, f"{sf}/documents.parquet", V.table(spark, sf, "documents").schema,
-        lambda batch: intake.check_batch(*_batch_inputs(batch))).select(
+        lambda batch: intake.check_batch(*_batch_inputs(batch)), V.work_folder(spark)).select(
         "doc_id", "recommendation", "total_checks", "failed_ids")
 
 
@@ -817,12 +869,12 @@ def _batch_inputs(batch):
 
 @case("STR-2", "SELECT DISTINCT 'sha256:' || sha256(text) AS content_hash FROM documents")
 def str_2(spark, sf):
-    return intake.run_stream(
+    return intake.run_uploads(
         spark, f"{sf}/documents.parquet", V.table(spark, sf, "documents").schema,
-        lambda uploads: intake.dedupe_uploads(uploads.select(
+        lambda uploads: uploads.select(
             X.content_hash(F.col("text")).alias("content_hash"),
             F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") % 86400).alias("received_at")),
-            "2 days").select("content_hash"))
+        V.work_folder(spark)).select("content_hash")
 
 
 @case("STR-3", """SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start,

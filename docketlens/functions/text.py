@@ -231,20 +231,25 @@ def first_examples(items: Column, n: int = R.DEFAULTS.citation_examples) -> Colu
 
 
 def pages_from_message(message: Column, details: Column, passed: Column) -> Column:
-    """Page numbers named by a failed result's message, else by its details."""
+    """Page numbers named by a failed result's message, else by its details.
+
+    Digits beyond an integer are no page number.
+    """
     def found(text):
         on = F.regexp_extract(text, rx(r"\bon(?:\s+pages?)?\s+([\d,\s]+)"), 1)
         on_pages = all_matches(on, r"\d+")
         named = all_matches(F.regexp_extract(text, rx(r"pages?[:\s]+([\d,\s]+)", "i"), 1), r"\d+")
         picked = F.when(F.size(on_pages) > 0, on_pages).when(F.size(named) > 0, named)
-        return F.transform(picked, lambda n: n.cast("int"))
+        return F.filter(F.transform(picked, lambda n: n.try_cast("int")), lambda n: n.isNotNull())
 
     return F.when(~passed, F.coalesce(found(message), found(details)))
 
 
-def truncate_text(col: Column, n: int = R.DEFAULTS.judge_text_chars) -> Column:
-    return F.when(F.length(col) > n,
-                  F.concat(F.substring(col, 1, n), F.lit("\n\n[TEXT TRUNCATED]"))).otherwise(col)
+def text_parts(col: Column, n: int = R.DEFAULTS.judge_text_chars) -> Column:
+    """The whole text in pieces of at most ``n`` characters; an empty text is one piece."""
+    text = F.coalesce(col, F.lit(""))
+    return F.when(text == "", F.array(F.lit(""))).otherwise(
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{n}}}"), F.lit(0)))
 
 
 def content_hash(col: Column) -> Column:

@@ -17,39 +17,39 @@ UNANSWERED = "Not evaluated by AI analysis; manual review recommended."
 NO_MESSAGE = "No details provided."
 
 
-# Sizes up to which the catalogue and the rule texts may become plan constants.
-MAX_CATALOG_ROWS = 1_000
-MAX_RULE_CHARS = 1_000_000
+# Documents of one type meet the checks of their type on this many keys.
+SALTS = 8
 
 
-def docs_by_checks(docs: DataFrame, catalog: DataFrame) -> DataFrame:
-    """JN-3: every document with every catalogue row.
+def asked() -> Column:
+    return F.col("types").isNull() | F.array_contains("types", F.col("brief_type"))
 
-    The catalogue, a few dozen rows, becomes one array constant (a scalar
-    subquery), and each document row unfolds it in place: no join, no shuffle.
-    Select the document columns needed beforehand.
-    """
-    return docs.select("*", F.inline(bounded_catalog(catalog).scalar()))
 
+def checks_by_type(catalog: DataFrame) -> DataFrame:
+    """Every catalogue row once per document type, with ``applicable``: few rows, whatever the documents."""
+    types = F.array(*[F.lit(t) for t in R.BRIEF_TYPES])
+    return catalog.withColumn("brief_type", F.explode(types)).withColumn(
+        "applicable", F.coalesce(asked(), F.lit(False)))
 
-def bounded_catalog(catalog: DataFrame) -> DataFrame:
-    """The catalogue as one array; a table too large to be one stops the job."""
-    kept = catalog.limit(MAX_CATALOG_ROWS + 1)
-    rows = F.array_sort(F.collect_list(F.struct(*catalog.columns)))
-    return kept.agg(rows.alias("checks")).select(
-        F.when(F.size("checks") <= MAX_CATALOG_ROWS, F.col("checks")).otherwise(
-            F.raise_error(F.lit("the check catalogue is too large"))
-            .cast(kept.agg(rows).schema[0].dataType)).alias("checks"))
 
+def docs_by_checks(docs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """JN-3: every document with every catalogue row, by an equi-join on its type.
 
-def asked() -> Column:
-    return F.col("types").isNull() | F.array_contains("types", F.col("brief_type"))
+    The catalogue side is small and Spark broadcasts it by its size; where it is
+    not, the salt spreads the few types over more keys.  Types outside the
+    enumeration are treated as unknown.  Select the document columns needed
+    beforehand.
+    """
+    rows = checks_by_type(catalog).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("brief_type", "type_key")
+    kind = F.when(F.col("brief_type").isin(*R.BRIEF_TYPES), F.col("brief_type")).otherwise("unknown")
+    keyed = docs.withColumns({"type_key": kind, "salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")})
+    return keyed.join(rows, ["type_key", "salt"]).drop("type_key", "salt")
 
 
 def applicable_checks(docs: DataFrame, catalog: DataFrame) -> DataFrame:
     """PRJ-12: per document which checks are asked; the others pass unasked."""
-    return docs_by_checks(docs.select("doc_id", "brief_type"), catalog).withColumn(
-        "applicable", F.coalesce(asked(), F.lit(False)))
+    return docs_by_checks(docs.select("doc_id", "brief_type"), catalog)
 
 
 def inapplicable_results(applicable: DataFrame) -> DataFrame:
@@ -58,59 +58,75 @@ def inapplicable_results(applicable: DataFrame) -> DataFrame:
         F.lit(False).alias("applicable"),
         F.format_string("Not applicable to %s briefs.", F.col("brief_type")).alias("message"),
         F.lit(None).cast("string").alias("details"),
-        F.lit(None).cast("array<int>").alias("pages"))
+        F.lit(None).cast("array<int>").alias("pages"),
+        F.lit(None).cast("array<string>").alias("items"))
 
 
 def rule_corpus(rule_texts: DataFrame, required: list[str] | None = None) -> DataFrame:
     """Rule texts in corpus order as one row; a missing rule leaves a placeholder.
 
-    ``rule_texts`` is the rule dimension: one row for each required rule.
+    One text per required rule takes part: of several under one name the last in order.
     """
     names = list(required or R.REQUIRED_RULES)
     wanted = rule_texts.sparkSession.createDataFrame(
         list(enumerate(names)), "rule_no int, file_name string")
     number = F.regexp_extract("file_name", r"^rule-(.*)\.md$", 1)
     gap = F.format_string("[Rule %s text not available. Expected at %s]", number, F.col("file_name"))
-    sized = F.when(F.length("text") <= MAX_RULE_CHARS, F.col("text")).otherwise(
-        F.raise_error(F.lit("a rule text is too long")).cast("string"))
-    known = rule_texts.filter(F.col("file_name").isin(names)).withColumn("text", sized)
+    known = rule_texts.filter(F.col("file_name").isin(names)).groupBy("file_name").agg(F.max("text").alias("text"))
     filled = wanted.join(known, "file_name", "left").select(
         "rule_no", F.coalesce("text", gap).alias("text"))
-    parts = F.array_sort(F.collect_list(F.struct("rule_no", "text")))
+    parts = F.array_sort(F.collect_list(F.struct("rule_no", "text")))  # one text per required rule
     return filled.groupBy().agg(F.array_join(
         F.transform(parts, lambda p: p["text"]), R.RULE_SEPARATOR).alias("rules_text"))
 
 
+def rules_key(corpus: DataFrame) -> str:
+    """The name under which a rule corpus is kept: requests carry it instead of the text."""
+    return corpus.select(X.content_hash(F.col("rules_text"))).first()[0]
+
+
 def requested_checks(catalog: DataFrame) -> DataFrame:
     """Per document type the JSON array of checks to ask.
 
     Built once per type (seven rows), not once per document.
     """
-    types = F.array(*[F.lit(t) for t in R.BRIEF_TYPES])
-    rows = bounded_catalog(catalog).select(F.inline("checks")).withColumn(
-        "brief_type", F.explode(types)).filter(asked())
     items = F.array_sort(F.collect_list(F.struct(
         "check_no", F.struct(F.col("check_id").alias("id"), "name", "rule", "description")
         .alias("item"))))
-    return rows.groupBy("brief_type").agg(
+    return checks_by_type(catalog).filter("applicable").groupBy("brief_type").agg(
         F.to_json(F.transform(items, lambda i: i["item"])).alias("checks_json"),
         F.count(F.lit(1)).alias("asked_checks"))
 
 
-def judge_requests(docs: DataFrame, catalog: DataFrame, rule_texts: DataFrame,
+def judge_requests(docs: DataFrame, catalog: DataFrame, rules: str,
                    th: R.Thresholds = R.DEFAULTS) -> DataFrame:
-    """PRJ-14: one request per document with everything a judge needs.
+    """PRJ-14: everything a judge needs, one row per part of a document's text.
 
-    The rule corpus (ten files of bounded size) is a scalar constant of the plan.
+    No text is cut off: the parts, at most ``judge_text_chars`` long, are numbered
+    from 1 and joined give the whole.  The rule corpus is named by its key.
     """
+    parts = X.text_parts(F.col("full_text"), th.judge_text_chars)
     return (
-        docs.join(F.broadcast(requested_checks(catalog)), "brief_type")
-        .select("doc_id", "brief_type", "total_pages", "word_count", "asked_checks",
-                "checks_json", rule_corpus(rule_texts).scalar().alias("rules_text"),
-                X.truncate_text(F.col("full_text"), th.judge_text_chars).alias("brief_text"))
+        docs.join(requested_checks(catalog), "brief_type")
+        .select("doc_id", "brief_type", "total_pages", "word_count", "asked_checks", "checks_json",
+                F.lit(rules).alias("rules_key"), F.size(parts).alias("part_count"),
+                F.posexplode(parts).alias("part", "brief_text"))
+        .withColumn("part_no", F.col("part") + 1).drop("part")
     )
 
 
+def join_parts(judged: DataFrame) -> DataFrame:
+    """Answers about parts of a text as one per document and check.
+
+    What is found in one part is there: a check passes if any part passes it,
+    and the answer that decided is kept.
+    """
+    first = F.struct((~F.coalesce("passed", F.lit(True))).alias("failed"), "part_no")
+    chosen = F.min_by(F.struct("passed", "rule", "message", "details"), first)
+    return judged.groupBy("doc_id", "check_id").agg(chosen.alias("j"), F.min("problem").alias("problem")).select(
+        "doc_id", "problem", "check_id", "j.*")
+
+
 def parse_judgement(raw: Column) -> Column:
     """SCL-13: the answer's JSON array, or null when there is none.
 
@@ -121,11 +137,18 @@ def parse_judgement(raw: Column) -> Column:
         F.split(trimmed, "\n", -1), lambda line: ~line.startswith("```")), "\n")
     body = F.when(trimmed.startswith("```"), unfenced).otherwise(trimmed)
     outer = F.regexp_extract(body, r"(?s)\[.*\]", 0)
-    as_array = "array<struct<id:string,passed:boolean,rule:string,message:string,details:string>>"
+    falsy = ["false", "null", "0", "0.0", "-0", "", "[]", "{}"]
+
+    def item(m: Column) -> Column:
+        # A map tells a null from a missing field: null is false, missing is left open.
+        passed = F.when(F.map_contains_key(m, "passed"), F.coalesce(~F.lower(m["passed"]).isin(falsy), F.lit(False)))
+        return F.struct(m["id"].alias("id"), passed.alias("passed"),
+                        *[m[k].alias(k) for k in ("rule", "message", "details")])
 
     def parsed(text: Column) -> Column:
-        whole = F.when(X.strip(text).startswith("["), F.from_json(text, as_array))
-        return F.when(F.size(whole) >= 0, whole)
+        whole = F.when(X.strip(text).startswith("["), F.from_json(text, "array<map<string,string>>"))
+        read = ~F.exists(whole, lambda m: m.isNull())
+        return F.when(read, F.transform(whole, item))
 
     return F.coalesce(parsed(body), parsed(F.when(outer != "", outer)))
 
@@ -143,10 +166,11 @@ def judged_rows(answers: DataFrame, raw: str = "answer") -> DataFrame:
     An answer that cannot be read leaves one row with ``problem`` set.
     """
     items = answers.withColumn("items", parse_judgement(F.col(raw)))
+    part = [c for c in ("part_no",) if c in answers.columns]
     return items.select(
-        "doc_id", parse_problem(F.col(raw), F.col("items")).alias("problem"),
+        "doc_id", *part, parse_problem(F.col(raw), F.col("items")).alias("problem"),
         F.explode_outer("items").alias("j")).select(
-        "doc_id", "problem", F.col("j.id").alias("check_id"), "j.passed", "j.rule",
+        "doc_id", *part, "problem", F.col("j.id").alias("check_id"), "j.passed", "j.rule",
         "j.message", "j.details")
 
 
@@ -180,7 +204,7 @@ def merge_judgements(applicable: DataFrame, judged: DataFrame) -> DataFrame:
         F.when(evaluated, F.coalesce("j_message", F.lit(NO_MESSAGE)))
         .otherwise(unanswered).alias("message"),
         "details", F.lit(None).cast("array<int>").alias("pages"),
-        evaluated.alias("evaluated"))
+        F.lit(None).cast("array<string>").alias("items"), evaluated.alias("evaluated"))
 
 
 def requested_minus_judged(applicable: DataFrame, judged: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketlens import rules as R
@@ -15,22 +15,26 @@ _SHORTEST_REPORTER_CITE = 10  # characters of "1 N.W.2d 1"
 def citation_positions(docs: DataFrame, pattern: str, flags: str = "") -> DataFrame:
     """WIN-4: 0-based start and end offset of each match of ``pattern``.
 
-    The text is split into the pieces around the matches inside its own row;
-    only piece lengths and the matched strings enter the running sum.
+    All matches of a document come from one row: the text is cut around them,
+    and a running sum over piece and match lengths gives the offsets in place.
     """
     text = F.col("full_text")
     cut = docs.select(
         "doc_id", X.all_matches(text, pattern, flags).alias("hits"),
         F.transform(F.split(text, X.rx(pattern, flags), -1), F.length).alias("gaps"))
-    rows = cut.filter(F.size("hits") > 0).select(
-        "doc_id", "gaps", F.posexplode("hits").alias("hit_no", "hit")).select(
-        "doc_id", "hit_no", "hit", F.element_at("gaps", F.col("hit_no") + 1).alias("gap"))
-    before = Window.partitionBy("doc_id").orderBy("hit_no").rowsBetween(
-        Window.unboundedPreceding, -1)
-    skipped = F.coalesce(F.sum(F.col("gap") + F.length("hit")).over(before), F.lit(0))
-    start = (skipped + F.col("gap")).cast("int")
-    return rows.select("doc_id", "hit_no", "hit", start.alias("start"),
-                       (start + F.length("hit")).alias("end"))
+    steps = F.zip_with("hits", F.slice("gaps", 1, F.greatest(F.size("hits"), F.lit(1))),
+                       lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
+    none = F.array().cast("array<struct<hit_no:int,hit:string,start:int,end:int>>")
+
+    def place(done: Column, step: Column) -> Column:
+        start = done["at"] + step["gap"]
+        end = start + F.length(step["hit"])
+        row = F.struct(F.size(done["rows"]).alias("hit_no"), step["hit"].alias("hit"),
+                       start.alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), F.concat(done["rows"], F.array(row)).alias("rows"))
+
+    placed = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("rows")), place, lambda d: d["rows"])
+    return cut.filter(F.size("hits") > 0).select("doc_id", F.inline(placed))
 
 
 def nearby_citation_anti(cites_a: DataFrame, cites_b: DataFrame,
@@ -41,26 +45,27 @@ def nearby_citation_anti(cites_a: DataFrame, cites_b: DataFrame,
     inside ``[a.start - distance, a.end + distance]``.  Positions are cut into
     buckets of the band's width, so the equi-join key is (document, bucket) and
     a document with very many citations spreads over many keys.  Each ``a`` row
-    visits the few buckets its band touches, and the semi join stops at the
-    first partner, so no pairs are produced.
+    visits the few buckets its band touches and meets only partners in its band.
     """
     width = 2 * distance
     a = cites_a.select(
-        "doc_id", F.col("start").alias("a_start"), F.col("end").alias("a_end"),
+        "*", F.col("start").alias("a_start"), F.col("end").alias("a_end"),
         F.explode(F.sequence(
             F.floor(F.greatest(F.col("start") - distance, F.lit(0)) / width),
             F.floor((F.col("end") + distance) / width))).alias("bucket"))
     b = cites_b.select(
         "doc_id", F.col("start").alias("b_start"), F.col("end").alias("b_end"),
         F.floor(F.col("start") / width).alias("bucket"))
-    b = b.distinct()
     near = a.alias("a").join(
-        b.alias("b"),
+        b.distinct().alias("b"),
         (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.bucket") == F.col("b.bucket"))
         & (F.col("b.b_start") >= F.col("a.a_start") - distance)
-        & (F.col("b.b_end") <= F.col("a.a_end") + distance), "left_semi",
-    ).select("doc_id", F.col("a_start").alias("start"))
-    return cites_a.join(near, ["doc_id", "start"], "left_anti")
+        & (F.col("b.b_end") <= F.col("a.a_end") + distance), "left")
+    # A band holds few citations, as each has a least length; every row of a is
+    # flagged in the same pass and met once.
+    kept = [F.first(f"a.{c}").alias(c) for c in cites_a.columns if c not in ("doc_id", "start")]
+    return near.groupBy(F.col("a.doc_id"), F.col("a.a_start").alias("start")).agg(
+        *kept, F.count("b.b_start").alias("near")).filter("near = 0").drop("near").select(*cites_a.columns)
 
 
 def citation_pieces(text: Column, th: R.Thresholds = R.DEFAULTS) -> list[Column]:

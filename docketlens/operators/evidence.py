@@ -6,7 +6,7 @@ shuffle is needed, and the features never claim to be the judgement itself.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlens import rules as R
@@ -48,6 +48,14 @@ IDENTIFIERS = {
     "emails": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "phones": r"\b\d{3}-\d{3}-\d{4}\b",
 }
+# What stays of an identifier: the last four digits of tax and account numbers, the year of birth.
+REDACTIONS = [
+    (r"\b\d{3}-\d{2}-(\d{4})\b", "", "xxx-xx-$1"),
+    (r"\b(born|birth|dob)(\D{0,20})\d{1,2}/\d{1,2}/(\d{4})\b", "i", "$1$2xx/xx/$3"),
+    (r"\b\d{9,15}(\d{4})\b", "", "x$1"),
+    (IDENTIFIERS["emails"], "", "[e-mail address]"),
+    (r"\b\d{3}-\d{3}-(\d{4})\b", "", "xxx-xxx-$1"),
+]
 CODE_CITE = r"N\.D\.C\.C\.\s+(?:§|ch\.)\s*\d"
 NEUTRAL_YEAR = r"\b((?:19|20)\d{2})\s+ND(?:\s+App)?\s+\d+"
 NEUTRAL_SINCE = 1997
@@ -79,23 +87,27 @@ def toc_reference_style(pages: DataFrame) -> DataFrame:
 
 
 def authorities_sorted(pages: DataFrame) -> DataFrame:
-    """EVD-3: are the case lines of each authorities page in order, with marks?
+    """EVD-3: are the case lines of the authorities pages in order, with marks?
 
-    Order is tested inside each page, so nothing wider than one page is held at
-    once.
+    A page is reduced to its first and last case and whether it is in order
+    itself; neighbouring pages are then compared, a few rows per document.
     """
     text = F.col("text")
     toa = pages.filter(X.matches(text, R.SECTION_PATTERNS["table_of_authorities"], "i"))
     cases = F.filter(F.transform(F.split(text, "\n", -1), X.strip),
                      lambda line: line.contains(" v. "))
-    per_page = toa.select(
-        "doc_id", "page_no", cases.alias("cases"),
-        (X.count_matches(text, R.BRACKET_MARK, needs="[") + X.count_matches(text, R.PARAGRAPH_MARK, needs="¶"))
-        .alias("marks")).select(
+    marks = X.count_matches(text, R.BRACKET_MARK, needs="[") + X.count_matches(text, R.PARAGRAPH_MARK, needs="¶")
+    per_page = toa.select("doc_id", "page_no", cases.alias("cases"), marks.alias("marks")).select(
         "doc_id", "page_no", F.size("cases").alias("n"), "marks",
+        F.get("cases", F.lit(0)).alias("first"), F.get("cases", F.size("cases") - 1).alias("last"),
         (F.col("cases") == F.array_sort("cases")).alias("sorted"))
-    return per_page.groupBy("doc_id").agg(
-        F.sum("n").cast("long").alias("case_lines"), F.min("sorted").alias("pages_sorted"),
+    # Pages without a case line do not interrupt the order.
+    before = Window.partitionBy("doc_id").orderBy("page_no")
+    follows = F.coalesce(F.last("last", ignorenulls=True).over(
+        before.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("first"), F.lit(True))
+    return per_page.withColumn("follows", follows).groupBy("doc_id").agg(
+        F.sum("n").cast("long").alias("case_lines"),
+        F.min(F.col("sorted") & F.col("follows")).alias("in_order"),
         F.sum("marks").alias("paragraph_refs"))
 
 
@@ -159,7 +171,7 @@ def neutral_cite_years(docs: DataFrame) -> DataFrame:
     text = F.col("full_text")
     years = X.all_matches(text, NEUTRAL_YEAR, "", 1)
     facts = with_missing_citations(docs.select(
-        "doc_id", "full_text", F.transform(years, lambda y: y.cast("int")).alias("years")))
+        "doc_id", "full_text", F.transform(years, lambda y: y.try_cast("int")).alias("years")))
     return facts.select(
         "doc_id",
         F.size(F.filter("years", lambda y: y < NEUTRAL_SINCE)).alias("before_1997"),
@@ -172,14 +184,29 @@ def amicus_statements(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *_flags(F.col("full_text"), AMICUS_STATEMENTS))
 
 
+def redacted(text: Column) -> Column:
+    """The text with identifiers shortened as the privacy rule wants them."""
+    for pattern, flags, shortened in REDACTIONS:
+        text = F.regexp_replace(text, X.rx(pattern, flags), shortened)
+    return text
+
+
 def personal_identifiers(docs: DataFrame) -> DataFrame:
-    """EVD-13: identifiers that the privacy rule wants shortened, counted."""
-    return docs.select("doc_id", *_counts(F.col("full_text"), IDENTIFIERS))
+    """EVD-13: identifiers that the privacy rule wants shortened: counts, and the shortened text."""
+    return docs.select("doc_id", *_counts(F.col("full_text"), IDENTIFIERS),
+                       redacted(F.col("full_text")).alias("redacted_text"))
+
+
+def repeated_line_share(text: Column) -> Column:
+    """Share of the lines with text that repeat another line of the document."""
+    lines = F.filter(F.transform(F.split(text, "\n", -1), X.strip), lambda line: line != "")
+    return F.when(F.size(lines) > 0, F.round(1 - F.size(F.array_distinct(lines)) / F.size(lines), 6))
 
 
 def statute_quotes(docs: DataFrame) -> DataFrame:
-    """EVD-14: code citations, and whether an addendum could hold their text."""
+    """EVD-14: code citations, whether an addendum could hold their text, repeated lines."""
     text = F.col("full_text")
     return docs.select(
         "doc_id", X.count_matches(text, CODE_CITE).alias("code_cites"),
-        X.matches(text, R.ADDENDUM_LINE, "im").alias("has_addendum"))
+        X.matches(text, R.ADDENDUM_LINE, "im").alias("has_addendum"),
+        repeated_line_share(text).alias("repeated_lines"))

@@ -41,20 +41,20 @@ def span_position_class(th: R.Thresholds = R.DEFAULTS) -> Column:
     )
 
 
-def small_caps_size(size: Column, predominant: Column, th: R.Thresholds = R.DEFAULTS) -> Column:
-    """Size ratio inside the small-capitals band; false without a body size."""
-    ratio = size / predominant
-    return F.coalesce((predominant > 0) & (ratio >= th.small_caps_ratio_low)
-                      & (ratio <= th.small_caps_ratio_high), F.lit(False))
+def final_class_sql(row: str = "", th: R.Thresholds = R.DEFAULTS) -> str:
+    """Class of a span or run once the document's body size is known.
 
+    Capitals whose size ratio lies in the band are small capitals; without a
+    body size they are body text.  ``row`` prefixes the fields of the run.
+    """
+    ratio = f"{row}size / predominant_font_size"
+    return (f"case when {row}position_class <> 'capitals' then {row}position_class "
+            f"when predominant_font_size > 0 and {ratio} between {th.small_caps_ratio_low!r}D "
+            f"and {th.small_caps_ratio_high!r}D then 'small_caps' else 'body' end")
 
-def final_class(position_class: Column, size: Column, predominant: Column,
-                th: R.Thresholds = R.DEFAULTS) -> Column:
-    return (
-        F.when((position_class == "capitals") & small_caps_size(size, predominant, th), "small_caps")
-        .when(position_class == "capitals", "body")
-        .otherwise(position_class)
-    )
+
+def final_class(th: R.Thresholds = R.DEFAULTS) -> Column:
+    return F.expr(final_class_sql("", th))
 
 
 def undersized(size: Column, th: R.Thresholds = R.DEFAULTS) -> Column:
@@ -78,22 +78,21 @@ def classify_small_spans(spans: DataFrame, doc_stats: DataFrame,
         "capitals", X.is_all_uppercase(F.col("text"))).withColumn(
         "position_class", span_position_class(th))
     return spans_with_doc_stats(small, doc_stats).withColumn(
-        "span_class",
-        final_class(F.col("position_class"), F.col("size"), F.col("predominant_font_size"), th)
-    ).drop("position_class", "capitals")
+        "span_class", final_class(th)).drop("position_class", "capitals")
 
 
 def place_in_page() -> Column:
     """Reading order inside a page as one number, so that hashing can take its minimum.
 
-    Each ordinal has 21 bits.  A filing's size cap keeps a page far below two
-    million blocks, lines or spans; anything beyond stops the job.
+    Ten decimal digits for each ordinal hold every integer.
     """
-    limit = 1 << 21
-    return F.expr(
-        f"if(greatest(block_no, coalesce(line_no, 0), coalesce(span_no, 0)) < {limit}, "
-        f"(bigint(block_no) * {limit} + coalesce(line_no, 0)) * {limit} + coalesce(span_no, 0), "
-        f"bigint(raise_error('more than {limit} blocks, lines or spans on a page')))")
+    step = "10000000000"
+
+    def part(name: str) -> str:
+        return f"cast(coalesce({name}, 0) as decimal(10,0))"
+
+    return F.expr(f"cast({part('block_no')} * {step}{step[1:]} + {part('line_no')} * {step} "
+                  f"+ {part('span_no')} as decimal(38,0))")
 
 
 def font_histogram(spans: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
@@ -170,7 +169,7 @@ def page_font_counts(histogram: DataFrame, doc_stats: DataFrame,
                      th: R.Thresholds = R.DEFAULTS) -> DataFrame:
     """AGG-8: characters per page, in all and undersized by class."""
     small = undersized(F.col("size"), th)
-    kind = final_class(F.col("position_class"), F.col("size"), F.col("predominant_font_size"), th)
+    kind = final_class(th)
     typed = spans_with_doc_stats(histogram, doc_stats).select(
         *PAGE, "size", "chars", small.alias("small"), kind.alias("kind"))
 
@@ -225,19 +224,14 @@ def unfold_runs(runs: DataFrame) -> DataFrame:
 def run_count_columns(th: R.Thresholds = R.DEFAULTS) -> dict[str, Column]:
     """AGG-8 over the ``runs`` of a page row that knows the document's body size."""
     small = f"r.size < {th.small_font_limit!r}D"
-    caps = (f"r.position_class = 'capitals' and predominant_font_size > 0 and "
-            f"r.size / predominant_font_size between {th.small_caps_ratio_low!r}D "
-            f"and {th.small_caps_ratio_high!r}D")
+    kind = final_class_sql("r.", th)
 
     def chars(condition: str) -> Column:
         return F.expr(f"aggregate(filter(runs, r -> {condition}), 0L, (n, r) -> n + r.chars)")
 
     return {
         "total_chars": chars("true"),
-        "body_chars": chars(f"{small} and (r.position_class = 'body' or "
-                            f"(r.position_class = 'capitals' and not ({caps})))"),
-        "header_footer_chars": chars(f"{small} and r.position_class = 'header_footer'"),
-        "superscript_chars": chars(f"{small} and r.position_class = 'superscript'"),
-        "small_caps_chars": chars(f"{small} and {caps}"),
+        **{f"{name}_chars": chars(f"{small} and {kind} = '{name}'")
+           for name in ("body", "header_footer", "superscript", "small_caps")},
         "min_small_size": F.expr(f"array_min(transform(filter(runs, r -> {small}), r -> r.size))"),
     }

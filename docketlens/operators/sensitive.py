@@ -63,16 +63,26 @@ def binary_names(files: DataFrame) -> DataFrame:
     return files.filter(X.matches(F.col("file_name"), R.BINARY_NAME_PATTERN, "i"))
 
 
-def sensitive_counts(docs: DataFrame) -> DataFrame:
-    """EVD-15: identifiers and captions per document, placeholders removed."""
+def sensitive_counts(docs: DataFrame, allow_pattern: str | None = None) -> DataFrame:
+    """EVD-15: identifiers, captions and binary names per document, placeholders removed.
+
+    The user's ``allow_pattern`` applies to all four scans.  ``file_name`` is
+    scanned where the documents have one.
+    """
     text = F.col("full_text")
 
+    def allowed(found):
+        return found.rlike(allow_pattern) if allow_pattern else F.lit(False)
+
     def real(pattern: str, examples: list[str]):
-        return F.size(F.filter(X.all_matches(text, pattern), lambda h: ~h.isin(examples)))
+        return F.size(F.filter(X.all_matches(text, pattern), lambda h: ~h.isin(examples) & ~allowed(h)))
 
     captions = F.size(F.filter(F.split(text, "\n", -1), lambda line: X.matches(
-        line, R.CAPTION_PATTERN, "i") & ~line.rlike(R.CAPTION_PLACEHOLDERS)))
-    return docs.select(
-        "doc_id", real(R.DOCKET_PATTERN, R.PLACEHOLDER_DOCKETS).alias("dockets"),
-        real(R.DISTRICT_DOCKET_PATTERN, R.PLACEHOLDER_DISTRICT_DOCKETS).alias("district_dockets"),
-        captions.alias("captions"))
+        line, R.CAPTION_PATTERN, "i") & ~line.rlike(R.CAPTION_PLACEHOLDERS) & ~allowed(line)))
+    columns = [real(R.DOCKET_PATTERN, R.PLACEHOLDER_DOCKETS).alias("dockets"),
+               real(R.DISTRICT_DOCKET_PATTERN, R.PLACEHOLDER_DISTRICT_DOCKETS).alias("district_dockets"),
+               captions.alias("captions")]
+    if "file_name" in docs.columns:
+        name = F.col("file_name")
+        columns.append((X.matches(name, R.BINARY_NAME_PATTERN, "i") & ~allowed(name)).alias("binary_name"))
+    return docs.select("doc_id", *columns)

@@ -52,8 +52,7 @@ def analyse(corpus: Corpus, run_id: str, overrides: DataFrame | None = None,
     if overrides is not None:
         docs = documents.override_type(docs, overrides)
     facts = mechanical.document_facts(docs, corpus.pages, corpus.spans, th, stage)
-    covers = docs.select("doc_id", "cover_text")
-    facts = stage("document_facts", facts.join(covers, "doc_id"))
+    facts = stage("document_facts", facts)
     results = mechanical.results_of(facts, th)
     if registry is not None:
         extra = registry.results(docs, corpus.pages, corpus.spans)
@@ -61,6 +60,8 @@ def analyse(corpus: Corpus, run_id: str, overrides: DataFrame | None = None,
     if answers is not None:
         checks = check_catalog or R.check_catalog(docs.sparkSession)
         judged = catalog.judged_rows(answers)
+        if "part_no" in judged.columns:
+            judged = catalog.join_parts(judged)
         results = catalog.all_results(
             results, catalog.semantic_results(facts.select("doc_id", "brief_type"), checks, judged))
     results = stage("results", results)
@@ -70,9 +71,12 @@ def analyse(corpus: Corpus, run_id: str, overrides: DataFrame | None = None,
 def judge_requests(corpus: Corpus, facts: DataFrame, rule_texts: DataFrame,
                    check_catalog: DataFrame | None = None,
                    th: R.Thresholds = R.DEFAULTS) -> DataFrame:
-    """Requests for the documents of an analysis, text included."""
+    """Requests for the documents of an analysis, text included.
+
+    The rule corpus itself (``catalog.rule_corpus``) is kept under the key that requests carry.
+    """
     spark = facts.sparkSession
     docs = corpus.docs.select("doc_id", "full_text").join(
         facts.select("doc_id", "brief_type", "total_pages", "word_count"), "doc_id")
     return catalog.judge_requests(
-        docs, check_catalog or R.check_catalog(spark), rule_texts, th)
+        docs, check_catalog or R.check_catalog(spark), catalog.rules_key(catalog.rule_corpus(rule_texts)), th)

@@ -28,7 +28,7 @@ _FONT_FACTS = ["predominant_font_size", "predominant_font", "min_font_size", "do
 def text_facts(docs: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
     """Facts of the document text; one pass, no shuffle, text left behind."""
     text = F.col("full_text")
-    passing = [c for c in ("path", "brief_type") if c in docs.columns]
+    passing = [c for c in ("path", "brief_type", "cover_text") if c in docs.columns]
     facts = docs.select(
         "doc_id", *passing, "full_text",
         F.upper("cover_text").contains("ORAL ARGUMENT").alias("asks_oral_argument"),
@@ -173,7 +173,7 @@ def _pages(column: str, n: int = R.DEFAULTS.page_list_max) -> str:
 
 
 def _result(key: str, passed: str, message: str, details: str = "null", /,
-            applicable: str = "true", pages: str = "null", **fixed: str) -> str:
+            applicable: str = "true", pages: str = "null", items: str = "null", **fixed: str) -> str:
     """One result; id, name, rule and severity come from the table unless given."""
     _, name, rule, severity = _FIXED.get(key, (key, "", "", ""))
     head = {"check_id": _text(key), "name": _text(name), "rule": _text(rule),
@@ -182,7 +182,8 @@ def _result(key: str, passed: str, message: str, details: str = "null", /,
         f"named_struct('check_id', {head['check_id']}, 'name', {head['name']}, "
         f"'rule', {head['rule']}, 'passed', coalesce({passed}, true), "
         f"'severity', {head['severity']}, 'applicable', {applicable}, 'message', {message}, "
-        f"'details', cast({details} as string), 'pages', cast({pages} as array<int>))")
+        f"'details', cast({details} as string), 'pages', cast({pages} as array<int>), "
+        f"'items', cast({items} as array<string>))")
 
 
 def _case(*branches: tuple[str, str], otherwise: str = "null") -> str:
@@ -229,6 +230,10 @@ def _font_size(th: R.Thresholds) -> str:
         hit = f"transform(filter(font_issues, i -> i.{field} > 0), i -> i.page)"
         return f"if(size({hit}) > 0, concat('{label} on pages ', {_pages(hit)}), null)"
 
+    # Every page with small text, by kind: the texts name the first ten.
+    listed = "concat(" + ", ".join(
+        f"transform(filter(font_issues, i -> i.{field} > 0), i -> concat('{label} on page ', i.page))"
+        for field, label in (("body_chars", "body"), *kinds)) + ")"
     counts = (("body_chars", "body"), ("small_caps_chars", "small caps"),
               ("header_footer_chars", "header/footer"), ("superscript_chars", "superscript"))
     parts = ", ".join(f"if(i.{f} > 0, concat(i.{f}, ' {label}'), null)" for f, label in counts)
@@ -256,6 +261,7 @@ def _font_size(th: R.Thresholds) -> str:
             + ", ".join(pages_with(*k) for k in kinds) + "), '.')"), otherwise=breakdown),
         pages=_case((f"not {ok}", "transform(filter(font_issues, i -> i.body_chars > 0), "
                                   "i -> i.page)")),
+        items=_case((f"not {clean}", listed)),
         severity=f"if({ok} or worst_page_body_chars >= {th.serious_body_chars}, "
                  "'reject', 'note')")
 
@@ -410,7 +416,8 @@ def _neutral_cites(th: R.Thresholds) -> str:
         _case((f"not {ok}", _fill(
             "N.D.R.Ct. 11.6(b) requires the medium-neutral citation (YYYY ND ##) for opinions "
             "since 1997. Citations without one nearby: %s. Earlier cases need none; verify "
-            "manually.", examples))))
+            "manually.", examples))),
+        items=_case((f"not {ok}", "missing_cites")))
 
 
 def _rehearing_words(th: R.Thresholds) -> str:

@@ -59,7 +59,8 @@ class Registry:
                  "severity": check.severity}
         defaults = {"applicable": F.lit(True), "message": F.lit(""),
                     "details": F.lit(None).cast("string"),
-                    "pages": F.lit(None).cast("array<int>")}
+                    "pages": F.lit(None).cast("array<int>"),
+                    "items": F.lit(None).cast("array<string>")}
         rows = rows.withColumns({k: F.lit(v) for k, v in fixed.items()})
         rows = rows.withColumns({k: v for k, v in defaults.items() if k not in rows.columns})
         return rows.select(*S.RESULT_COLUMNS)
@@ -74,6 +75,6 @@ def judge_with(requests: DataFrame,
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "answer": judge(batch)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "part_no": batch["part_no"], "answer": judge(batch)})
 
-    return requests.mapInPandas(run, "doc_id long, answer string")
+    return requests.mapInPandas(run, "doc_id long, part_no int, answer string")

@@ -27,6 +27,7 @@ LAYOUT = T.StructType([
     T.StructField("path", T.StringType()),
     T.StructField("received_at", T.TimestampType()),
     T.StructField("pages", T.ArrayType(PAGE)),
+    T.StructField("_corrupt_record", T.StringType()),
 ])
 
 RESULT_FIELDS = [
@@ -39,6 +40,7 @@ RESULT_FIELDS = [
     T.StructField("details", T.StringType()),
     T.StructField("applicable", T.BooleanType()),
     T.StructField("pages", T.ArrayType(T.IntegerType())),
+    T.StructField("items", T.ArrayType(T.StringType())),  # everything a shortened text stands for
 ]
 RESULT = T.StructType(RESULT_FIELDS)
 
@@ -67,5 +69,5 @@ JUDGEMENT = T.StructType([
 
 RESULT_COLUMNS = [
     "doc_id", "check_id", "name", "rule", "passed", "severity", "applicable",
-    "message", "details", "pages",
+    "message", "details", "pages", "items",
 ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Adaptive execution sizes the reduce side, splits skewed joins and picks
 # broadcast from measured sizes; nothing here depends on the data volume.
@@ -28,17 +28,3 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
-    """Reliable checkpoint in the folder that the cluster names.
-
-    The folder comes from ``spark.checkpoint.dir``; ``fallback_dir`` is used
-    only where that setting is absent, as in tests.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or fallback_dir
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()

@@ -11,15 +11,15 @@ from docketlens.functions import text as X
 
 
 def candidate_filings(files: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
-    """Files that may be analysed: the right extension and not above the size cap.
+    """Every file with the right extension, its content hash, and whether it is oversized.
 
-    The cap bounds what one document can bring into a task later on.
+    Nothing is left out: ``status`` lets the caller treat large filings apart.
     """
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     return (
         files.withColumn("file_name", name)
-        .filter(X.matches(F.col("file_name"), r"\.pdf$", "i")
-                & (F.col("length") <= th.max_filing_bytes))
+        .filter(X.matches(F.col("file_name"), r"\.pdf$", "i"))
+        .withColumn("status", F.when(F.col("length") <= th.max_filing_bytes, "ok").otherwise("oversized"))
         .withColumn("content_hash", X.content_hash(F.col("content")))
         .drop("content")
     )
@@ -38,10 +38,25 @@ def read_layout(spark: SparkSession, path: str) -> DataFrame:
     """SRC-2: nested documents, one JSON object per line.
 
     :func:`docketlens.operators.layout.flatten_layout` turns them into spans.
+    A line that cannot be parsed keeps its text in ``_corrupt_record``;
+    :func:`rejected_lines` lists those.
     """
     return spark.read.schema(S.LAYOUT).option("mode", "PERMISSIVE").json(path)
 
 
+def rejected_lines(nested: DataFrame) -> DataFrame:
+    """Lines that give no rows, with the reason: broken JSON, no document id, no page number.
+
+    Write them to a table of rejects beside the results and count them there.
+    """
+    broken = F.col("_corrupt_record").isNotNull()
+    reason = F.when(broken, "not JSON").when(F.col("doc_id").isNull(), "no doc_id")
+    if "pages" in nested.columns:
+        reason = reason.when(F.exists("pages", lambda p: p["page_no"].isNull()), "page without number")
+    return nested.withColumn("reason", reason).filter("reason is not null").select(
+        "doc_id", "reason", F.col("_corrupt_record").alias("line"))
+
+
 def unfold_results(documents: DataFrame) -> DataFrame:
     """Result rows of interchange documents of either producer.
 

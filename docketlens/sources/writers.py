@@ -9,7 +9,7 @@ from docketlens import schema as S
 from docketlens.functions import text as X
 from docketlens.operators import verdict
 
-_JSON_FIELDS = ["check_id", "name", "rule", "passed", "severity", "message", "details", "applicable"]
+_JSON_FIELDS = ["check_id", "name", "rule", "passed", "severity", "message", "details", "applicable", "items"]
 _DOC_FIELDS = ["path", "brief_type", "total_pages", "body_pages", "word_count", "cover_text",
                "full_text"]
 
@@ -48,10 +48,16 @@ def summaries(results: DataFrame, docs: DataFrame, run_id: str, details: bool =
     )
 
 
-def write_reports(reports: DataFrame, path: str) -> None:
-    """SNK-4: keep reports, clustered by the first digit pair of their id."""
-    reports.withColumn("id_prefix", F.substring("report_id", 1, 2)).write.mode(
-        "append").partitionBy("id_prefix").parquet(path)
+def write_reports(reports: DataFrame, path: str, run_id: str, files: int = 1) -> None:
+    """SNK-4: keep the reports of a run, clustered by the first digit pair of their id.
+
+    Report ids are spread evenly over the prefixes; ``files`` salts a prefix of a
+    large run over more files.  A rerun overwrites its own run's folders only.
+    """
+    keyed = reports.withColumns({"run_id": F.lit(run_id), "id_prefix": F.substring("report_id", 1, 2)})
+    salt = F.pmod(F.xxhash64("report_id"), F.lit(files))
+    (keyed.repartition("id_prefix", salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_id", "id_prefix").parquet(path))
 
 
 def report_by_id(spark: SparkSession, path: str, report_id: str) -> DataFrame:
@@ -61,7 +67,7 @@ def report_by_id(spark: SparkSession, path: str, report_id: str) -> DataFrame:
     """
     return spark.read.parquet(path).filter(
         (F.col("id_prefix") == report_id[:2]) & (F.col("report_id") == report_id)
-    ).drop("id_prefix")
+    ).drop("id_prefix", "run_id")
 
 
 def reports_by_id(reports: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docketlens import rules as R
 from docketlens import schema as S
@@ -40,20 +39,39 @@ def stream_checks(layout_stream: DataFrame, out: str, checkpoint: str,
     Each batch owns one folder and overwrites it, so a batch that is replayed
     after a failure leaves no second copy.
     """
+    staged = checkpoint.rstrip("/") + "-batches"
+
     def process(batch: DataFrame, batch_id: int) -> None:
-        check(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        # Several branches read the batch: its source is read and parsed once.
+        path = f"{staged}/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(path)
+        stored = batch.sparkSession.read.schema(batch.schema).parquet(path)
+        check(stored).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     writer = layout_stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def dedupe_uploads(uploads: DataFrame, within: str = "7 days") -> DataFrame:
-    """STR-2: drop the same content sent again inside ``within``.
+def dedupe_uploads(uploads: DataFrame, store: str, checkpoint: str, **trigger):
+    """STR-2: keep the first upload of every content under ``store``, however late it comes.
 
-    State holds one hash per upload of that period and expires with the watermark.
+    What was kept is a table of hashes by batch; a new batch is reduced to one row
+    per hash and anti-joined with the batches before it.  A replayed batch
+    overwrites its own folder.  No watermark is involved, so an upload that was
+    never seen is never dropped.
     """
-    return uploads.withWatermark("received_at", within).dropDuplicatesWithinWatermark(
-        ["content_hash"])
+    schema = StructType([*uploads.schema.fields]).add("batch_id", "long")
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        once = batch.groupBy("content_hash").agg(*[
+            F.min_by(c, "received_at").alias(c) for c in batch.columns if c != "content_hash"])
+        if batch_id:
+            kept = batch.sparkSession.read.schema(schema).parquet(store).filter(F.col("batch_id") < batch_id)
+            once = once.join(kept.select("content_hash"), "content_hash", "left_anti")
+        once.select(*batch.columns).write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
+
+    writer = uploads.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def intake_counts(verdicts: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
@@ -66,37 +84,22 @@ def intake_counts(verdicts: DataFrame, width: str = "1 hour", late: str | None =
         "recommendation", "n")
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder in the shared place the cluster names; a local one in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/intake-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="spark-")
-
-
 def _read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     folder, _, name = path.rpartition("/")
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
-def run_available(spark: SparkSession, path: str, schema,
-                  check: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Everything that has arrived under ``path``, checked as a stream."""
-    work = work_folder(spark)
+def run_available(spark: SparkSession, path: str, schema, check: Callable[[DataFrame], DataFrame],
+                  work: str) -> DataFrame:
+    """Everything that has arrived under ``path``, checked as a stream; ``work`` is a shared folder."""
     query = stream_checks(_read_stream(spark, path, schema), f"{work}/out", f"{work}/state", check)
     query.awaitTermination()
     return spark.read.parquet(f"{work}/out")
 
 
-def run_stream(spark: SparkSession, path: str, schema,
-               transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The rows a streaming transformation appends for what has arrived."""
-    work = work_folder(spark)
-    result = transform(_read_stream(spark, path, schema))
-    query = (
-        result.writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", f"{work}/state").option("path", f"{work}/out")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(result.schema).parquet(f"{work}/out")
+def run_uploads(spark: SparkSession, path: str, schema, uploads: Callable[[DataFrame], DataFrame],
+                work: str) -> DataFrame:
+    """The uploads kept of everything that has arrived; ``uploads`` gives content_hash and received_at."""
+    rows = uploads(_read_stream(spark, path, schema))
+    dedupe_uploads(rows, f"{work}/out", f"{work}/state").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{work}/out")

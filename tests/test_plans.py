@@ -83,10 +83,12 @@ def test_filters_reach_the_scan(spark, sf_dir):
     assert plan(df).count("EqualTo(doc_id,7)") == 2  # text and footer branch
 
 
-def test_too_many_ordinals_stop_the_job(spark):
-    rows = spans_df(spark, [span(block=1 << 21)])
-    with pytest.raises(Exception, match="blocks, lines or spans"):
-        fonts.font_histogram(rows).collect()
+def test_large_ordinals(spark):
+    """Ordinals have no limit, and the histogram still aggregates by hash."""
+    rows = spans_df(spark, [span(block=2_000_000_000, size=9.0), span(block=1 << 21, size=10.0)])
+    got = fonts.font_histogram(rows)
+    assert [r["size"] for r in got.orderBy("place").collect()] == [10.0, 9.0]
+    assert "SortAggregate" not in plan(got)
 
 
 def test_single_checks_read_only_what_they_need(spark, sf_dir, expected):

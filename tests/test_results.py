@@ -153,7 +153,7 @@ def test_manifest_of_files(spark, tmp_path):
     for name, size in (("a.pdf", 10), ("b.PDF", 100), ("c.txt", 10), ("d.pdf", 2000)):
         (tmp_path / name).write_bytes(b"x" * size)
     got = readers.read_manifest(spark, str(tmp_path), R.Thresholds(max_filing_bytes=1000)).collect()
-    assert sorted(r.file_name for r in got) == ["a.pdf", "b.PDF"]
+    assert {r.file_name: r.status for r in got} == {"a.pdf": "ok", "b.PDF": "ok", "d.pdf": "oversized"}
     assert all(r.content_hash.startswith("sha256:") for r in got)
 
 
@@ -177,9 +177,12 @@ def test_report_store_and_html(spark, corpus, tmp_path):
     assert "<b>REJECT</b>" in page and f"Failed Checks ({row.failed_checks})" in page
     assert page.index("Critical") < page.index("Passed Checks") and "v&lt;1&gt;" in page
     assert row.report_id in page
-    writers.write_reports(analysis.reports, str(tmp_path / "store"))
+    for _ in range(2):  # a rerun leaves one copy
+        writers.write_reports(analysis.reports, str(tmp_path / "store"), "r1")
+    writers.write_reports(analysis.reports.limit(3), str(tmp_path / "store"), "r2", files=2)
+    assert spark.read.parquet(str(tmp_path / "store")).count() == 203
     found = writers.report_by_id(spark, str(tmp_path / "store"), row.report_id)
-    assert [r.doc_id for r in found.collect()] == [row.doc_id]
+    assert {r.doc_id for r in found.collect()} == {row.doc_id}
     assert "PartitionFilters: [isnotnull(id_prefix" in found._jdf.queryExecution().executedPlan().toString()
     assert writers.report_by_id(spark, str(tmp_path / "store"), "ffffffffffff").count() == 0
 
@@ -209,8 +212,57 @@ def test_full_analysis_with_judge_and_registry(spark, corpus, tmp_path):
     assert done.results.columns == S.RESULT_COLUMNS
 
 
-def test_oversized_catalogue_stops_the_job(spark):
-    rows = [(f"X-{i}", "n", "r", None, "note", "d") for i in range(catalog.MAX_CATALOG_ROWS + 1)]
-    docs = spark.createDataFrame([(1, "reply")], "doc_id long, brief_type string")
-    with pytest.raises(Exception, match="too large"):
-        catalog.applicable_checks(docs, R.check_catalog(spark, rows)).collect()
+def test_large_catalogue(spark):
+    rows = [(f"X-{i}", "n", "r", ["reply"] if i % 2 else None, "note", "d") for i in range(3000)]
+    docs = spark.createDataFrame([(1, "reply"), (2, None), (3, "bogus")], "doc_id long, brief_type string")
+    got = catalog.applicable_checks(docs, R.check_catalog(spark, rows))
+    assert {r.doc_id: (r["n"], r["m"]) for r in got.groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.sum(F.col("applicable").cast("int")).alias("m")).collect()} == {
+            1: (3000, 3000), 2: (3000, 1500), 3: (3000, 1500)}
+
+
+@pytest.mark.parametrize("value,passed", [("true", True), ("false", False), ("0", False), ("null", False), ('""', False),
+                                          ("[]", False), ("{}", False), ("1", True), ('"yes"', True), ("[1]", True)])
+def test_truth_of_passed(spark, value, passed):
+    df = spark.createDataFrame([(f'[{{"id":"A","passed":{value}}}, {{"id":"B"}}]',)], "t string")
+    got = df.select(catalog.parse_judgement(F.col("t"))).first()[0]
+    assert [r.passed for r in got] == [passed, None]
+
+
+def test_parts_of_a_text_are_asked_and_joined(spark):
+    text = "x" * 25 + "\n" + "é" * 10
+    docs = spark.createDataFrame([(1, "reply", 1, 2, text), (2, "reply", 1, 0, ""), (3, "reply", 1, 0, None)],
+                                 "doc_id long, brief_type string, total_pages int, word_count int, full_text string")
+    asked = catalog.judge_requests(docs, R.check_catalog(spark), "key", R.Thresholds(judge_text_chars=10))
+    parts = sorted((r.doc_id, r.part_no, r.part_count, r.brief_text) for r in asked.collect())
+    assert "".join(p[3] for p in parts if p[0] == 1) == text
+    assert [p[:3] for p in parts] == [(1, i, 4) for i in (1, 2, 3, 4)] + [(2, 1, 1), (3, 1, 1)]
+    answers = spark.createDataFrame([(1, i, '[{"id":"SEC-001","passed":%s,"message":"%d"}]' % (str(i == 3).lower(), i))
+                                     for i in (1, 2, 3, 4)], "doc_id long, part_no int, answer string")
+    joined = catalog.join_parts(catalog.judged_rows(answers)).collect()
+    assert [(r.doc_id, r.check_id, r.passed, r.message) for r in joined] == [(1, "SEC-001", True, "3")]
+
+
+def test_broken_lines_are_listed(spark, tmp_path):
+    lines = ['{"doc_id": 1, "pages": [{"page_no": 0, "blocks": []}]}', "{broken", '{"pages": []}',
+             '{"doc_id": 2, "pages": [{"blocks": []}]}']
+    (tmp_path / "a.json").write_text("\n".join(lines))
+    got = readers.rejected_lines(readers.read_layout(spark, str(tmp_path))).collect()
+    assert sorted((r.reason, r.line) for r in got) == [
+        ("no doc_id", None), ("not JSON", "{broken"), ("page without number", None)]
+    assert readers.rejected_lines(readers.read_documents(spark, str(tmp_path))).filter("reason = 'not JSON'").count() == 1
+
+
+def test_long_digit_runs_and_full_lists(spark):
+    df = spark.createDataFrame([("on 99999999999, 4", False)], "m string, p boolean")
+    from docketlens.functions import text as X
+    assert df.select(X.pages_from_message(F.col("m"), F.lit(None), F.col("p"))).first()[0] == [4]
+
+
+def test_rule_warnings(spark):
+    day = datetime.date(2026, 6, 1)
+    log = spark.createDataFrame([("a", "2026-05-30", "old"), ("b", "2020-01-01", "old"), ("c", None, "old")],
+                                "rule string, last_checked string, warning string")
+    fresh = spark.createDataFrame([("b", "new")], "rule string, warning string")
+    got = {r.rule: r.warning for r in governance.rule_warnings(log, fresh, F.lit(day)).collect()}
+    assert got == {"a": "old", "b": "new", "c": None}

@@ -32,22 +32,22 @@ def _write(folder, name, rows):
     (folder / name).write_text("\n".join(json.dumps(r) for r in rows))
 
 
-def test_repeated_uploads_are_dropped(spark, tmp_path):
+def test_repeated_uploads_are_dropped_and_late_ones_kept(spark, tmp_path):
     start = datetime.datetime(2026, 1, 1)
-    rows = [{"content_hash": h, "received_at": (start + datetime.timedelta(hours=i)).isoformat()}
-            for i, h in enumerate(["a", "b", "a", "c", "b"])]
-    _write(tmp_path / "in", "1.json", rows)
-    stream = spark.readStream.schema("content_hash string, received_at timestamp").json(
-        str(tmp_path / "in"))
-    query = intake.dedupe_uploads(stream, "2 days").writeStream.format("memory").queryName(
-        "uploads").outputMode("append").start()
-    query.processAllAvailable()
-    assert sorted(r.content_hash for r in spark.table("uploads").collect()) == ["a", "b", "c"]
-    _write(tmp_path / "in", "2.json", [
-        {"content_hash": "a", "received_at": (start + datetime.timedelta(hours=9)).isoformat()}])
-    query.processAllAvailable()
-    query.stop()
-    assert spark.table("uploads").count() == 3
+
+    def upload(name, hours):
+        _write(tmp_path / "in", name, [
+            {"content_hash": h, "received_at": (start + datetime.timedelta(hours=i)).isoformat()} for h, i in hours])
+
+    def run():
+        stream = spark.readStream.schema("content_hash string, received_at timestamp").json(str(tmp_path / "in"))
+        intake.dedupe_uploads(stream, str(tmp_path / "store"), str(tmp_path / "state")).awaitTermination()
+        return sorted((r.content_hash, r.received_at.hour) for r in spark.read.parquet(str(tmp_path / "store")).collect())
+
+    upload("1.json", [("a", 3), ("b", 1), ("a", 2), ("c", 3), ("b", 4)])
+    assert run() == [("a", 2), ("b", 1), ("c", 3)]
+    upload("2.json", [("a", 9000), ("d", -5000), ("d", -4999)])  # late, but never seen
+    assert [h for h, _ in run()] == ["a", "b", "c", "d"]
 
 
 def test_window_counts_on_a_stream(spark, tmp_path):

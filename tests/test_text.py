@@ -111,8 +111,8 @@ def test_pages_from_message(spark, message, details, passed, expected):
     assert df.select(X.pages_from_message(F.col("m"), F.col("d"), F.col("p"))).first()[0] == expected
 
 
-def test_truncate_and_escape(spark):
-    assert values(spark, X.truncate_text(F.col("t"), 3), ["abc", "abcd"]) == [
-        "abc", "abc\n\n[TEXT TRUNCATED]"]
+def test_parts_and_escape(spark):
+    assert values(spark, X.text_parts(F.col("t"), 3), ["abc", "abcd", "", None, "a\nb😀c"]) == [
+        ["abc"], ["abc", "d"], [""], [""], ["a\nb", "😀c"]]
     assert values(spark, X.html_escape(F.col("t")), ['<a href="x">&']) == [
         "&lt;a href=&quot;x&quot;&gt;&amp;"]
