@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 
 from conformance import views as V
 from conformance.oracle_views import (
-    WS, collapse, count, extract, hit, hits, q, with_views, words)
+    VIEWS, WS, collapse, count, extract, hit, hits, q, with_views, words)
 from docketlens import rules as R
 from docketlens import schema as S
 from docketlens.functions import text as X
 from docketlens.operators import (
     catalog, citations, documents, evidence, fonts, governance, layout, sensitive, verdict)
 from docketlens.plans import mechanical
+from docketlens.plans.full import Corpus, analyse
 from docketlens.plans.reports import report_rows
+from docketlens.plans.stages import parquet_stage
 from docketlens.sources import readers, writers
 from docketlens.streaming import intake
 
@@ -177,10 +179,34 @@ def snk_2(spark, sf):
         .alias("failed_ids"))
 
 
-@case("SNK-3")
+_SHOWN = "string_agg(check_id, ',' ORDER BY check_id)"
+
+
+@case("SNK-3", f"""SELECT v.doc_id, substring(sha256(v.doc_id || ':{RUN}'), 1, 12) AS report_id,
+    CASE recommendation WHEN 'reject' THEN 'REJECT' WHEN 'accept' THEN 'ACCEPT' ELSE 'CORRECTION LETTER' END AS banner,
+    failed_checks AS failed, concat_ws(',', c.r, c.k, c.n) AS cards, passed_checks AS passed,
+    total_checks - failed_checks - passed_checks AS inapplicable, concat_ws(',', c.p, c.i) AS listed,
+    c.pages AS pages
+    FROM v_verdict v JOIN (SELECT doc_id,
+      {_SHOWN} FILTER (bad AND severity = 'reject') AS r, {_SHOWN} FILTER (bad AND severity = 'correction') AS k,
+      {_SHOWN} FILTER (bad AND severity = 'note') AS n, {_SHOWN} FILTER (passed AND applicable) AS p,
+      {_SHOWN} FILTER (NOT applicable) AS i,
+      cast(sum(CASE WHEN bad AND pages <> '' THEN len(string_split(pages, ',')) ELSE 0 END) AS bigint) AS pages
+      FROM (SELECT *, NOT passed AND applicable AS bad FROM v_results) GROUP BY 1) c ON v.doc_id = c.doc_id""")
 def snk_3(spark, sf):
+    """What the rendered pages show: banner, counts, cards and table rows in their order."""
     facts = doc_facts(spark, sf)
-    return writers.render_reports(report_rows(facts, mechanical.results_of(facts), RUN))
+    html = writers.render_reports(report_rows(facts, mechanical.results_of(facts), RUN))
+    shown = lambda p: F.array_join(F.regexp_extract_all("html", F.lit(p), F.lit(1)), ",")
+    number = lambda p: F.coalesce(F.regexp_extract("html", p, 1).try_cast("long"), F.lit(0))
+    return html.select(
+        "doc_id", F.regexp_extract("html", "<td>Report ID</td><td>([0-9a-f]+)</td>", 1).alias("report_id"),
+        F.regexp_extract("html", "Recommended Action: <b>([^<]+)</b>", 1).alias("banner"),
+        number(r"Failed Checks \((\d+)\)").alias("failed"),
+        shown('class="card"[^>]*><code>([^<]+)</code>').alias("cards"),
+        number(r"Passed Checks \((\d+)\)").alias("passed"), number(r"Not Applicable \((\d+)\)").alias("inapplicable"),
+        shown(r"<tr><td>([A-Z]+-\d+)</td>").alias("listed"),
+        F.size(F.regexp_extract_all("html", F.lit('<span class="page">'), F.lit(0))).cast("long").alias("pages"))
 
 
 @case("SNK-4", f"""SELECT v.doc_id, substring(sha256(v.doc_id || ':{RUN}'), 1, 12) AS report_id, recommendation
@@ -272,15 +298,7 @@ def prj_10(spark, sf):
 @case("PRJ-11", """SELECT doc_id, check_id, CASE WHEN NOT applicable THEN 'inapplicable' WHEN passed THEN 'passed'
     ELSE severity END AS subset FROM v_results""")
 def prj_11(spark, sf):
-    rows = results(spark, sf)
-    parts = [verdict.failures_by_severity(rows, s).withColumn("subset", F.lit(s))
-             for s in R.SEVERITY_RANK]
-    parts.append(verdict.passed_results(rows).withColumn("subset", F.lit("passed")))
-    parts.append(verdict.inapplicable_results(rows).withColumn("subset", F.lit("inapplicable")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select("doc_id", "check_id", "subset")
+    return results(spark, sf).select("doc_id", "check_id", verdict.result_subset().alias("subset"))
 
 
 @case("PRJ-12", "SELECT doc_id, check_id, applicable FROM v_asked")
@@ -526,6 +544,33 @@ def agg_14(spark, sf):
         F.col("reasoning").contains("overridden").alias("overridden"))
 
 
+_ANALYSED = with_views(f"""SELECT v.doc_id, substring(sha256(v.doc_id || ':{RUN}'), 1, 12) AS report_id, t.brief_type,
+      total_checks, failed_checks, passed_checks, CASE WHEN hard = 'reject' OR failed_checks = 0 OR advised IS NULL
+      OR coalesce(ar, hr) <= hr THEN hard ELSE advised END AS recommendation FROM (
+      SELECT *, {_RANK.format('hard')} AS hr, {_RANK.format('advised')} AS ar FROM (
+        SELECT *, recommendation AS hard, {_ADVICE} AS advised FROM v_verdict)) v JOIN v_types t ON v.doc_id = t.doc_id""", {
+    # Overridden types, answers of which some are unreadable, verdicts over all results.
+    "v_types": f"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'reply' ELSE brief_type END AS brief_type
+        FROM ({VIEWS['v_types']})""",
+    "v_merged": VIEWS["v_merged"].replace("fx_judged j", "(SELECT * FROM fx_judged WHERE doc_id % 50 <> 2) j"),
+    "v_verdict": VIEWS["v_verdict"].replace("FROM v_results", "FROM v_all")})
+
+
+@case("analyse")
+def analysed(spark, sf):
+    """The whole run: overrides, checks, answers, advice, report rows."""
+    advised = V.table(spark, sf, "documents").selectExpr(
+        "doc_id", f"{_ADVICE} recommendation", "'advice' reasoning").filter("recommendation is not null")
+    corpus = Corpus(V.fx_docs(spark, sf), V.fx_pages(spark, sf), V.fx_spans(spark, sf))
+    run = analyse(corpus, RUN, V.fx_overrides(spark, sf), V.fx_answers(spark, sf), advised,
+                  stage=parquet_stage(V.work_folder(spark)))
+    return run.reports.select("doc_id", "report_id", "brief_type", "total_checks", "failed_checks",
+                              "passed_checks", "recommendation")
+
+
+ORACLES["analyse"] = _ANALYSED
+
+
 @case("AGG-15", "SELECT doc_id, total_checks, failed_checks, passed_checks FROM v_verdict")
 def agg_15(spark, sf):
     return verdict.report_counts(results(spark, sf))

@@ -353,19 +353,20 @@ VIEWS: dict[str, str] = {
 }
 
 
-def with_views(sql: str) -> str:
-    """The statement with every view it needs, in dependency order."""
+def with_views(sql: str, changed: dict[str, str] | None = None) -> str:
+    """The statement with every view it needs, in dependency order; ``changed`` replaces views."""
     order: list[str] = []
+    known = VIEWS | (changed or {})
 
     def visit(text: str) -> None:
         for name in dict.fromkeys(re.findall(r"\b(?:fx|v|dim)_\w+", text)):
-            if name in VIEWS and name not in order:
-                visit(VIEWS[name])
+            if name in known and name not in order:
+                visit(known[name])
                 if name not in order:
                     order.append(name)
 
     visit(sql)
     if not order:
         return sql
-    views = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in order)
+    views = ",\n".join(f"{name} AS ({known[name]})" for name in order)
     return f"WITH {views}\n{sql}"

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,15 +70,24 @@ def is_all_uppercase(col: Column) -> Column:
     return ~col.rlike(r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]") & col.rlike(r"\p{L}")
 
 
-@F.pandas_udf(T.StringType())
-def _decompose(text: pd.Series) -> pd.Series:
-    """Compatibility decomposition without combining marks (no JVM built-in)."""
-    def one(value):
-        if value is None:
-            return None
-        return "".join(c for c in unicodedata.normalize("NFKD", value)
-                       if not unicodedata.combining(c))
-    return text.map(one)
+def _combining_marks() -> str:
+    """A character class of every character that combines, as ranges."""
+    ranges: list[list[int]] = []
+    for c in filter(lambda c: unicodedata.combining(chr(c)), range(0x110000)):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+_MARKS = _combining_marks()
+
+
+@F.arrow_udf(T.StringType())
+def _decompose(text: pa.Array) -> pa.Array:
+    """Compatibility decomposition without combining marks, on whole batches (no JVM built-in)."""
+    return pc.replace_substring_regex(pc.utf8_normalize(text, "NFKD"), _MARKS, "")
 
 
 def decompose(col: Column) -> Column:

@@ -40,6 +40,12 @@ def inapplicable_results(results: DataFrame) -> DataFrame:
     return results.filter(~F.col("applicable"))
 
 
+def result_subset() -> Column:
+    """PRJ-11: which part of a report a result belongs to, as one label."""
+    return (F.when(~F.col("applicable"), "inapplicable").when(F.col("passed"), "passed")
+            .otherwise(F.col("severity")))
+
+
 def failures_by_severity(results: DataFrame, severity: str) -> DataFrame:
     return results.filter(failed() & (F.col("severity") == severity))
 

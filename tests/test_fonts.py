@@ -38,10 +38,10 @@ def test_span_classes(spark):
     rows = [(name, *case) for name, case in CLASS_CASES.items()]
     df = spark.createDataFrame(
         rows, "name string, size double, origin_y double, chars int, flags int, text string, "
-              "predominant double, expected string").withColumn("height_pt", F.lit(792.0))
+              "predominant_font_size double, expected string").withColumn("height_pt", F.lit(792.0))
     df = df.withColumn("capitals", is_all_uppercase(F.col("text")))
-    got = df.select("name", "expected", fonts.final_class(
-        fonts.span_position_class(), F.col("size"), F.col("predominant")).alias("got")).collect()
+    got = df.withColumn("position_class", fonts.span_position_class()).select(
+        "name", "expected", fonts.final_class().alias("got")).collect()
     assert {r["name"]: r["got"] for r in got} == {r["name"]: r["expected"] for r in got}
 
 
