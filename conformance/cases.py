@@ -92,7 +92,9 @@ def src_1(spark, sf):
     dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY block_no) - 1 AS block_no, line_no, span_no, text, font, size, flags,
     origin_y, bx0, by1 FROM fx_spans""")
 def src_2(spark, sf):
-    return layout.flatten_layout(V.fx_layout(spark, sf)).select(
+    folder = V.work_folder(spark) + "/layout"
+    V.fx_layout(spark, sf).write.json(folder)
+    return layout.flatten_layout(readers.read_layout(spark, folder)).select(
         "doc_id", "page_no", "block_no", "line_no", "span_no", "text", "font", "size", "flags",
         "origin_y", "bx0", "by1")
 
@@ -121,9 +123,9 @@ _SRC_3 = """SELECT doc_id, 'C-' || (doc_id % 7) AS check_id, doc_id % 3 = 0 AS p
 
 @case("SRC-3", _SRC_3)
 def src_3(spark, sf):
-    parsed = _result_json(spark, sf).select(
-        F.from_json("json", S.DOCUMENT_JSON).alias("d")).select("d.*")
-    return readers.unfold_results(parsed).select(
+    folder = V.work_folder(spark) + "/results"
+    _result_json(spark, sf).write.text(folder)
+    return readers.read_results(spark, folder).select(
         "doc_id", "check_id", "passed", "applicable", joined("pages").alias("pages"))
 
 
@@ -160,12 +162,12 @@ def src_5(spark, sf):
       SELECT doc_id, total_checks AS n_results, failed_ids FROM v_verdict) r ON t.doc_id = r.doc_id""")
 def snk_1(spark, sf):
     facts = doc_facts(spark, sf)
-    out = writers.document_json(facts, mechanical.results_of(facts))
-    back = out.select(F.from_json("json", S.DOCUMENT_JSON).alias("d"))
-    bad = F.filter("d.mechanical_results", lambda r: ~r["passed"] & r["applicable"])
-    return back.select(
-        "d.doc_id", "d.brief_type", "d.total_pages", "d.body_pages",
-        F.size("d.mechanical_results").alias("n_results"),
+    folder = V.work_folder(spark) + "/documents"
+    writers.write_documents(facts, mechanical.results_of(facts), folder)
+    bad = F.filter("mechanical_results", lambda r: ~r["passed"] & r["applicable"])
+    return readers.read_documents(spark, folder).select(
+        "doc_id", "brief_type", "total_pages", "body_pages",
+        F.size("mechanical_results").alias("n_results"),
         F.array_join(F.array_sort(F.transform(bad, lambda r: r["check_id"])), ",")
         .alias("failed_ids"))
 

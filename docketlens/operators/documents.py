@@ -11,10 +11,13 @@ from docketlens.operators.layout import PAGE
 
 
 def cover_text(pages: DataFrame) -> DataFrame:
-    """PRJ-9: text of the first page; documents without one get ''."""
-    return pages.groupBy("doc_id").agg(
-        F.coalesce(F.max(F.when(F.col("page_no") == 0, F.col("text"))), F.lit(""))
-        .alias("cover_text"))
+    """PRJ-9: text of the first page; documents without one get ''.
+
+    Only first pages are read with their text; of the others only the id.
+    """
+    covers = pages.filter(F.col("page_no") == 0).groupBy("doc_id").agg(F.max("text").alias("cover_text"))
+    return pages.select("doc_id").distinct().join(covers, "doc_id", "left").select(
+        "doc_id", F.coalesce("cover_text", F.lit("")).alias("cover_text"))
 
 
 def body_pages_only(pages: DataFrame) -> DataFrame:

@@ -14,6 +14,9 @@ from docketlens import rules as R
 from docketlens.functions import text as X
 from docketlens.operators.layout import PAGE, span_features, visible_spans
 
+# Spans of one document meet its facts on so many keys.
+SALTS = 8
+
 
 def style_class(flags: Column) -> Column:
     """PRJ-3: bit 1 is italic, bit 4 is bold."""
@@ -65,10 +68,13 @@ def undersized(size: Column, th: R.Thresholds = R.DEFAULTS) -> Column:
 def spans_with_doc_stats(spans: DataFrame, doc_stats: DataFrame) -> DataFrame:
     """JN-4: body size of the document on each of its spans.
 
-    Page height already travels with the span.  The join is on ``doc_id``; a
-    document with very many spans is split by adaptive skew handling.
+    Page height already travels with the span.  The join is salted by page: a
+    document with very many spans is spread over ``SALTS`` keys.
     """
-    return spans.join(doc_stats.select("doc_id", "predominant_font_size"), "doc_id", "left")
+    facts = doc_stats.select("doc_id", "predominant_font_size",
+                             F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = spans.withColumn("salt", F.pmod(F.col("page_no"), F.lit(SALTS)))
+    return salted.join(facts, ["doc_id", "salt"], "left").drop("salt")
 
 
 def classify_small_spans(spans: DataFrame, doc_stats: DataFrame,
