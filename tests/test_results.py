@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from conformance import views as V
 from docketlens import rules as R
 from docketlens import schema as S
-from docketlens.operators import catalog, governance, sensitive, verdict
+from docketlens.operators import catalog, fonts, governance, sensitive, verdict
 from docketlens.plans import mechanical
 from docketlens.plans.full import Corpus, analyse, judge_requests
 from docketlens.plans.registry import Registry, judge_with
 from docketlens.plans.stages import keep, parquet_stage
 from docketlens.sources import readers, writers
+from tests.helpers import doc, docs_df, page, pages_df, span, spans_df
 
 RESULT = ("doc_id long, check_id string, name string, rule string, passed boolean, "
           "severity string, applicable boolean, message string, details string, pages array<int>")
@@ -266,3 +267,24 @@ def test_rule_warnings(spark):
     fresh = spark.createDataFrame([("b", "new")], "rule string, warning string")
     got = {r.rule: r.warning for r in governance.rule_warnings(log, fresh, F.lit(day)).collect()}
     assert got == {"a": "old", "b": "new", "c": None}
+
+
+def test_results_carry_everything_their_texts_shorten(spark):
+    cites = " ".join(f"{i} N.W.2d {i} {'x' * 300}" for i in range(1, 10))
+    spans = [span(doc=1, page=p, text="plain words of the body") for p in range(14)]
+    spans += [span(doc=1, page=p, block=1, text="a running head", size=9.0, y=30.0) for p in range(14)]
+    rows = {r.check_id: r for r in mechanical.mechanical_checks(
+        docs_df(spark, [doc(1, text=cites)]), pages_df(spark, [page(1, p, "x") for p in range(14)]),
+        spans_df(spark, spans)).collect()}
+    assert rows["CIT-001"].items == [f"{i} N.W.2d {i}" for i in range(1, 10)] and "(and 4 more)" in rows["CIT-001"].details
+    font = rows["FMT-006"]
+    assert font.passed and font.items == [f"headers/footers on page {p}" for p in range(1, 15)]
+
+
+def test_capitals_without_a_body_size_are_body_text(spark):
+    spans = [span(doc=1, page=0, text="CAPITALS OF NO SIZE AT ALLXX", size=0.0)]
+    rows = mechanical.mechanical_checks(docs_df(spark, [doc(1)]), pages_df(spark, [page(1)]), spans_df(spark, spans))
+    font = rows.filter("check_id = 'FMT-006'").first()
+    assert not font.passed and font.severity == "reject"
+    histogram = fonts.font_histogram(spans_df(spark, spans))
+    assert fonts.page_font_counts(histogram, fonts.doc_font_stats(histogram)).first().body_chars == 28
