@@ -112,14 +112,10 @@ def collapse_letter_spacing(col: Column) -> Column:
 def normalize_cover(col: Column) -> Column:
     """Cover text reduced to plain lower-case words for the type patterns."""
     t = decompose(col)
-    t = F.regexp_replace(t, "[\u200b\u200c\u200d\ufeff\xad]", "")
-    t = F.regexp_replace(t, "(?iu)brifif?", "brief")
-    t = F.regexp_replace(t, "(?iu)bri[e\xe9]f", "brief")
-    t = F.regexp_replace(
-        t, "['\"`\u2018\u2019\u201a\u201b\xb4\u2032\u2035"
-           "\u201c\u201d\u201e\u201f\xab\xbb\u2033\u2036]", "")
-    t = F.regexp_replace(
-        t, "[\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe58\ufe63\uff0d]", "-")
+    t = F.regexp_replace(t, R.ZERO_WIDTH, "")
+    for misread in R.MISREAD_BRIEF:
+        t = F.regexp_replace(t, misread, "brief")
+    t = F.regexp_replace(F.regexp_replace(t, R.QUOTE_MARKS, ""), R.DASHES, "-")
     t = collapse_letter_spacing(strip(F.lower(t)))
     return strip(F.regexp_replace(t, rx(SPACE_CLASS + "+"), " "))
 
