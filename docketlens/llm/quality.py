@@ -91,15 +91,21 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, shards: in
     sample = training_rows(docs, labels, "quality", rows, id_column, text_column)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [features(t, bits) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([m[0] for m in made], pa.list_(pa.int32())),
-                 pa.array([m[1] for m in made], pa.list_(pa.float64()))], ["label", "at", "x"])
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 500):  # features are larger than their text
+                batch = whole.slice(begin, 500)
+                made = [features(t, bits) for t in batch.column(1).to_pylist()]
+                offsets = pa.array(np.cumsum([0, *(len(m[0]) for m in made)]), pa.int32())
+                at, x = (pa.ListArray.from_arrays(offsets, np.concatenate([m[i] for m in made])) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), at, x], ["label", "at", "x"])
 
     def learn(table: pa.Table) -> pa.Table:
-        data = [(label, np.array(at, np.int32), np.array(x)) for label, at, x in
-                zip(table["label"].to_pylist(), table["at"].to_pylist(), table["x"].to_pylist(), strict=True)]
+        data = []
+        for batch in table.to_batches():
+            at, x = batch.column("at"), batch.column("x")
+            ends = at.offsets.to_numpy()[1:-1]
+            data += zip(batch.column("label").to_pylist(), np.split(at.values.to_numpy(), ends),
+                        np.split(x.values.to_numpy(), ends), strict=True)
         w = ftrl(data, bits=bits)
         used = np.flatnonzero(w)
         return pa.table({"feature": pa.array(used, pa.int32()), "weight": pa.array(w[used], pa.float64())})
