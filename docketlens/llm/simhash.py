@@ -58,13 +58,13 @@ def _signed(x: int) -> int:
 def majority(hashes: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
     """Bit majority over rows of bytes: a bit is 1 if set in over half the weight."""
     total, ones = 0.0, np.zeros(hashes.shape[1] * 8)
-    for i in range(0, len(hashes), 1 << 15):
-        bits = np.unpackbits(hashes[i:i + (1 << 15)], axis=1, bitorder="little")
+    for i in range(0, len(hashes), 1 << 12):  # a long text takes no more memory than a short one
+        bits = np.unpackbits(hashes[i:i + (1 << 12)], axis=1, bitorder="little")
         if weights is None:
             ones += bits.sum(axis=0, dtype=np.int32)
             total += len(bits)
         else:
-            w = weights[i:i + (1 << 15)]
+            w = weights[i:i + (1 << 12)]
             ones += w @ bits
             total += w.sum()
     return np.packbits(ones * 2 > total, bitorder="little") if total else np.zeros(hashes.shape[1], np.uint8)
