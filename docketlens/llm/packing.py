@@ -31,7 +31,9 @@ END = 2
 #: Remainders in a shard, about.
 SHARD = 40_000
 #: Words whose ids a Python worker remembers.
-WORDS = 800_000
+WORDS = 500_000
+#: When there are more, words up to this length stay: they are few and frequent.
+KEPT_LENGTH = 6
 
 
 # -- tokens -----------------------------------------------------------------
@@ -75,7 +77,9 @@ class WordIds:
         words = self.SPACE.split(text)
         if new := set(words).difference(self.known):
             if len(self.known) > self.limit:
-                self.known = {"": b""}
+                self.known = {w: i for w, i in self.known.items() if len(w) <= KEPT_LENGTH}
+                if len(self.known) > self.limit // 2:
+                    self.known = {"": b""}
                 new = set(words).difference(self.known)
             self._learn(new)
         return b"".join(map(self.known.__getitem__, words))
