@@ -48,12 +48,14 @@ LOOK_ALIKES = {
     "α": "a", "β": "b", "ϲ": "c", "δ": "d", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "π": "n",
     "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "γ": "y", "ω": "w",
     "ı": "i", "ł": "l", "ø": "o", "đ": "d", "ħ": "h", "ſ": "s", "ɑ": "a", "ɩ": "i"}
-#: Digits and signs that stand for letters inside a word.
+#: Digits and signs that stand for letters where a letter follows.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
                "@": "a", "$": "s", "!": "i", "|": "l", "€": "e", "£": "l"}
 _LETTERS = str.maketrans(LOOK_ALIKES)
+_LOOK_ALIKE = re.compile(f"[{''.join(LOOK_ALIKES)}]")
+_MARKS = re.compile(f"[{''.join(re.escape(chr(c)) for c in range(0x300, 0x10000) if unicodedata.combining(chr(c)))}]+")
 _SIGNS = str.maketrans(SUBSTITUTES)
-_SIGNED = re.compile(r"[^\W\d_]*(?:[0-9@$!|€£]+[^\W\d_]+)+")
+_SIGNED = re.compile(r"[0-9@$!|€£]+(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -61,8 +63,9 @@ def fold_text(text: str | None) -> list[str]:
     """The folded words of a text."""
     text = (text or "").lower()
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text.translate(_LETTERS))
-        text = "".join(c for c in text if not unicodedata.combining(c)).translate(_LETTERS)
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
+        if _LOOK_ALIKE.search(text):
+            text = text.translate(_LETTERS)
     return _WORD.findall(_SIGNED.sub(lambda m: m[0].translate(_SIGNS), text))
 
 
@@ -157,6 +160,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_column:
     chosen = (_counts(sample, lambda words: _candidates(set(words)))
               .filter(f"toxic >= {LEAST}").withColumn("odds", odds).filter(f"odds >= {LEAST_ODDS}")
               .orderBy(F.desc(F.col("odds") * F.col("toxic")), "entry").limit(ENTRIES).collect())
+    # A beginning must stand for more than one word, or the word itself is the entry.
+    of_words: dict[str, int] = {}
+    for row in chosen:
+        if row["entry"].endswith(" "):
+            for n in BEGINNINGS:
+                start = row["entry"][:n + 1]
+                of_words[start] = max(of_words.get(start, 0), row["toxic"])
+    chosen = [r for r in chosen if r["entry"].endswith(" ") or r["toxic"] > 1.25 * of_words.get(r["entry"], 0)]
     weights = {}
     for row in sorted(chosen, key=lambda r: len(r["entry"])):
         # A longer entry says something only if a beginning of it weighs less.
