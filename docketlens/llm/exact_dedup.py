@@ -49,9 +49,11 @@ def duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_column: st
                     without_space(text).alias("plain"))
         .select("id", "chars", F.octet_length("plain").alias("size"),
                 F.xxhash64(F.substring("plain", 1, prefix)).alias("head")), "dedup-facts")
-    sizes = facts.groupBy("size").count().filter("count > 1").select("size")
+    # Written first, these few keys are broadcast where they are small, and the
+    # facts, among which one size may be frequent, are not dealt by size.
+    sizes = staged(facts.groupBy("size").count().filter("count > 1").select("size"), "dedup-sizes")
     same_size = facts.join(sizes, "size", "left_semi")
-    heads = same_size.groupBy("size", "head").count().filter("count > 1").select("size", "head")
+    heads = staged(same_size.groupBy("size", "head").count().filter("count > 1").select("size", "head"), "dedup-heads")
     suspects = same_size.join(heads, ["size", "head"], "left_semi").select("id").distinct()
 
     # The second scan: full contents of the suspects alone.
