@@ -60,9 +60,13 @@ def url_key(url: str | None) -> str:
 
 
 def capture_key(url: str | None, page: int | None) -> str:
-    """Sorts by URL key, then page; pages below zero and null have their own marks."""
+    """Sorts by URL key, then page; pages below zero and null have their own marks.
+
+    Without blanks and line ends, which separate fields and lines of the index:
+    the bytes that are sorted are the bytes that are stored.
+    """
     mark = "-" if page is None else f"n{(1 << 63) + page:020d}" if page < 0 else f"p{page:020d}"
-    return f"{url_key(url)}\t{mark}"
+    return f"{url_key(url).replace(' ', '%20').replace(chr(13), '%0D')}\t{mark}"
 
 
 # -- records ----------------------------------------------------------------
@@ -199,7 +203,7 @@ def build_index(archive: Archive, block_lines: int = BLOCK_LINES) -> Index:
                 if out is None:
                     fs.create_dir(root, recursive=True)
                     out, first = fs.open_output_stream(f"{root}/{name}.idx", compression=None), key
-                lines.append(b"%s %s %d %d\n" % (key.replace(b" ", b"%20"), file.encode(), offset, length))
+                lines.append(b"%s %s %d %d\n" % (key, file.encode(), offset, length))
                 if len(lines) == block_lines:
                     close_block()
         if out is not None:
@@ -211,7 +215,7 @@ def build_index(archive: Archive, block_lines: int = BLOCK_LINES) -> Index:
             yield pa.RecordBatch.from_arrays([pa.array([first], pa.binary()), pa.array([name], pa.string())], ["first", "part"])
 
     parts = ordered.mapInArrow(write, "first binary, part string").collect()  # one row a partition
-    return Index(folder, sorted((bytes(r["first"]).replace(b" ", b"%20"), r["part"]) for r in parts))
+    return Index(folder, sorted((bytes(r["first"]), r["part"]) for r in parts))
 
 
 class Finder:
@@ -237,7 +241,6 @@ class Finder:
 
     def find(self, key: bytes) -> Iterator[tuple[bytes, int, int]]:
         """Every capture of a key, in order; repeated keys may go on in the next block or part."""
-        key = key.replace(b" ", b"%20")
         part = max(0, bisect_left(self.firsts, key) - 1)
         while part < len(self.firsts) and self.firsts[part] <= key:
             firsts, _ = self.directory(part)

@@ -44,6 +44,18 @@ def test_round_trip_of_odd_pages(spark):
     assert all((r["page_id"], bytes(r["payload"])) in texts for r in rows if r["record_type"] == "response")
 
 
+def test_blanks_beside_lower_signs_keep_the_order(spark):
+    """A blank sorts before '!', the '%20' that is stored after it."""
+    urls = [f"http://h.org/a{sign}{tail}" for sign in ' !"#$%&' for tail in "abc"] + ["no\rhost", "no host", "no!host"]
+    pages = [(i, url, f"page {i}") for i, url in enumerate(urls)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    archive = warc.write_archives(table)
+    for lines in (1, 3, 1000):
+        archive.folder = f"{archive.folder}/{lines}"
+        rows = warc.lookup(warc.build_index(archive, block_lines=lines), table)
+        assert Counter(map(tuple, rows.collect())) == Counter((c["file"], c["offset"], c["length"]) for c in archive.captures.collect())
+
+
 def test_absent_keys_and_empty_tables(spark):
     table = spark.createDataFrame([(*p, "k", "d", "f") for p in odd_pages()], PAGE)
     archive = warc.write_archives(table)
