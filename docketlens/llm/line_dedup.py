@@ -1,17 +1,19 @@
-"""Line de-duplication by content-defined chunks of lines.
-
-A line is a physical line or a stretch of one: lines also end after words where
-the hash of two words says so, hence a passage is cut into the same lines
-wherever it stands, in the middle of a long line too.  A rolling hash over two
-line hashes chooses where chunks of at least ``LEAST_LINES`` lines end; after an
-insertion the boundaries meet again.  Hashes of words, lines and chunks all come
-from one running polynomial over the bytes.
-
-A chunk of at least ``LEAST_WORDS`` words that occurs more than once in the
-corpus stays where it occurs first (smallest id, then position) and is removed
-elsewhere.  Chunk hashes are counted first; a bit map of fixed size of the
-repeated ones tells the second scan which chunks may repeat, and these alone are
-shipped and grouped by their bytes, which decides.
+"""Line de-duplication by content-defined chunks of ``WORDS`` words.
+
+Lines are as the corpus has them or a page long, so chunks do not follow line
+breaks.  A chunk starts at a word chosen by its content: of every ``APART``
+neighbouring stretches of ``WORDS`` words the one with the least hash.  A passage
+is thus cut alike wherever it stands, and one of ``WORDS + APART - 1`` words
+always holds a chunk.  As ``APART`` is less than ``WORDS``, chunks overlap or
+touch and no word between two of them is left out: of a repeated passage at most
+``APART - 1`` words stay at either end.  What is shared over fewer than ``WORDS``
+words is never touched.  Hashes come from one running polynomial over the bytes.
+
+A chunk that occurs more than once in the corpus stays where it occurs first
+(smallest id, then position) and is removed elsewhere; a word removed by one
+chunk is not brought back by another.  Chunk hashes are counted first; a bit map
+of fixed size of the repeated ones tells the second scan which chunks may repeat,
+and these alone are shipped, as digests of 128 bits of their bytes, which decide.
 
 Defined cases: null text stays null; texts without a repeated chunk stay as they
 are; rows repeated with the same id and text are one document and are cleaned
@@ -21,6 +23,7 @@ alike; a null id comes first; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-LEAST_LINES, LEAST_WORDS = 2, 6
-#: One word pair in so many ends a line; one line pair in so many may end a chunk.
-WORDS_A_LINE, LINES_A_CHUNK = 2, 2
+#: Words of a chunk, and words between the starts of neighbouring chunks at most; APART is a power of two.
+WORDS, APART = 32, 16
 #: Bits of the map of repeated chunk hashes, 8 MB.
 MAP_BITS = 26
 
@@ -58,41 +60,29 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) in bytes of the chunks of a text that have enough lines and words."""
-    none = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    """(hash, start, end) in bytes of the chunks of a text, in order."""
     raw = np.frombuffer(text, np.uint8)
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
     edge = np.diff(np.r_[True, space, True].astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if len(starts) < LEAST_WORDS:
-        return none
+    if len(starts) < WORDS:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     power, inverse = _power_tables(len(raw))
     running = np.r_[np.uint64(0), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:len(raw)])]
-
-    def span(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return _mixed((running[b] - running[a]) * inverse[a] + (b - a).astype(np.uint64))
-
-    word = span(starts, ends)
-    pair = _mixed(word[:-1] * np.uint64(3) + word[1:])
-    breaks = np.r_[0, np.cumsum(raw == 10)]
-    last = np.r_[(pair % np.uint64(WORDS_A_LINE) == 0) | (breaks[starts[1:]] > breaks[ends[:-1]]), True]
-    line_end = np.flatnonzero(last)                       # the last word of every line
-    line_start = np.r_[0, line_end[:-1] + 1]
-    line = span(starts[line_start], ends[line_end])
-    may = np.flatnonzero(np.r_[False, _mixed(line[:-1] * np.uint64(5) + line[1:]) % np.uint64(LINES_A_CHUNK) == 0])
-    cut, at = [], -1                                      # the last line of every chunk
-    for i in may.tolist():
-        if i - at >= LEAST_LINES:
-            cut.append(i)
-            at = i
-    if at < len(line) - 1:
-        cut.append(len(line) - 1)
-    stop = np.array(cut)
-    begin = np.r_[0, stop[:-1] + 1]
-    first, final = line_start[begin], line_end[stop]
-    enough = (stop - begin + 1 >= LEAST_LINES) & (final - first + 1 >= LEAST_WORDS)
-    a, b = starts[first[enough]], ends[final[enough]]
-    return span(a, b), a, b
+    a, b = starts[:len(starts) - WORDS + 1], ends[WORDS - 1:]
+    hashes = _mixed((running[b] - running[a]) * inverse[a] + (b - a).astype(np.uint64))
+    # The place modulo APART in the low bits tells which of APART neighbours has the least hash.
+    low = np.uint64(APART - 1)
+    least, step = (hashes & ~low) | (np.arange(len(a), dtype=np.uint64) & low), 1
+    if len(a) < APART:
+        chosen = np.array([int(least.argmin())])
+    else:
+        while step < APART:
+            least, step = np.minimum(least[:-step], least[step:]), step * 2
+        at = np.arange(len(least))
+        chosen = at + (((least & low).astype(np.int64) - at) & (APART - 1))
+        chosen = chosen[np.r_[True, chosen[1:] != chosen[:-1]]]
+    return hashes[chosen], a[chosen], b[chosen]
 
 
 def _documents(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -126,7 +116,7 @@ def removals(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = shared.value
         for batch in batches:
-            owner, start, end, hashes, parts = [], [], [], [], []
+            owner, start, end, parts = [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 if not text:
                     continue
@@ -136,18 +126,17 @@ def removals(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
                 owner.extend([i] * int(hit.sum()))
                 start.extend(a[hit].tolist())
                 end.extend(b[hit].tolist())
-                hashes.extend(h[hit].view(np.int64).tolist())
-                parts.extend(text[x:y] for x, y in zip(a[hit].tolist(), b[hit].tolist(), strict=True))
+                parts.extend(blake2b(text[x:y], digest_size=16).digest() for x, y in zip(a[hit].tolist(), b[hit].tolist(), strict=True))
             take = pa.array(owner, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(take), batch.column(1).take(take), pa.array(start, pa.int64()), pa.array(end, pa.int64()),
-                 pa.array(hashes, pa.int64()), pa.array(parts, pa.binary())], ["id", "row_hash", "start", "end", "hash", "part"])
+                 pa.array(parts, pa.binary())], ["id", "row_hash", "start", "end", "part"])
 
-    found = staged(rows.mapInArrow(likely, "id long, row_hash long, start long, `end` long, hash long, part binary"), "chunks")
-    first = (found.groupBy("hash", "part").agg(F.min(F.struct("id", "row_hash", "start")).alias("first"), F.count("*").alias("n"))
-             .filter("n > 1").select("hash", "part", "first"))
+    found = staged(rows.mapInArrow(likely, "id long, row_hash long, start long, `end` long, part binary"), "chunks")
+    first = (found.groupBy("part").agg(F.min(F.struct("id", "row_hash", "start")).alias("first"), F.count("*").alias("n"))
+             .filter("n > 1").select("part", "first"))
     here = F.struct("id", "row_hash", "start")
-    return (found.join(first, ["hash", "part"]).filter(~F.col("first").eqNullSafe(here))
+    return (found.join(first, "part").filter(~F.col("first").eqNullSafe(here))
             .select("id", "row_hash", "start", "end"))
 
 
@@ -168,11 +157,13 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
             texts, chunks_gone, bytes_gone = batch.column(at).to_pylist(), [], []
             for i, (start, end) in enumerate(zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)):
                 chunks_gone.append(len(start or ()))
-                bytes_gone.append(sum(end or ()) - sum(start or ()))
+                bytes_gone.append(0)
                 if start:
                     raw = texts[i].encode()
-                    keep = zip([0, *end], [*start, len(raw)], strict=True)
-                    texts[i] = b"".join(raw[a:b] for a, b in keep).decode()
+                    # Chunks overlap: what is kept between two of them may be nothing.
+                    kept = b"".join(raw[a:b] for a, b in zip([0, *end], [*start, len(raw)], strict=True))
+                    bytes_gone[-1] = len(raw) - len(kept)
+                    texts[i] = kept.decode()
             columns = list(batch.columns[:-2])
             columns[at] = pa.array(texts, columns[at].type)
             extra = [pa.array(chunks_gone, pa.int64()), pa.array(bytes_gone, pa.int64())] if report else []

@@ -71,3 +71,35 @@ def test_odd_rows(spark):
     assert sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.collect()) == wanted
     assert kept.filter("text is null").count() == 1
     assert L.line_dedup(no_docs(spark)).count() == 0
+
+
+def test_a_shared_phrase_is_left_alone(spark):
+    """Clean documents that share a phrase or a sentence, but no passage, stay whole."""
+    shared = [[f"phrase{k}w{i}" for i in range(6 + k % 26)] for k in range(60)]
+    rows = [(d, " ".join([*(f"own{d}w{i}" for i in range(70)), *shared[d // 2], *(f"then{d}w{i}" for i in range(70))]))
+            for d in range(2 * len(shared))]
+    found = L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), report=("n", "b")).collect()
+    assert sorted((r["doc_id"], r["text"], r["n"], r["b"]) for r in found) == [(*r, 0, 0) for r in rows]
+
+
+def test_of_a_repeated_passage_only_words_at_its_ends_stay(spark):
+    """Every passage of over 50 words is found wherever it stands, and removed but for its ends."""
+    rows, sizes = [], [51, 60, 90, 200]
+    for k in range(40):
+        passage = [f"p{k}x{i * i % 997}" for i in range(sizes[k % 4])]
+        for copy in range(2):
+            before, after = ([f"d{k}c{copy}{side}{i}" for i in range((k * 13 + copy * 29 + ord(side)) % 97)] for side in "ab")
+            rows.append((2 * k + copy, " ".join([*before, *passage, *after]), len(passage), len(before) + len(after)))
+    table = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in L.line_dedup(table, report=("n", "b")).collect()}
+    for i, text, passage, around in rows:
+        left = found[i]["text"].split()
+        if i % 2 == 0:
+            assert found[i]["text"] == text
+        else:
+            of_passage = [j for j, w in enumerate(text.split()) if w.startswith("p") and w in set(left)]
+            assert len(left) - around == len(of_passage) <= 2 * (L.APART - 1)
+            assert found[i]["b"] == len(text.encode()) - len(found[i]["text"].encode())
+    # With the words of the ends, that is; inside nothing stays.
+    gone = sum(len(t.split()) - len(found[i]["text"].split()) for i, t, _, _ in rows)
+    assert gone > 0.8 * sum(n for i, _, n, _ in rows if i % 2)
