@@ -1,7 +1,8 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded text.
 
 Folding lower-cases, strips accents, maps look-alike letters to Latin ones and
-digits and signs inside words to the letters they stand for.
+digits and signs inside words to the letters they stand for; at a word's end they
+are read both as letters and as none, and the heavier reading counts.
 
 The lexicon is learned from a bounded sample of labelled rows, ``TRAIN_ROWS`` by
 the smallest hash of the id: folded words and word beginnings that come with
@@ -33,8 +34,6 @@ from .common import staged
 from .quality import training_rows
 
 TRAIN_ROWS = 20_000
-#: Entries of the lexicon and of the exceptions, at most, by weight.
-ENTRIES = 5_000
 #: Documents of label 1 that must have an entry, and its least log odds.
 LEAST, LEAST_ODDS = 4, 2.0
 #: Word beginnings of these lengths are candidates beside whole words.
@@ -56,17 +55,38 @@ _LOOK_ALIKE = re.compile(f"[{''.join(LOOK_ALIKES)}]")
 _MARKS = re.compile(f"[{''.join(re.escape(chr(c)) for c in range(0x300, 0x10000) if unicodedata.combining(chr(c)))}]+")
 _SIGNS = str.maketrans(SUBSTITUTES)
 _SIGNED = re.compile(r"[0-9@$!|€£]+(?=[^\W\d_])")
+#: At a word's end they may be letters as well, all of them or all before an exclamation mark.
+_FINAL = [re.compile(r"(?<=[^\W\d_])[013-9@$!|€£]+(?![^\W_])"), re.compile(r"(?<=[^\W\d_])[013-9@$!|€£]*[013-9@$|€£](?=!)")]
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def fold_text(text: str | None) -> list[str]:
-    """The folded words of a text."""
+def _folded(text: str | None) -> str:
     text = (text or "").lower()
     if not text.isascii():
         text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
         if _LOOK_ALIKE.search(text):
             text = text.translate(_LETTERS)
-    return _WORD.findall(_SIGNED.sub(lambda m: m[0].translate(_SIGNS), text))
+    return _SIGNED.sub(lambda m: m[0].translate(_SIGNS), text)
+
+
+def fold_text(text: str | None) -> list[str]:
+    """The folded words of a text."""
+    return _WORD.findall(_folded(text))
+
+
+def read_words(automaton, text: str | None) -> list[str]:
+    """The folded words; one with digits or signs at its end is read with them as letters if that reading weighs more."""
+    folded = _folded(text)
+    words = _WORD.findall(folded)
+    if len(automaton) and _FINAL[0].search(folded):
+        plain = words
+        for final in _FINAL:
+            # No letter follows such signs, so the words of all readings correspond.
+            other = _WORD.findall(final.sub(lambda m: m[0].translate(_SIGNS), folded))
+            if other != plain:
+                words = [b if a != b and matched(automaton, [b])[0] > matched(automaton, [a])[0] else a
+                         for a, b in zip(words, other, strict=True)]
+    return words
 
 
 @dataclass
@@ -120,12 +140,12 @@ def _candidates(words: set[str]) -> set[str]:
 
 
 def _counts(sample: DataFrame, listed) -> DataFrame:
-    """(entry, toxic, clean): documents of either label that have an entry of listed(words)."""
+    """(entry, toxic, clean): documents of either label that have an entry of listed(text)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Counter(), Counter()
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[label].update(listed(fold_text(text)))
+                seen[label].update(listed(text))
             if len(seen[0]) + len(seen[1]) > 1_000_000:
                 yield flush(seen)
         yield flush(seen)
@@ -157,9 +177,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_column:
         share = toxic / max(1, toxic + clean)
         return Lexicon(curve=(0.0, 0.0, 35.0 if share else -35.0))
     odds = _odds(toxic, clean)
-    chosen = (_counts(sample, lambda words: _candidates(set(words)))
+    chosen = (_counts(sample, lambda text: _candidates(set(fold_text(text))))
               .filter(f"toxic >= {LEAST}").withColumn("odds", odds).filter(f"odds >= {LEAST_ODDS}")
-              .orderBy(F.desc(F.col("odds") * F.col("toxic")), "entry").limit(ENTRIES).collect())
+              .collect())  # of ``rows`` texts at most
     # A beginning must stand for more than one word, or the word itself is the entry.
     of_words: dict[str, int] = {}
     for row in chosen:
@@ -177,13 +197,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_column:
     lexicon = Lexicon(weights)
     entries = lexicon.automaton()
 
-    def around(words: list[str]) -> set[str]:
+    def around(text: str | None) -> set[str]:
+        words = read_words(entries, text)
         hit = [i for i, w in enumerate(words) if matched(entries, [w])[0]] if matched(entries, words)[0] else []
         return {f" {a} {b} " for i in hit for a, b in (words[i - 1:i + 1] if i else [None, None], words[i:i + 2]
                 if i + 1 < len(words) else [None, None]) if a}
 
     lexicon.exceptions = [r["entry"] for r in _counts(sample, around).filter(f"clean >= {LEAST}")
-                          .withColumn("odds", odds).filter("odds <= 0").orderBy("odds", "entry").limit(ENTRIES).collect()]
+                          .withColumn("odds", odds).filter("odds <= 0").orderBy("odds", "entry").collect()]
     points = _measured(sample.select(F.col("label").alias("id"), "text"), lexicon).groupBy("id", "weight", "words").count()
     lexicon.curve = fit([(r["id"], *measures(r["weight"], r["words"]), r["count"]) for r in points.collect()])  # ``rows`` at most
     return lexicon
@@ -208,7 +229,7 @@ def _measured(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = lexicon.automaton()
         for batch in batches:
-            out = [matched(found, fold_text(t)) for t in batch.column(1).to_pylist()]
+            out = [matched(found, read_words(found, t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.int64())],
                 ["id", "weight", "words"])

@@ -69,6 +69,25 @@ def test_exceptions_are_learned(spark):
     assert scores[5] > 0.5 > scores[6]
 
 
+def test_no_entry_of_a_rich_vocabulary_is_lost(spark):
+    """Each word brings its beginnings too: 1,000 words have some 6,000 candidates."""
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5][:16]
+    digits = str.maketrans("0123456789", "qbvrtzmpks")
+    words = sorted({f"{zlib.crc32(str(i).encode()):010d}".translate(digits)[::-1] for i in range(1000)})
+    docs = spark.createDataFrame([(i, " ".join(words) if n % 2 else "some other words") for n, i in enumerate(ids)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, n % 2) for n, i in enumerate(ids)], "doc_id long, toxic int")
+    automaton = toxicity.train(docs, labels).automaton()
+    assert not [w for w in words if not toxicity.matched(automaton, [w])[0]]
+
+
+def test_final_digits_and_signs_are_read_as_letters_too():
+    automaton = toxicity.Lexicon({" ass ": 2.0, " hate ": 3.0, " pla": 1.0}).automaton()
+    assert toxicity.read_words(automaton, "a55 A$$! hat3, h4t3 play5 hat ass5") == ["ass", "ass", "hate", "hate", "play", "hat", "ass"]
+    assert toxicity.read_words(automaton, "number123 x5_y 52 a2 b1!2 a5!5") == toxicity.fold_text("number123 x5_y 52 a2 b1!2 a5!5")
+    assert toxicity.read_words(toxicity.Lexicon().automaton(), "a55") == ["a"]
+
+
 def test_odd_rows(spark):
     docs, empty = odd_docs(spark), spark.createDataFrame([], LABELS)
     labels = spark.createDataFrame([(1, None, None), (None, 1, 1), (6, 1, 0), (6, 0, 1), (99, 1, 1), (4, 0, 0)], LABELS)
