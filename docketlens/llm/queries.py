@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, common, decontaminate, exact_dedup, licenses, line_dedup, packing, quality, simhash, toxicity, warc
+from . import (brown, common, decontaminate, exact_dedup, licenses, line_dedup, outliers, packing, quality, simhash,
+               toxicity, variants, warc, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -182,3 +183,24 @@ def licensed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The license of every document, its own or that of the nearest directory above."""
     files = _paths(common.documents(spark, sf_dir))
     return licenses.inherit_licenses(licenses.scan_licenses(files, keep=["doc_id"])).drop("file")
+
+
+@_query("op11_quality_rules")
+def outlying(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and robust outliers of every document."""
+    return outliers.judge(common.documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "distance")
+
+
+@_query("op12_spelling_variants")
+def spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word, the near word it goes back to, and the root of that chain."""
+    return variants.spelling_forms(variants.word_counts(common.documents(spark, sf_dir)))
+
+
+@_query("op13_embedding_whitening")
+def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every valid vector on the four leading components, whitened."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return whitening.whiten(vectors, whitening.fit(vectors, k=4)).withColumnRenamed("id", "vec_id")
