@@ -414,6 +414,15 @@ def jn_8(spark, sf):
         "doc_id", "check_id", "name", "severity", "rule", "passed", "message", "evaluated")
 
 
+@case("merge_parts", "SELECT doc_id, check_id, severity, rule, passed, message, evaluated FROM v_merged_parts")
+def merge_parts(spark, sf):
+    """JN-8 over raw answers about parts of a text, joined as each check asks."""
+    checks = R.check_catalog(spark)
+    joined_ = catalog.join_parts(catalog.judged_rows(V.fx_part_answers(spark, sf)), checks)
+    return catalog.merge_judgements(catalog.applicable_checks(typed_docs(spark, sf), checks), joined_).select(
+        "doc_id", "check_id", "severity", "rule", "passed", "message", "evaluated")
+
+
 @case("JN-9", """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'reply' ELSE brief_type END AS brief_type FROM v_types""")
 def jn_9(spark, sf):
     return documents.override_type(typed_docs(spark, sf), V.fx_overrides(spark, sf)).select(
@@ -554,7 +563,7 @@ _ANALYSED = with_views(f"""SELECT v.doc_id, substring(sha256(v.doc_id || ':{RUN}
     # Overridden types, answers of which some are unreadable, verdicts over all results.
     "v_types": f"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'reply' ELSE brief_type END AS brief_type
         FROM ({VIEWS['v_types']})""",
-    "v_merged": VIEWS["v_merged"].replace("fx_judged j", "(SELECT * FROM fx_judged WHERE doc_id % 50 <> 2) j"),
+    "v_merged": VIEWS["v_merged_parts"],
     "v_verdict": VIEWS["v_verdict"].replace("FROM v_results", "FROM v_all")})
 
 
@@ -564,7 +573,7 @@ def analysed(spark, sf):
     advised = V.table(spark, sf, "documents").selectExpr(
         "doc_id", f"{_ADVICE} recommendation", "'advice' reasoning").filter("recommendation is not null")
     corpus = Corpus(V.fx_docs(spark, sf), V.fx_pages(spark, sf), V.fx_spans(spark, sf))
-    run = analyse(corpus, RUN, V.fx_overrides(spark, sf), V.fx_answers(spark, sf), advised,
+    run = analyse(corpus, RUN, V.fx_overrides(spark, sf), V.fx_part_answers(spark, sf), advised,
                   stage=parquet_stage(V.work_folder(spark)))
     return run.reports.select("doc_id", "report_id", "brief_type", "total_checks", "failed_checks",
                               "passed_checks", "recommendation")

@@ -168,6 +168,7 @@ VIEWS: dict[str, str] = {
         [(i, r[0], r[1], r[2], ",".join(r[3]) if r[3] else None, r[4], r[5])
          for i, r in enumerate(R.CHECK_CATALOG, start=1)],
         "check_no, check_id, name, rule, types, severity, description"),
+    "dim_combine": _values(list(R.COMBINE_PARTS.items()), "check_id, combine"),
     "dim_limits": _values(R.PAGE_LIMITS, "brief_type, page_limit, limit_check_id, limit_rule"),
     "dim_colors": _values(R.COVER_COLORS, "brief_type, cover_color"),
     "fx_judged": """SELECT * FROM (
@@ -176,6 +177,9 @@ VIEWS: dict[str, str] = {
                ELSE c.rule END AS rule, 'seen ' || c.check_id AS message
         FROM documents d CROSS JOIN dim_catalog c WHERE (d.doc_id + c.check_no) % 5 <> 0
         UNION ALL SELECT doc_id, 99, 'ZZZ-999', false, '1', 'unknown' FROM documents)""",
+    "fx_judged_parts": """SELECT doc_id, check_no, check_id, rule, part_no, (doc_id + check_no + part_no * 2) % 3 <> 0 AS passed,
+        'seen ' || check_id || ' in ' || part_no AS message
+        FROM (SELECT *, unnest([1, 2, 3]) AS part_no FROM fx_judged) WHERE (doc_id + check_no * 3 + part_no) % 4 <> 0""",
     # ---- operator results --------------------------------------------------
     "v_types": f"SELECT doc_id, {_classify('cover_text')} AS brief_type FROM fx_docs",
     "v_vis": f"""SELECT *, length(text) AS chars FROM (
@@ -347,6 +351,20 @@ VIEWS: dict[str, str] = {
         coalesce(j.message, 'Not evaluated by AI analysis; manual review recommended.') AS message,
         j.doc_id IS NOT NULL AS evaluated
         FROM v_asked a LEFT JOIN fx_judged j ON a.doc_id = j.doc_id AND a.check_id = j.check_id WHERE a.applicable""",
+    "v_joined": """SELECT j.doc_id, j.check_id, c.combine,
+        CASE WHEN c.combine = 'any' THEN bool_or(passed) ELSE bool_and(passed) END AS ok,
+        CASE WHEN ok THEN arg_min(rule, part_no) FILTER (passed) ELSE arg_min(rule, part_no) FILTER (NOT passed) END AS rule,
+        CASE WHEN ok THEN arg_min(message, part_no) FILTER (passed)
+             WHEN c.combine = 'worst' AND count(*) FILTER (NOT passed) > 1
+               THEN string_agg('part ' || part_no || ': ' || message, '; ' ORDER BY part_no) FILTER (NOT passed)
+             ELSE arg_min(message, part_no) FILTER (NOT passed) END AS message
+        FROM fx_judged_parts j LEFT JOIN dim_combine c ON j.check_id = c.check_id
+        WHERE NOT (j.doc_id % 50 = 2 AND j.part_no = 2) GROUP BY 1, 2, 3""",
+    "v_merged_parts": """SELECT a.doc_id, a.check_id, a.severity,
+        CASE WHEN coalesce(j.rule, '') = '' THEN a.rule ELSE j.rule END AS rule, coalesce(j.ok, true) AS passed,
+        coalesce(j.message, CASE WHEN a.doc_id % 50 = 2 THEN 'AI analysis unavailable: the answer holds no JSON array.'
+          ELSE 'Not evaluated by AI analysis; manual review recommended.' END) AS message, j.doc_id IS NOT NULL AS evaluated
+        FROM v_asked a LEFT JOIN v_joined j ON a.doc_id = j.doc_id AND a.check_id = j.check_id WHERE a.applicable""",
     "v_all": """SELECT doc_id, check_id, passed, severity, applicable FROM v_results
         UNION ALL SELECT doc_id, check_id, passed, severity, true FROM v_merged
         UNION ALL SELECT doc_id, check_id, true, severity, false FROM v_asked WHERE NOT applicable""",

@@ -242,19 +242,34 @@ def fx_judged(spark, sf) -> DataFrame:
     return known.unionByName(unknown)
 
 
-def fx_answers(spark, sf) -> DataFrame:
+def fx_judged_parts(spark, sf) -> DataFrame:
+    """Answers about three parts of each text; not every part has an answer to every check."""
+    return fx_judged(spark, sf).drop("passed", "message").selectExpr("*", "explode(array(1, 2, 3)) part_no").filter(
+        "(doc_id + check_no * 3 + part_no) % 4 <> 0").selectExpr(
+        "*", "(doc_id + check_no + part_no * 2) % 3 <> 0 passed", "concat('seen ', check_id, ' in ', part_no) message")
+
+
+def _as_texts(judged: DataFrame, keys: list[str], unreadable: str) -> DataFrame:
     """The same answers as raw text: fenced, in prose, plain, or unreadable."""
     item = F.struct(F.col("check_id").alias("id"), "passed", "rule", "message")
-    arrays = fx_judged(spark, sf).groupBy("doc_id").agg(F.to_json(F.transform(
+    arrays = judged.groupBy(*keys).agg(F.to_json(F.transform(
         F.array_sort(F.collect_list(F.struct("check_no", item.alias("item")))),
         lambda r: r["item"])).alias("body"))
-    return arrays.selectExpr("doc_id", """
-        case when doc_id % 50 = 2 then 'not json'
+    return arrays.selectExpr(*keys, f"""
+        case when {unreadable} then 'not json'
              when doc_id % 3 = 0 then concat('```json\\n', body, '\\n```')
              when doc_id % 3 = 1 then concat('Here it is: ', body, ' Done.')
              else body end answer""")
 
 
+def fx_answers(spark, sf) -> DataFrame:
+    return _as_texts(fx_judged(spark, sf), ["doc_id"], "doc_id % 50 = 2")
+
+
+def fx_part_answers(spark, sf) -> DataFrame:
+    return _as_texts(fx_judged_parts(spark, sf), ["doc_id", "part_no"], "doc_id % 50 = 2 and part_no = 2")
+
+
 def fx_manifest(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").selectExpr(
         "concat('doc-', doc_id) file_name",

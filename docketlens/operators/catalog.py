@@ -115,16 +115,34 @@ def judge_requests(docs: DataFrame, catalog: DataFrame, rules: str,
     )
 
 
-def join_parts(judged: DataFrame) -> DataFrame:
+def join_parts(judged: DataFrame, checks: DataFrame) -> DataFrame:
     """Answers about parts of a text as one per document and check.
 
-    What is found in one part is there: a check passes if any part passes it,
-    and the answer that decided is kept.
+    The catalogue's ``combine`` decides: ``any`` passes if one part passes, the
+    others only if no part fails.  The first part that decided gives rule, message
+    and details; ``worst`` gives those of every failing part, in order.  Parts
+    without an answer decide nothing.  Checks the catalogue does not know are
+    joined as ``all``; unreadable answers keep their problem.
     """
-    first = F.struct((~F.coalesce("passed", F.lit(True))).alias("failed"), "part_no")
-    chosen = F.min_by(F.struct("passed", "rule", "message", "details"), first)
-    return judged.groupBy("doc_id", "check_id").agg(chosen.alias("j"), F.min("problem").alias("problem")).select(
-        "doc_id", "problem", "check_id", "j.*")
+    ok = F.coalesce("passed", F.lit(True))
+    answer = F.struct("part_no", "rule", "message", "details")
+    policies = checks.select("check_id", "combine").dropDuplicates(["check_id"])
+    grouped = judged.join(policies, "check_id", "left").groupBy("doc_id", "check_id").agg(
+        F.min("problem").alias("problem"), F.first("combine").alias("combine"),
+        F.bool_or(ok).alias("some"), F.bool_and(ok).alias("every"),
+        F.min(F.when(ok, answer)).alias("good"), F.min(F.when(~ok, answer)).alias("bad"),
+        # As many as the text has parts that fail, and only where all are shown.
+        F.array_sort(F.collect_list(F.when(~ok & (F.col("combine") == "worst"), answer))).alias("all_bad"))
+
+    def listed(field: str) -> Column:
+        texts = F.transform(F.filter("all_bad", lambda a: a[field].isNotNull()), lambda a: F.format_string(
+            "part %d: %s", a["part_no"], a[field]))
+        return F.when(F.size("all_bad") > 1, F.nullif(F.array_join(texts, "; "), F.lit(""))).otherwise(F.col(f"j.{field}"))
+
+    passed = F.when(F.col("combine") == "any", F.col("some")).otherwise(F.col("every"))
+    return grouped.withColumn("passed", passed).withColumn("j", F.when(F.col("passed"), F.col("good")).otherwise(
+        F.col("bad"))).select("doc_id", "problem", "check_id", F.when(F.col("check_id").isNotNull(), F.col("passed")).alias("passed"),
+                              "j.rule", listed("message").alias("message"), listed("details").alias("details"))
 
 
 def parse_judgement(raw: Column) -> Column:

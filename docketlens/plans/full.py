@@ -43,8 +43,8 @@ def analyse(corpus: Corpus, run_id: str, overrides: DataFrame | None = None,
             fix_types: bool = False) -> Analysis:
     """Classify, check, merge outside answers, decide, report.
 
-    ``answers`` holds raw judge answers (``doc_id``, ``answer``), ``advised``
-    outside verdicts.  Judged checks take part only when answers exist.
+    ``answers`` holds raw judge answers (``doc_id``, ``answer``, and ``part_no``
+    where parts of a text were asked), ``advised`` outside verdicts.  Judged checks take part only when answers exist.
     """
     docs = corpus.docs
     if "brief_type" not in docs.columns:
@@ -61,7 +61,7 @@ def analyse(corpus: Corpus, run_id: str, overrides: DataFrame | None = None,
         checks = check_catalog or R.check_catalog(docs.sparkSession)
         judged = catalog.judged_rows(answers)
         if "part_no" in judged.columns:
-            judged = catalog.join_parts(judged)
+            judged = catalog.join_parts(judged, checks)
         results = catalog.all_results(
             results, catalog.semantic_results(facts.select("doc_id", "brief_type"), checks, judged))
     results = stage("results", results)

@@ -238,10 +238,25 @@ def test_parts_of_a_text_are_asked_and_joined(spark):
     parts = sorted((r.doc_id, r.part_no, r.part_count, r.brief_text) for r in asked.collect())
     assert "".join(p[3] for p in parts if p[0] == 1) == text
     assert [p[:3] for p in parts] == [(1, i, 4) for i in (1, 2, 3, 4)] + [(2, 1, 1), (3, 1, 1)]
-    answers = spark.createDataFrame([(1, i, '[{"id":"SEC-001","passed":%s,"message":"%d"}]' % (str(i == 3).lower(), i))
-                                     for i in (1, 2, 3, 4)], "doc_id long, part_no int, answer string")
-    joined = catalog.join_parts(catalog.judged_rows(answers)).collect()
-    assert [(r.doc_id, r.check_id, r.passed, r.message) for r in joined] == [(1, "SEC-001", True, "3")]
+
+
+def test_each_check_joins_its_parts_its_own_way(spark):
+    checks = ["SEC-001", "CNT-001", "CIT-002", "PRV-004", "REC-002", "ODD-1"]
+    judged = [(1, i, None, c, i != 2, "r", f"m{i}", f"d{i}" if i == 2 else None) for i in (1, 2, 3) for c in checks]
+    judged += [(2, i, None, c, False, "r", f"m{i}", None) for i in (1, 3) for c in checks]
+    judged += [(3, 1, None, "PRV-004", None, None, None, None), (3, 2, "unreadable", None, None, None, None, None)]
+    df = spark.createDataFrame(judged, "doc_id long, part_no int, problem string, check_id string, passed boolean, "
+                                       "rule string, message string, details string")
+    rows = catalog.join_parts(df.repartition(5), R.check_catalog(spark)).collect()
+    got = {(r.doc_id, r.check_id): (r.passed, r.message, r.details) for r in rows}
+    assert len(got) == len(rows)
+    assert got[1, "SEC-001"] == (True, "m1", None)  # once is enough
+    assert got[2, "SEC-001"] == (False, "m1", None)
+    for check in ("CNT-001", "CIT-002", "PRV-004", "REC-002", "ODD-1"):  # a fault in one part is a fault
+        assert got[1, check] == (False, "m2", "d2")
+    assert got[2, "CNT-001"] == (False, "m1", None) and got[2, "PRV-004"] == (False, "part 1: m1; part 3: m3", None)
+    assert got[3, "PRV-004"] == (True, None, None)
+    assert [r.problem for r in rows if r.doc_id == 3 and r.check_id is None] == ["unreadable"]
 
 
 def test_broken_lines_are_listed(spark, tmp_path):
