@@ -35,7 +35,7 @@ def case(key: str, sql: str | None = None):
     def register(fn):
         QUERIES[key] = fn
         if sql is not None:
-            ORACLES[key] = with_views(sql)
+            ORACLES[key] = sql if sql in ORACLES.values() else with_views(sql)
         return fn
     return register
 
@@ -283,7 +283,7 @@ def prj_7(spark, sf):
 
 @case("PRJ-8", "SELECT doc_id, page_no, page_number_text FROM v_pn")
 def prj_8(spark, sf):
-    return layout.page_number_blocks(V.fx_spans(spark, sf)).select(
+    return layout.nested_page_numbers(V.fx_layout(spark, sf)).select(
         "doc_id", "page_no", "page_number_text")
 
 
@@ -446,6 +446,14 @@ def rule_warnings(spark, sf):
 @case("AGG-1", """SELECT doc_id, page_no, round(left_in, 6) AS left_in, round(right_in, 6) AS right_in,
     round(top_in, 6) AS top_in, round(bottom_in, 6) AS bottom_in FROM v_margins""")
 def agg_1(spark, sf):
+    sides = ("left_in", "right_in", "top_in", "bottom_in")
+    return layout.nested_page_margins(V.fx_layout(spark, sf)).select(
+        "doc_id", "page_no", *[F.round(c, 6).alias(c) for c in sides])
+
+
+@case("page_margins_of_spans", ORACLES["AGG-1"])
+def page_margins_of_spans(spark, sf):
+    """AGG-1 from flattened spans."""
     sides = ("left_in", "right_in", "top_in", "bottom_in")
     return layout.page_margins(V.fx_spans(spark, sf), V.fx_pages(spark, sf)).select(
         "doc_id", "page_no", *[F.round(c, 6).alias(c) for c in sides])
@@ -453,7 +461,7 @@ def agg_1(spark, sf):
 
 @case("AGG-2", "SELECT doc_id, page_no, round(line_spacing, 6) AS line_spacing FROM v_spacing")
 def agg_2(spark, sf):
-    return layout.page_line_spacing(V.fx_spans(spark, sf)).select(
+    return layout.nested_line_spacing(V.fx_layout(spark, sf)).select(
         "doc_id", "page_no", F.round("line_spacing", 6).alias("line_spacing"))
 
 
@@ -600,6 +608,12 @@ def agg_16(spark, sf):
 
 @case("WIN-1", "SELECT doc_id, page_no, block_no, line_no, round(gap, 6) AS gap FROM v_gaps")
 def win_1(spark, sf):
+    return layout.nested_baseline_gaps(V.fx_layout(spark, sf)).withColumn("gap", F.round("gap", 6))
+
+
+@case("baseline_gaps_of_spans", ORACLES["WIN-1"])
+def baseline_gaps_of_spans(spark, sf):
+    """WIN-1 from flattened spans."""
     return layout.baseline_gaps(V.fx_spans(spark, sf)).withColumn("gap", F.round("gap", 6))
 
 
@@ -637,8 +651,7 @@ def srt_1(spark, sf):
     || CASE WHEN count(*) > 10 THEN ' (and ' || (count(*) - 10) || ' more)' ELSE '' END AS shown
     FROM fx_pages GROUP BY 1""")
 def srt_2(spark, sf):
-    return V.fx_pages(spark, sf).groupBy("doc_id").agg(
-        documents.bad_page_list(F.lit(True)).alias("pages")).select(
+    return documents.bad_pages(V.fx_pages(spark, sf), F.lit(True), F.col("page_no")).select(
         "doc_id", X.page_list(F.col("pages")).alias("shown"))
 
 

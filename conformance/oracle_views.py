@@ -59,6 +59,12 @@ def _size() -> str:
             f"THEN {step(997)} ELSE {step(23)} END AS double)")
 
 
+def _origin(lop: str) -> str:
+    return f"""CASE WHEN {lop} = 0 AND doc_id % 8 = 0 THEN cast(50 AS double) ELSE
+        cast(120 AS double) + {lop} * CASE doc_id % 4 WHEN 0 THEN cast(14.4 AS double)
+          WHEN 1 THEN cast(24 AS double) WHEN 2 THEN cast(28.8 AS double) ELSE cast(16.56 AS double) END END"""
+
+
 _WIDTH = "cast(CASE WHEN doc_id % 13 = 0 AND page_no = 1 THEN 595 ELSE 612 END AS double)"
 
 
@@ -125,20 +131,19 @@ VIEWS: dict[str, str] = {
     "fx_spans": f"""SELECT doc_id, page_no, {_WIDTH} AS width_pt, cast(792 AS double) AS height_pt,
         block_no, block_type, bx0, by0, bx1, by1, line_no, span_no, text, font, size, flags, origin_y
       FROM (
-        SELECT doc_id, page_no, cast(lop AS int) AS block_no, 0 AS block_type,
+        SELECT doc_id, page_no, cast(lop // 2 AS int) AS block_no,
+          CASE WHEN lop // 2 = 1 AND (doc_id + page_no) % 6 = 2 THEN 1 ELSE 0 END AS block_type,
           cast(108 - CASE WHEN doc_id % 9 = 0 THEN 20 ELSE 0 END AS double) AS bx0,
-          origin_y - 12 AS by0,
+          first_y - 12 AS by0,
           cast(540 + CASE WHEN doc_id % 10 = 0 THEN 15 ELSE 0 END AS double) AS bx1,
-          origin_y + 3 AS by1, 0 AS line_no, cast(s AS int) AS span_no,
-          CASE WHEN hd THEN 'STATEMENT OF THE CASE' ELSE substring(line_text, 40 * s + 1, 40) END AS text,
+          second_y + 3 AS by1, cast(lop % 2 AS int) AS line_no, cast(s AS int) AS span_no,
+          CASE WHEN (doc_id * 7 + line_seq) % 11 = 4 THEN '  ' WHEN hd THEN 'STATEMENT OF THE CASE' ELSE substring(line_text, 40 * s + 1, 40) END AS text,
           CASE WHEN doc_id % 5 <> 4 THEN 'Times' ELSE 'Arial' END AS font, {_size()} AS size,
           cast(CASE WHEN (doc_id + line_seq + s) % 17 = 0 THEN 1 ELSE 0 END
             + CASE WHEN doc_id % 7 = 0 OR s % 5 = 4 THEN 2 ELSE 0 END
             + CASE WHEN doc_id % 11 = 0 THEN 16 ELSE 0 END AS int) AS flags, origin_y
-        FROM (SELECT *, CASE WHEN lop = 0 AND doc_id % 8 = 0 THEN cast(50 AS double) ELSE
-                cast(120 AS double) + lop * CASE doc_id % 4 WHEN 0 THEN cast(14.4 AS double)
-                  WHEN 1 THEN cast(24 AS double) WHEN 2 THEN cast(28.8 AS double)
-                  ELSE cast(16.56 AS double) END END AS origin_y FROM fx_chunks)
+        FROM (SELECT *, {_origin('lop')} AS origin_y, {_origin('(lop // 2 * 2)')} AS first_y,
+                {_origin('(lop // 2 * 2 + 1)')} AS second_y FROM fx_chunks)
         UNION ALL
         SELECT doc_id, page_no, 9, 0, 300, 748, 312, 763, 0, 0,
           CASE WHEN doc_id % 6 = 1 THEN '- ' || (page_no + 1) || ' -' ELSE cast(page_no + 1 AS varchar) END,

@@ -57,7 +57,12 @@ def _size() -> str:
 _FLAGS = ("cast(if((doc_id + line_seq + s) % 17 = 0, 1, 0) "
           "+ if(doc_id % 7 = 0 or s % 5 = 4, 2, 0) + if(doc_id % 11 = 0, 16, 0) as int)")
 _GAP = "case doc_id % 4 when 0 then 14.4D when 1 then 24.0D when 2 then 28.8D else 16.56D end"
-_ORIGIN = f"if(lop = 0 and doc_id % 8 = 0, 50.0D, 120.0D + lop * {_GAP})"
+# Two lines to a block; a block's box follows from its number.
+_ORIGIN = f"if({{lop}} = 0 and doc_id % 8 = 0, 50.0D, 120.0D + {{lop}} * {_GAP})"
+_BLOCK = "int(floor(lop / 2))"
+# Middle blocks of some pages are images, and some lines are blank.
+_TYPE = f"if({_BLOCK} = 1 and (doc_id + page_no) % 6 = 2, 1, 0)"
+_BLANK = "(doc_id * 7 + line_seq) % 11 = 4"
 
 
 def fx_spans(spark, sf) -> DataFrame:
@@ -65,20 +70,23 @@ def fx_spans(spark, sf) -> DataFrame:
 
 
 def fx_spans_of(documents: DataFrame) -> DataFrame:
-    """One row per 40 characters of a line, and one footer row per page."""
+    """One row per 40 characters of a line, and one footer row per page.
+
+    Blocks hold two lines, some blocks are images, some lines are blank.
+    """
     lines = fx_lines_of(documents).selectExpr(
         "doc_id", "line_seq", "line_text", f"cast(floor(line_seq / {LINES_PER_PAGE}) as int) page_no",
         f"line_seq % {LINES_PER_PAGE} lop")
     chunks = lines.filter("length(line_text) > 0").selectExpr(
         "*", f"explode(sequence(0, cast(ceil(length(line_text) / {CHUNK}.0) as int) - 1)) s"
-    ).selectExpr("*", "(doc_id + line_seq) % 6 = 0 and s = 0 hd", f"{_ORIGIN} origin_y")
+    ).selectExpr("*", "(doc_id + line_seq) % 6 = 0 and s = 0 hd", f"{_ORIGIN.format(lop='lop')} origin_y")
     text_rows = chunks.selectExpr(
         "doc_id", "page_no", f"{_page_width('page_no')} width_pt", "792.0D height_pt",
-        "lop block_no", "0 block_type",
-        "cast(108 - if(doc_id % 9 = 0, 20, 0) as double) bx0", "origin_y - 12 by0",
-        "cast(540 + if(doc_id % 10 = 0, 15, 0) as double) bx1", "origin_y + 3 by1",
-        "0 line_no", "s span_no",
-        f"if(hd, 'STATEMENT OF THE CASE', substring(line_text, {CHUNK} * s + 1, {CHUNK})) text",
+        f"{_BLOCK} block_no", f"{_TYPE} block_type",
+        "cast(108 - if(doc_id % 9 = 0, 20, 0) as double) bx0", f"{_ORIGIN.format(lop=f'({_BLOCK} * 2)')} - 12 by0",
+        "cast(540 + if(doc_id % 10 = 0, 15, 0) as double) bx1", f"{_ORIGIN.format(lop=f'({_BLOCK} * 2 + 1)')} + 3 by1",
+        "int(lop % 2) line_no", "s span_no",
+        f"if({_BLANK}, '  ', if(hd, 'STATEMENT OF THE CASE', substring(line_text, {CHUNK} * s + 1, {CHUNK}))) text",
         "if(doc_id % 5 <> 4, 'Times', 'Arial') font", f"{_size()} size", f"{_FLAGS} flags",
         "origin_y")
     footers = page_numbers_of(documents).filter("doc_id % 5 <> 0").selectExpr(
@@ -124,14 +132,17 @@ def fx_layout(spark, sf) -> DataFrame:
     """
     span = F.struct("text", "font", "size", "flags",
                     F.array(F.lit(0.0), F.col("origin_y")).alias("origin"))
-    blocks = fx_spans(spark, sf).groupBy("doc_id", "page_no", "block_no", "block_type").agg(
+    lines = fx_spans(spark, sf).groupBy("doc_id", "page_no", "block_no", "block_type", "line_no").agg(
         F.array(F.min("bx0"), F.min("by0"), F.max("bx1"), F.max("by1")).alias("bbox"),
         F.array_sort(F.collect_list(F.struct("span_no", span.alias("span")))).alias("spans"))
+    # A first line that the text lacks is a line without spans.
+    line = F.struct("line_no", F.transform("spans", lambda s: s["span"]).alias("spans"))
+    blocks = lines.groupBy("doc_id", "page_no", "block_no", "block_type").agg(
+        F.max("bbox").alias("bbox"), F.array_sort(F.collect_list(line)).alias("lines"))
     block = F.struct(
         "block_no", F.struct(
             F.col("block_type").alias("type"), "bbox",
-            F.array(F.struct(F.transform("spans", lambda s: s["span"]).alias("spans")))
-            .alias("lines")).alias("block"))
+            F.transform("lines", lambda x: F.struct(x["spans"].alias("spans"))).alias("lines")).alias("block"))
     by_page = blocks.groupBy("doc_id", "page_no").agg(
         F.array_sort(F.collect_list(block)).alias("blocks"))
     page = F.struct("page_no", "width_pt", "height_pt", "text", F.coalesce(

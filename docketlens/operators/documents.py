@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlens import rules as R
@@ -28,9 +28,9 @@ def body_pages_only(pages: DataFrame) -> DataFrame:
 def doc_text(pages: DataFrame) -> DataFrame:
     """AGG-4: page texts in page order, a blank line between them.
 
-    The result is one cell per document by definition; filings are capped in
-    size when they are read (SRC-1).  When documents are still nested, use
-    :func:`layout_text`, which needs no shuffle.
+    The result is one cell per document by definition; nothing caps its size.  For
+    parts of bounded size use :func:`text_parts`; when documents are still nested,
+    :func:`layout_text` needs no shuffle.
     """
     parts = F.array_sort(F.collect_list(F.struct("page_no", "text")))
     return pages.groupBy("doc_id").agg(
@@ -66,12 +66,33 @@ def doc_page_counts(pages: DataFrame) -> DataFrame:
     return flagged.groupBy("doc_id").agg(*page_counts(F.col("has_addendum_line")))
 
 
+def spacing_medians(pages: DataFrame) -> DataFrame:
+    """(doc_id, median_spacing, body_spacing): exact medians over all pages and over those after the cover.
+
+    Equal spacings are counted first, so a document brings as many rows as it has
+    different spacings; the middle ranks are found by running counts over these.
+    Documents without a measured page have no row.
+    """
+    counts = pages.filter("line_spacing is not null").groupBy("doc_id", "line_spacing").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("page_no") > 0).alias("body_n"))
+    side = Window.partitionBy("doc_id")
+    so_far = side.orderBy("line_spacing").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumns({f"{c}_{name}": F.sum(c).over(window) for c in ("n", "body_n")
+                                 for name, window in (("upto", so_far), ("all", side))})
+
+    def middle(c: str) -> Column:
+        lower = f"min(if({c}_upto > ({c}_all - 1) div 2 and {c}_all > 0, line_spacing, null))"
+        upper = f"min(if({c}_upto > {c}_all div 2, line_spacing, null))"
+        return F.expr(f"({lower} + {upper}) / 2")
+
+    return ranked.groupBy("doc_id").agg(middle("n").alias("median_spacing"), middle("body_n").alias("body_spacing"))
+
+
 def doc_double_spacing(pages: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
     """AGG-7: median page spacing, cover included; true when unmeasured."""
-    median = F.median("line_spacing")
-    return pages.groupBy("doc_id").agg(
-        median.alias("median_spacing"),
-        F.coalesce(median >= th.min_double_space_pt, F.lit(True)).alias("has_double_spacing"))
+    return pages.select("doc_id").distinct().join(spacing_medians(pages), "doc_id", "left").select(
+        "doc_id", "median_spacing",
+        F.coalesce(F.col("median_spacing") >= th.min_double_space_pt, F.lit(True)).alias("has_double_spacing"))
 
 
 def page_density(pages: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
@@ -83,14 +104,42 @@ def page_density(pages: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
         F.coalesce(per_inch > th.max_chars_per_inch, F.lit(False)).alias("dense"))
 
 
-def bad_pages(pages: DataFrame, bad: Column, value: Column) -> DataFrame:
-    """AGG-12: ordered 1-based numbers of the offending pages, smallest value."""
-    return pages.groupBy("doc_id").agg(
-        bad_page_list(bad).alias("pages"), F.min(F.when(bad, value)).alias("min_value"))
+#: Pages in one bitmap: the bits of a long but for the sign.
+BITMAP_PAGES = 63
+
 
+def page_bitmaps(pages: DataFrame, bad: dict[str, Column], *also: Column) -> DataFrame:
+    """(doc_id, bucket, a long for each name of ``bad``): bit i stands for page ``bucket * 63 + i``.
 
-def bad_page_list(bad: Column) -> Column:
-    return F.array_sort(F.collect_list(F.when(bad, (F.col("page_no") + 1).cast("int"))))
+    Bitmaps of a bucket merge before the shuffle into rows of fixed width; ``also``
+    are further combining aggregates per bucket.
+    """
+    at = F.pmod(F.col("page_no"), F.lit(BITMAP_PAGES)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at)
+    return pages.groupBy("doc_id", F.floor(F.col("page_no") / BITMAP_PAGES).cast("long").alias("bucket")).agg(
+        *[F.bit_or(F.when(cond, bit).otherwise(F.lit(0).cast("long"))).alias(name) for name, cond in bad.items()], *also)
+
+
+def merged_bitmaps(name: str) -> Column:
+    """Aggregate over a document's buckets: its bitmaps that hold a page, in page order."""
+    bits = F.col(name)
+    return F.array_sort(F.collect_list(F.when(bits != 0, F.struct("bucket", bits.alias("bits")))))
+
+
+def bitmap_pages(bitmaps: Column) -> Column:
+    """1-based page numbers of merged bitmaps, ascending."""
+    def numbers(b: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.lit(BITMAP_PAGES - 1)), lambda i: F.getbit(b["bits"], i) == 1)
+        return F.transform(places, lambda i: (b["bucket"] * BITMAP_PAGES + i + 1).cast("int"))
+
+    return F.flatten(F.transform(bitmaps, numbers))
+
+
+def bad_pages(pages: DataFrame, bad: Column, value: Column) -> DataFrame:
+    """AGG-12: ordered 1-based numbers of the offending pages, smallest value."""
+    buckets = page_bitmaps(pages, {"bits": bad}, F.min(F.when(bad, value)).alias("least"))
+    return buckets.groupBy("doc_id").agg(merged_bitmaps("bits").alias("bits"), F.min("least").alias("min_value")).select(
+        "doc_id", bitmap_pages(F.col("bits")).alias("pages"), "min_value")
 
 
 def classify(docs: DataFrame, fix: bool = False) -> DataFrame:

@@ -209,18 +209,124 @@ def page_block_facts(spans: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFra
         *box_columns(), gaps.alias("gaps"),
         F.min_by("page_number_text", F.when(F.col("page_number_text").isNotNull(),
                                             F.col("block_no"))).alias("page_number_text")
-    ).withColumn("line_spacing", F.expr(
-        "if(size(gaps) > 0, (gaps[int((size(gaps) - 1) / 2)] + gaps[int(size(gaps) / 2)]) / 2, null)"
-    )).drop("gaps")
+    ).withColumn("line_spacing", middle_of("gaps")).drop("gaps")
 
 
-def page_text_facts(pages: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
-    """Narrow facts of the page text, so that the text itself is not shuffled."""
+# -- the same facts inside the row of a nested page --------------------------
+
+def nested_pages(layout: DataFrame) -> DataFrame:
+    """One row per page with its blocks still nested; nothing is shuffled."""
+    return layout.select("doc_id", F.explode("pages").alias("p")).select(
+        "doc_id", "p.page_no", "p.width_pt", "p.height_pt", "p.text", "p.blocks").filter(
+        F.col("doc_id").isNotNull() & F.col("page_no").isNotNull())
+
+
+def nested_blocks(pages: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
+    """Adds ``text_blocks``: ordinal, box, baseline of each line, and the page number a block is.
+
+    A baseline is that of the line's highest visible span, null if none is visible;
+    a block without lines holds one null, which ends the chain of gaps like a blank
+    line does.
+    """
+    def baseline(line: Column) -> Column:
+        seen = F.filter(line["spans"], lambda s: X.strip(F.coalesce(s["text"], F.lit(""))) != "")
+        return F.array_min(F.transform(seen, lambda s: F.coalesce(F.get(s["origin"], F.lit(1)), F.col("height_pt") / 2)))
+
+    def label(block: Column) -> Column:
+        texts = F.transform(block["lines"], lambda line: F.transform(line["spans"], lambda s: s["text"]))
+        # Joining skips nulls, of spans and of lines.
+        return X.strip(F.array_join(F.transform(texts, lambda t: F.array_join(t, "")), ""))
+
+    def facts(block: Column, number: Column) -> Column:
+        side = [F.get(block["bbox"], F.lit(i)) for i in range(4)]
+        ys = F.transform(block["lines"], baseline)
+        no_line = F.array(F.lit(None).cast("double"))
+        return F.struct(
+            number.alias("block_no"), *[c.alias(n) for c, n in zip(side, ("bx0", "by0", "bx1", "by1"), strict=True)],
+            F.when(F.size(ys) > 0, ys).otherwise(no_line).alias("ys"),
+            F.when(side[1] >= F.col("height_pt") * th.bottom_zone_share, label(block)).alias("label"))
+
+    def number(block: Column) -> Column:
+        is_number = X.matches(block["label"], R.PAGE_NUMBER_DIGITS, "") | X.matches(block["label"], R.PAGE_NUMBER_ROMAN, "i")
+        return F.when(is_number, block["label"])
+
+    # The ordinal counts all blocks, so it is given before those without text go.
+    marked = F.transform("blocks", lambda b, i: F.struct((b["type"] == 0).alias("keep"), facts(b, i).alias("b")))
+    kept = F.transform(F.filter(marked, lambda m: m["keep"]), lambda m: m["b"])
+    return pages.withColumn("text_blocks", F.transform(kept, lambda b: b.withField("page_number_text", number(b))))
+
+
+def _nested_gaps(th: R.Thresholds) -> Column:
+    """Plausible distances between consecutive baselines of ``chain``, with the place of the lower line."""
+    later = F.slice("chain", 2, F.greatest(F.size("chain"), F.lit(1)))
+    steps = F.zip_with(later, "chain", lambda b, a: F.struct(
+        b["block_no"].alias("block_no"), b["line_no"].alias("line_no"), (b["y"] - a["y"]).alias("gap")))
+    return F.filter(steps, lambda g: (g["gap"] > th.gap_low_pt) & (g["gap"] < th.gap_high_pt))
+
+
+def nested_lines(pages: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
+    """Adds ``text_blocks`` and ``gaps``, the plausible baseline gaps in reading order."""
+    chain = F.flatten(F.transform("text_blocks", lambda b: F.transform(b["ys"], lambda y, j: F.struct(
+        b["block_no"].alias("block_no"), j.alias("line_no"), y.alias("y")))))
+    return nested_blocks(pages, th).withColumn("chain", chain).withColumn("gaps", _nested_gaps(th)).drop("chain")
+
+
+def nested_baseline_gaps(layout: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
+    """WIN-1 inside each page's row."""
+    return nested_lines(nested_pages(layout), th).select(*PAGE, F.inline("gaps"))
+
+
+def nested_block_facts(layout: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
+    """PRJ-8, AGG-1, AGG-2 inside each page's row: extent, page number, median gap, page size and text."""
+    body = F.filter("text_blocks", lambda b: b["page_number_text"].isNull())
+    numbers = F.filter("text_blocks", lambda b: b["page_number_text"].isNotNull())
+    rows = nested_lines(nested_pages(layout), th).select(
+        *PAGE, "width_pt", "height_pt", "text", body.alias("body"),
+        F.get(numbers, F.lit(0))["page_number_text"].alias("page_number_text"),
+        F.array_sort(F.transform("gaps", lambda g: g["gap"])).alias("gaps"))
+    extent = {"min_x": (F.array_min, "bx0"), "min_y": (F.array_min, "by0"),
+              "max_x": (F.array_max, "bx1"), "max_y": (F.array_max, "by1")}
+    return rows.select(
+        *PAGE, "width_pt", "height_pt", "text", "page_number_text",
+        *[pick(F.col(f"body.{side}")).alias(name) for name, (pick, side) in extent.items()],
+        middle_of("gaps").alias("line_spacing"))
+
+
+def middle_of(gaps: str) -> Column:
+    """Exact median of a sorted array."""
+    return F.expr(f"if(size({gaps}) > 0, ({gaps}[int((size({gaps}) - 1) / 2)] + {gaps}[int(size({gaps}) / 2)]) / 2, null)")
+
+
+def nested_page_numbers(layout: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
+    """PRJ-8 from nested pages."""
+    return nested_block_facts(layout, th).filter("page_number_text is not null").select(
+        *PAGE, "page_number_text", F.lit(True).alias("has_page_number"))
+
+
+def nested_page_margins(layout: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
+    """AGG-1 from nested pages."""
+    return nested_block_facts(layout, th).select(*PAGE, *margin_columns())
+
+
+def nested_line_spacing(layout: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
+    """AGG-2 from nested pages."""
+    return nested_block_facts(layout, th).filter("line_spacing is not null").select(*PAGE, "line_spacing")
+
+
+def nested_page_facts(layout: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
+    """``page_facts`` of nested documents: one projection, no join and no exchange."""
+    rows = nested_block_facts(layout, th)
+    return _page_fact_columns(page_text_facts(rows, th, keep=[
+        "page_number_text", "line_spacing", "min_x", "min_y", "max_x", "max_y"]))
+
+
+def page_text_facts(pages: DataFrame, th: R.Thresholds = R.DEFAULTS, keep: list[str] | None = None) -> DataFrame:
+    """Narrow facts of the page text, so that the text itself is not shuffled; ``keep`` names further columns."""
     raw = F.col("text")
     widths = F.transform(F.split(raw, "\n", -1), lambda line: F.length(X.strip(line)))
     longest = F.array_max(F.filter(widths, lambda n: n >= th.density_min_line_chars))
     return pages.select(
-        *PAGE, "width_pt", "height_pt",
+        *PAGE, "width_pt", "height_pt", *(keep or []),
         (X.strip(raw) != "").alias("has_text"),
         longest.alias("max_line_chars"),
         conventional_page().alias("conventional"),
@@ -239,12 +345,12 @@ def page_facts(spans: DataFrame, pages: DataFrame, th: R.Thresholds = R.DEFAULTS
     Text facts and block facts meet on the page key, each shuffled once and
     already narrow.
     """
-    return (
-        page_text_facts(pages, th)
-        .join(page_block_facts(spans, th), PAGE, "left")
-        .select(
-            *PAGE, (F.col("width_pt") / 72.0).alias("width_in"),
-            (F.col("height_pt") / 72.0).alias("height_in"), *margin_columns(),
-            "line_spacing", "page_number_text", "has_text", "max_line_chars", "conventional",
-            "has_addendum_line")
-    )
+    return _page_fact_columns(page_text_facts(pages, th).join(page_block_facts(spans, th), PAGE, "left"))
+
+
+def _page_fact_columns(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        *PAGE, (F.col("width_pt") / 72.0).alias("width_in"),
+        (F.col("height_pt") / 72.0).alias("height_in"), *margin_columns(),
+        "line_spacing", "page_number_text", "has_text", "max_line_chars", "conventional",
+        "has_addendum_line")

@@ -16,17 +16,18 @@ from docketlens.plans.stages import Stage, inline
 
 @dataclass
 class Corpus:
-    """The three tables of a corpus."""
+    """The tables of a corpus."""
 
     docs: DataFrame   # doc_id, path, cover_text, full_text[, brief_type]
     pages: DataFrame  # doc_id, page_no, width_pt, height_pt, text
     spans: DataFrame  # flattened layout, or its stored features
+    geometry: DataFrame | None = None  # page facts of nested documents, where they are at hand
 
     @classmethod
     def from_layout(cls, nested: DataFrame) -> Corpus:
         """Tables of nested documents; no shuffle happens here."""
         return cls(documents.layout_text(nested), layout.layout_pages(nested),
-                   layout.flatten_layout(nested))
+                   layout.flatten_layout(nested), layout.nested_page_facts(nested))
 
 
 @dataclass
@@ -51,7 +52,7 @@ def analyse(corpus: Corpus, run_id: str, overrides: DataFrame | None = None,
         docs = documents.classify(docs, fix_types)
     if overrides is not None:
         docs = documents.override_type(docs, overrides)
-    facts = mechanical.document_facts(docs, corpus.pages, corpus.spans, th, stage)
+    facts = mechanical.document_facts(docs, corpus.pages, corpus.spans, th, stage, geometry=corpus.geometry)
     facts = stage("document_facts", facts)
     results = mechanical.results_of(facts, th)
     if registry is not None:

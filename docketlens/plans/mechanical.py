@@ -47,18 +47,19 @@ FONT_CHECKS = {"FMT-006", "FMT-008"}
 
 
 def page_rows(spans: DataFrame, pages: DataFrame, th: R.Thresholds = R.DEFAULTS,
-              stage: Stage = inline) -> DataFrame:
+              stage: Stage = inline, geometry: DataFrame | None = None) -> DataFrame:
     """One row per page: geometry, text and font facts.
 
     Whether small capitals are small depends on the document's body size, so
     page rows join the font facts of their document.  That join is salted: a
-    document with very many pages is spread over ``SALTS`` keys.
+    document with very many pages is spread over ``SALTS`` keys.  ``geometry``
+    brings page facts that nested pages gave in their own rows.
     """
     runs = stage("page_runs", fonts.page_runs(fonts.font_histogram(spans, th)))
     font_facts = fonts.doc_font_facts(fonts.unfold_runs(runs)).select(
         "doc_id", *_FONT_FACTS, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = (
-        layout.page_facts(spans, pages, th).join(runs, PAGE, "left")
+        (layout.page_facts(spans, pages, th) if geometry is None else geometry).join(runs, PAGE, "left")
         .withColumn("salt", F.pmod("page_no", F.lit(SALTS)))
         .join(font_facts, ["doc_id", "salt"], "left")
         .withColumns(fonts.run_count_columns(th))
@@ -91,42 +92,54 @@ def _key(check_id: str) -> str:
 def document_rows(page_rows_: DataFrame, th: R.Thresholds = R.DEFAULTS) -> DataFrame:
     """One row per document with pages: every page-level fact the checks need.
 
-    Font facts are added when the page rows carry them.
+    Page rows combine into one row per 63 pages, with a bitmap for each condition,
+    and those into documents; a page number exists as such only in the lists that
+    results show.  Font facts are added when the page rows carry them; of pages with
+    small print the counts are listed, because results show them.
     """
-    bad = _page_conditions(th)
+    conditions = _page_conditions(th)
+    lists = {f"bad_{_key(cid)}": F.expr(cond) for cid, cond in conditions.items() if cid not in FONT_CHECKS}
+    # name: (aggregate over pages, how such aggregates merge)
     page = "int(page_no + 1)"
-    columns = {f"bad_{_key(cid)}": f"array_sort(collect_list(if({cond}, {page}, null)))"
-               for cid, cond in bad.items() if cid not in FONT_CHECKS}
+    columns = {
+        "total_pages": ("count(1)", "sum"), "addendum_start": ("min(if(has_addendum_line, page_no, null))", "min"),
+        "cover_size": ("max(if(page_no = 0, struct(width_in, height_in), null))", "max"),
+        "cover_number": ("max(if(page_no = 0, page_number_text, null))", "max"),
+    }
     for side, cid in (("left", "FMT-002"), ("right", "FMT-003"), ("top", "FMT-004"),
                       ("bottom", "FMT-005")):
-        columns[f"min_{side}"] = f"min(if({bad[cid]}, {side}_in, null))"
-    columns |= {
-        "cover_size": "max(if(page_no = 0, struct(width_in, height_in), null))",
-        "cover_number": "max(if(page_no = 0, page_number_text, null))",
-        "median_spacing": "median(line_spacing)",
-        "body_spacing": "median(if(page_no > 0, line_spacing, null))",
-    }
-    if "body_chars" in page_rows_.columns:
+        columns[f"min_{side}"] = (f"min(if({conditions[cid]}, {side}_in, null))", "min")
+    fonts_too = "body_chars" in page_rows_.columns
+    if fonts_too:
         columns |= {
-            "body_small_chars": "sum(body_chars)",
-            "caps_small_chars": "sum(small_caps_chars)",
-            "worst_page_body_chars": "max(body_chars)",
-            "smallest_pt": "min(min_small_size)",
-            "font_issues": f"array_sort(collect_list(if({bad['FMT-006']}, struct({page} as page, "
-                           "total_chars, body_chars, header_footer_chars, superscript_chars, "
-                           "small_caps_chars), null)))",
+            "body_small_chars": ("sum(body_chars)", "sum"),
+            "caps_small_chars": ("sum(small_caps_chars)", "sum"),
+            "worst_page_body_chars": ("max(body_chars)", "max"),
+            "smallest_pt": ("min(min_small_size)", "min"),
+            "font_issues": (f"collect_list(if({conditions['FMT-006']}, struct({page} as page, "
+                            "total_chars, body_chars, header_footer_chars, superscript_chars, "
+                            "small_caps_chars), null))", "collect_list"),
         }
-        columns |= {name: f"max({name})" for name in _FONT_FACTS}
-    return page_rows_.groupBy("doc_id").agg(
-        *documents.page_counts(F.col("has_addendum_line")),
-        *[F.expr(f"{sql} as {name}") for name, sql in columns.items()])
+        columns |= {name: (f"max({name})", "max") for name in _FONT_FACTS}
+    buckets = documents.page_bitmaps(page_rows_, lists, *[F.expr(f"{sql} as {name}") for name, (sql, _) in columns.items()])
+    rows = buckets.groupBy("doc_id").agg(
+        *[documents.merged_bitmaps(name).alias(name) for name in lists],
+        *[F.expr(f"{merge}({name}) as {name}") for name, (_, merge) in columns.items()])
+    rows = rows.withColumns({name: documents.bitmap_pages(F.col(name)) for name in lists})
+    rows = rows.withColumn("body_pages", F.expr("coalesce(cast(addendum_start as bigint), total_pages)"))
+    if fonts_too:
+        rows = rows.withColumn("font_issues", F.array_sort(F.flatten("font_issues")))
+    return rows.join(documents.spacing_medians(page_rows_), "doc_id", "left")
 
 
 def document_facts(docs: DataFrame, pages: DataFrame, spans: DataFrame,
                    th: R.Thresholds = R.DEFAULTS, stage: Stage = inline,
-                   only: set[str] | None = None) -> DataFrame:
+                   only: set[str] | None = None, geometry: DataFrame | None = None) -> DataFrame:
     """All facts of each document; documents without pages keep nulls.
 
+    ``geometry`` is :func:`layout.nested_page_facts` where pages are nested; spans
+    are then read for their fonts only.
+
     ``only`` names the checks wanted: text checks then leave the layout alone,
     and geometry checks leave the fonts alone.
     """
@@ -136,9 +149,10 @@ def document_facts(docs: DataFrame, pages: DataFrame, spans: DataFrame,
     if only is None or only - TEXT_CHECKS:
         features = stage("span_features", layout.span_features(spans, th))
         if only is None or only & FONT_CHECKS:
-            rows = page_rows(features, pages, th, stage)
+            rows = page_rows(features, pages, th, stage, geometry)
         else:
-            rows = layout.page_facts(features, pages, th)
+            rows = layout.page_facts(features, pages, th) if geometry is None else geometry
+        rows = stage("page_rows", rows)
         facts = facts.join(document_rows(rows, th), "doc_id", "left").withColumns({
             "has_double_spacing": F.expr(
                 f"coalesce(median_spacing >= {th.min_double_space_pt}D, true)"),
