@@ -340,6 +340,15 @@ def prj_14(spark, sf):
         "rules_key", "part_count", "part_no", "brief_text")
 
 
+@case("text_parts_of_pages", """SELECT doc_id, cast(part_no AS int) AS part_no, cast(part_count AS int) AS part_count,
+    substring(full_text, (part_no - 1) * 700 + 1, 700) AS text FROM (SELECT *, unnest(range(1, part_count + 1)) AS part_no FROM (
+      SELECT *, greatest(1, cast(ceil(length(full_text) / 700.0) AS bigint)) AS part_count FROM (
+        SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page_no) AS full_text FROM fx_pages GROUP BY 1)))""")
+def text_parts_of_pages(spark, sf):
+    """PRJ-13 from pages, by parts and blocks of a size that most documents exceed."""
+    return documents.text_parts(V.fx_pages(spark, sf), 700, block_pages=4)
+
+
 # ------------------------------------------------------------------ joins ---
 
 @case("JN-1", """SELECT t.doc_id, t.brief_type, page_limit, limit_check_id, limit_rule FROM v_types t
@@ -638,6 +647,22 @@ def win_4(spark, sf):
         "doc_id", "start", F.col("end").alias("stop"), "hit")
 
 
+@case("citations_of_parts", """SELECT d.doc_id, cast(c.reporter_cites AS bigint) AS reporter_cites,
+    coalesce(m.missing, '') AS missing FROM fx_docs d JOIN v_cites c ON d.doc_id = c.doc_id
+    LEFT JOIN (SELECT doc_id, string_agg(hit, '; ' ORDER BY pos) AS missing FROM v_missing GROUP BY 1) m ON d.doc_id = m.doc_id""")
+def citations_of_parts(spark, sf):
+    """CIT-001's facts with every text cut into parts of 300 characters."""
+    return citations.missing_citations_by_part(V.fx_docs(spark, sf), part_chars=300).select(
+        "doc_id", "reporter_cites", F.array_join("missing_cites", "; ").alias("missing"))
+
+
+@case("positions_of_parts", ORACLES["WIN-4"])
+def positions_of_parts(spark, sf):
+    """WIN-4 with every text cut into parts of 100 characters."""
+    return citations.citation_positions(V.fx_docs(spark, sf), R.REPORTER_CITE, part_chars=100).select(
+        "doc_id", "start", F.col("end").alias("stop"), "hit")
+
+
 # ----------------------------------------------------- sort and set -----------
 
 @case("SRT-1", """SELECT doc_id, check_id, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN NOT applicable THEN 4

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlens import rules as R
@@ -12,29 +12,48 @@ _REPORTER_LITERAL = "N.W."  # part of every reporter citation
 _SHORTEST_REPORTER_CITE = 10  # characters of "1 N.W.2d 1"
 
 
-def citation_positions(docs: DataFrame, pattern: str, flags: str = "") -> DataFrame:
-    """WIN-4: 0-based start and end offset of each match of ``pattern``.
+#: Characters that citations consist of; a text may be cut before any other one.
+_CITE_CHARS = r"[\d\sNWDAp.d]"
+#: Characters of a text that one task searches, about.
+PART_CHARS = 1 << 20
+
+
+def search_parts(text: Column, n: int = PART_CHARS, inside: str = _CITE_CHARS) -> Column:
+    """The text in parts of ``n`` characters or a little more, cut only where no match can lie across.
 
-    All matches of a document come from one row: the text is cut around them,
-    and a running sum over piece and match lengths gives the offsets in place.
+    A part goes on while its characters could belong to a match (``inside``), so every
+    match lies in the one part that it starts in, whatever ``n`` is.
     """
-    text = F.col("full_text")
-    cut = docs.select(
-        "doc_id", X.all_matches(text, pattern, flags).alias("hits"),
-        F.transform(F.split(text, X.rx(pattern, flags), -1), F.length).alias("gaps"))
-    steps = F.zip_with("hits", F.slice("gaps", 1, F.greatest(F.size("hits"), F.lit(1))),
-                       lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    none = F.array().cast("array<struct<hit_no:int,hit:string,start:int,end:int>>")
+    whole = F.coalesce(text, F.lit(""))
+    return F.when(F.length(whole) <= n, F.array(whole)).otherwise(
+        F.regexp_extract_all(whole, F.lit(X.rx(f".{{1,{n}}}+{inside}*+", "s")), F.lit(0)))
+
 
-    def place(done: Column, step: Column) -> Column:
-        start = done["at"] + step["gap"]
-        end = start + F.length(step["hit"])
-        row = F.struct(F.size(done["rows"]).alias("hit_no"), step["hit"].alias("hit"),
-                       start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(done["rows"], F.array(row)).alias("rows"))
+def _spread(parts: DataFrame, many: Column) -> DataFrame:
+    """Rows of texts that have several parts go to tasks of their own; the others stay where they are."""
+    return parts.filter(~many).unionByName(parts.filter(many).repartition("doc_id", "part_no"))
 
-    placed = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("rows")), place, lambda d: d["rows"])
-    return cut.filter(F.size("hits") > 0).select("doc_id", F.inline(placed))
+
+def citation_positions(docs: DataFrame, pattern: str, flags: str = "", part_chars: int = PART_CHARS) -> DataFrame:
+    """WIN-4: 0-based start and end offset of each match of ``pattern``.
+
+    A long text is searched in parts by several tasks.  Each part is cut around its
+    matches; only the lengths of the pieces go on, as one narrow row for each match and
+    one for each part's end, and a running sum over them gives the offsets.
+    """
+    parts = docs.select("doc_id", F.posexplode(search_parts(F.col("full_text"), part_chars)).alias("part_no", "part"))
+    parts = _spread(parts.withColumn("many", F.col("part_no") > 0), F.col("many"))
+    text = F.col("part")
+    cut = parts.select(
+        "doc_id", "part_no", X.all_matches(text, pattern, flags).alias("hits"),
+        F.transform(F.split(text, X.rx(pattern, flags), -1), F.length).alias("gaps"))
+    steps = cut.select("doc_id", "part_no", F.posexplode(F.arrays_zip("gaps", "hits")).alias("hit_no", "s"))
+    steps = steps.select("doc_id", "part_no", "hit_no", F.col("s.hits").alias("hit"),
+                         (F.col("s.gaps") + F.coalesce(F.length("s.hits"), F.lit(0))).alias("step"))
+    order = Window.partitionBy("doc_id").orderBy("part_no", "hit_no").rowsBetween(Window.unboundedPreceding, 0)
+    placed = steps.withColumn("end", F.sum("step").over(order).cast("int")).filter("hit is not null")
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("part_no", "hit_no")) - 1
+    return placed.select("doc_id", number.alias("hit_no"), "hit", (F.col("end") - F.length("hit")).alias("start"), "end")
 
 
 def nearby_citation_anti(cites_a: DataFrame, cites_b: DataFrame,
@@ -68,9 +87,21 @@ def nearby_citation_anti(cites_a: DataFrame, cites_b: DataFrame,
         *kept, F.count("b.b_start").alias("near")).filter("near = 0").drop("near").select(*cites_a.columns)
 
 
-def citation_pieces(text: Column, th: R.Thresholds = R.DEFAULTS) -> list[Column]:
+def _with_sides(pieces: Column, end: Column | None, at_end: bool) -> Column:
+    """Pieces of a part with the text beside the part joined to the outermost one."""
+    if end is None:
+        return pieces
+    last = F.size(pieces) - 1
+    return F.transform(pieces, lambda p, i: F.when(
+        i == (last if at_end else 0), F.concat(p, end) if at_end else F.concat(end, p)).otherwise(p))
+
+
+def citation_pieces(text: Column, th: R.Thresholds = R.DEFAULTS, before: Column | None = None,
+                    after: Column | None = None) -> list[Column]:
     """Reporter citations of a text and what lies between them, edges only.
 
+    ``before`` and ``after`` are the text on both sides when ``text`` is a part.
+
     ``tails`` and ``heads`` hold the end and the start of every piece between
     two citations, as long as the window.  They are columns of their own so that
     the text is searched once per document, not once per citation.
@@ -81,9 +112,9 @@ def citation_pieces(text: Column, th: R.Thresholds = R.DEFAULTS) -> list[Column]
     none = F.array().cast("array<string>")
     return [
         F.when(found, X.all_matches(text, R.REPORTER_CITE)).otherwise(none).alias("hits"),
-        F.when(found, F.transform(pieces, lambda p: F.right(p, span))).otherwise(none)
+        F.when(found, F.transform(_with_sides(pieces, before, False), lambda p: F.right(p, span))).otherwise(none)
         .alias("tails"),
-        F.when(found, F.transform(pieces, lambda p: F.left(p, span))).otherwise(none)
+        F.when(found, F.transform(_with_sides(pieces, after, True), lambda p: F.left(p, span))).otherwise(none)
         .alias("heads"),
     ]
 
@@ -128,3 +159,27 @@ def with_missing_citations(df: DataFrame, text: str = "full_text",
     return df.select(*others, *citation_pieces(F.col(text), th)).select(
         *others, F.size("hits").cast("long").alias("reporter_cites"),
         missing_neutral(th).alias("missing_cites"))
+
+
+def missing_citations_by_part(docs: DataFrame, text: str = "full_text", part_chars: int = PART_CHARS,
+                              th: R.Thresholds = R.DEFAULTS) -> DataFrame:
+    """CIT-001's facts of texts of any length: (doc_id, reporter_cites, missing_cites).
+
+    Texts are cut like in :func:`citation_positions`; a part carries the window's width of
+    its neighbours' text, and counts the citations that are its own.  So a giant text is
+    searched by many tasks, and a window across a border is seen whole.
+    """
+    span = th.citation_window_chars
+    parts = search_parts(F.col(text), max(part_chars, span))  # a neighbour is then as wide as the window
+    rows = docs.select("doc_id", parts.alias("parts"))
+    with_sides = F.transform("parts", lambda p, i: F.struct(
+        p.alias("own"), F.coalesce(F.right(F.get("parts", i - 1), F.lit(span)), F.lit("")).alias("before"),
+        F.coalesce(F.left(F.get("parts", i + 1), F.lit(span)), F.lit("")).alias("after")))
+    # The last neighbour may be shorter than the window, but nothing follows it.
+    rows = rows.select("doc_id", F.posexplode(with_sides).alias("part_no", "p")).select("doc_id", "part_no", "p.*")
+    rows = _spread(rows.withColumn("many", (F.col("part_no") > 0) | (F.col("after") != "")), F.col("many"))
+    found = rows.select("doc_id", "part_no", *citation_pieces(F.col("own"), th, F.col("before"), F.col("after"))).select(
+        "doc_id", "part_no", F.size("hits").cast("long").alias("n"), missing_neutral(th).alias("missing"))
+    lists = F.array_sort(F.collect_list(F.when(F.size("missing") > 0, F.struct("part_no", "missing"))))
+    return found.groupBy("doc_id").agg(
+        F.sum("n").alias("reporter_cites"), F.flatten(F.transform(lists, lambda x: x["missing"])).alias("missing_cites"))

@@ -37,6 +37,50 @@ def doc_text(pages: DataFrame) -> DataFrame:
         F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("full_text"))
 
 
+#: Pages that are cut together: their text meets in one task.
+BLOCK_PAGES = 1024
+
+
+def text_parts(pages: DataFrame, n: int = R.DEFAULTS.judge_text_chars, block_pages: int = BLOCK_PAGES) -> DataFrame:
+    """AGG-4 and PRJ-13 in one: (doc_id, part_no, part_count, text), parts of ``n`` characters numbered from 1.
+
+    The whole text of a document never stands in one cell.  Lengths alone are summed
+    first, to where each block of pages begins; then page texts are shuffled once, by
+    block, and cut where parts begin.  Parts within a block are joined where they are;
+    only the pieces of parts that reach into another block meet in a second shuffle.
+    A document without text is one empty part.
+    """
+    known = pages.filter(F.col("text").isNotNull()).select(
+        "doc_id", "page_no", F.floor(F.col("page_no") / block_pages).cast("long").alias("block"), "text")
+    # Every page counts with the blank line before it; the first one begins at -2.
+    blocks = known.groupBy("doc_id", "block").agg(F.sum(F.length("text") + 2).alias("chars"))
+    side = Window.partitionBy("doc_id")
+    before = F.sum("chars").over(side.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    total = F.sum("chars").over(side) - 2
+    blocks = blocks.select("doc_id", "block", (F.coalesce(before, F.lit(0)) - 2).alias("begin"), "chars",
+                           F.greatest(F.lit(1), F.ceil(total / n)).cast("int").alias("part_count"), total.alias("total"))
+    in_block = Window.partitionBy("doc_id", "block").orderBy("page_no", "text").rowsBetween(Window.unboundedPreceding, 0)
+    placed = known.join(blocks.withColumn("until", F.col("begin") + F.col("chars")), ["doc_id", "block"])
+    placed = placed.withColumn("end", F.col("begin") + F.sum(F.length("text") + 2).over(in_block)).withColumn(
+        "start", F.col("end") - F.length("text") - 2).filter("end > 0 and end > start")
+    part = placed.withColumn("part", F.explode(F.expr(f"sequence(greatest(start, 0) div {n}, (end - 1) div {n})")))
+    first, last = F.greatest(F.col("part") * n, "start", F.lit(0)), F.least((F.col("part") + 1) * n, "end")
+    pieces = part.select(
+        "doc_id", "block", "part", "part_count", "start", "total",
+        ((F.col("part") * n >= F.greatest("begin", F.lit(0))) & (F.least((F.col("part") + 1) * n, "total") <= F.col("until"))).alias("whole"),
+        F.substring(F.concat(F.lit("\n\n"), "text"), (first - F.col("start") + 1).cast("int"), (last - first).cast("int")).alias("piece"))
+
+    def joined(rows: DataFrame, *keys: str) -> DataFrame:
+        own = F.array_sort(F.collect_list(F.struct("start", "piece")))  # at most n characters
+        return rows.groupBy("doc_id", *keys, "part").agg(
+            F.max("part_count").alias("part_count"), F.array_join(F.transform(own, lambda p: p["piece"]), "").alias("text")
+        ).select("doc_id", (F.col("part") + 1).cast("int").alias("part_no"), "part_count", "text")
+
+    empty = pages.groupBy("doc_id").agg(F.sum(F.length("text") + 2).alias("chars")).filter("coalesce(chars, 0) <= 2").select(
+        "doc_id", F.lit(1).alias("part_no"), F.lit(1).alias("part_count"), F.lit("").alias("text"))
+    return joined(pieces.filter("whole"), "block").unionByName(joined(pieces.filter("not whole"))).unionByName(empty)
+
+
 def layout_text(layout: DataFrame) -> DataFrame:
     """Cover and full text straight from nested documents, without a shuffle."""
     ordered = F.array_sort(F.transform(

@@ -2,7 +2,9 @@
 
 import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from docketlens import rules as R
@@ -73,3 +75,27 @@ def test_examples_are_cut_at_five(spark):
     row = check(spark, [], [page()], [doc(text=text)], "CIT-001")[1]
     assert not row.passed and row.message.startswith("7 of 7")
     assert "5 N.W.2d 5 (and 2 more)" in row.details and "6 N.W.2d 6" not in row.details
+
+
+@pytest.mark.parametrize("part", [1, 2, 7, 40, 200, 211, 1000])
+def test_parts_of_any_size_give_the_same(spark, part):
+    items = [*texts(60, 11), "", None, "1 N.W.2d " * 90 + "5", "9" * 700 + " N.W.2d 3 tail", "x1 N.W.2d 4" + "y" * 199 + "2001 ND 5z2001 ND 5"]
+    docs = frame(spark, items)
+    for pattern in (R.REPORTER_CITE, R.NEUTRAL_CITE):
+        rows = citations.citation_positions(docs, pattern, part_chars=part).collect()
+        wanted = {(i, k, m.group(), m.start(), m.end()) for i, t in enumerate(items) for k, m in enumerate(re.finditer(pattern, t or ""))}
+        assert {(r.doc_id, r.hit_no, r.hit, r.start, r.end) for r in rows} == wanted and len(rows) == len(wanted)
+    rows = citations.missing_citations_by_part(docs, part_chars=part).orderBy("doc_id").collect()
+    assert [(r.reporter_cites, r.missing_cites) for r in rows] == [
+        (len(REPORTER.findall(t or "")), missing(t or "")) for t in items]
+
+
+def test_many_hits_in_one_text_take_linear_time(spark):
+    def seconds(n):
+        docs = frame(spark, ["ab 12 N.W.2d 345 " * n])
+        start = time.time()
+        assert citations.citation_positions(docs, R.REPORTER_CITE).agg({"end": "max"}).first()[0] == 17 * n - 1
+        return time.time() - start
+    seconds(1000)
+    few, many = min(seconds(50_000) for _ in range(2)), min(seconds(100_000) for _ in range(2))
+    assert many < 3 * few + 0.5

@@ -1,9 +1,14 @@
 """Baseline gaps, margins, page numbers, counts of pages."""
 
 import json
+import random
+from statistics import median
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from docketlens import schema as S
 from docketlens.operators import documents, layout
 from docketlens.sources import readers
 from tests.helpers import check, doc, page, pages_df, span, spans_df
@@ -156,3 +161,82 @@ def test_layout_json_round_trip(spark, tmp_path):
     assert [(r.block_no, r.block_type, r.line_no, r.span_no, r.text) for r in rows] == [
         (0, 0, 0, 0, "a"), (0, 0, 1, None, ""), (1, 0, None, None, ""), (2, 1, None, None, "")]
     assert rows[0].origin_y == 20.0 and rows[0].by1 == 4.0
+
+
+def _odd_layout(spark):
+    """Several lines a block, images, blank lines, blocks without lines, missing fields, two page numbers."""
+    draw = random.Random(5)
+
+    def span_(y):
+        return (draw.choice(["word", " ", "", None, "Ü 1"]), "F", 12.0, 0, draw.choice([[0.0, y], [0.0, y], [], None]))
+
+    def block_(i):
+        y = 60.0 + i * draw.choice([20.0, 45.0, 90.0])
+        lines = draw.choice([None, [], [(None,)], [([],)], *[[([span_(y + 14.5 * k) for _ in range(draw.randint(1, 3))],)
+                                                       for k in range(draw.randint(1, 4))]] * 6])
+        return (draw.choice([0, 0, 0, 1]), draw.choice([[100.0 - i, y - 10, 500.0 + i, y + 40], [90.0, y - 10, 520.0, y + 40]]), lines)
+
+    def number_(text, kind=0, top=750.0):
+        return (kind, [300.0, top, 310.0, 760.0], [([(text[:1], "F", 9.0, 0, [0.0, 755.0])],), ([(text[1:], "F", 9.0, 0, [0.0, 757.0])],)])
+
+    docs = []
+    for d in range(40):
+        pages = [(p, 612.0, 792.0, "text\nof page", [block_(i) for i in range(draw.randint(0, 6))]
+                  + draw.choice([[], [number_("12")], [number_("- iv -"), number_("13")], [number_("12 a")], [number_("7", 1)]]))
+                 for p in range(3)]
+        docs.append((d, "p", None, pages + draw.choice([[], [(3, 612.0, 792.0, None, None)]])))
+    schema = T.StructType(S.LAYOUT.fields[:4])
+    return spark.createDataFrame(docs, schema)
+
+
+def test_nested_rows_give_what_flattened_spans_give(spark, tmp_path):
+    nested = _odd_layout(spark)
+    spans, pages = layout.flatten_layout(nested), layout.layout_pages(nested)
+
+    def same(a, b):
+        assert sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect()))
+        assert b.count() > 20
+
+    same(layout.nested_baseline_gaps(nested), layout.baseline_gaps(spans))
+    same(layout.nested_page_numbers(nested), layout.page_number_blocks(spans))
+    same(layout.nested_page_margins(nested), layout.page_margins(spans, pages))
+    same(layout.nested_line_spacing(nested), layout.page_line_spacing(spans))
+    same(layout.nested_page_facts(nested), layout.page_facts(spans, pages))
+    nested.write.json(str(tmp_path / "layout"))
+    plan = layout.nested_page_facts(spark.read.schema(S.LAYOUT).json(str(tmp_path / "layout")))
+    plan = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Generate explode") == 1
+
+
+def test_medians_and_bitmaps_against_plain_lists(spark):
+    draw = random.Random(8)
+    rows = [(d, p, draw.choice([None, 12.0, 14.4, 24.0, draw.random() * 50]), draw.random() < 0.3)
+            for d in range(30) for p in draw.sample(range(400), draw.randint(1, 200))]
+    rows += [(99, 0, 20.0, True), (98, 5, None, False), (97, 0, None, False)]
+    df = spark.createDataFrame(rows, "doc_id long, page_no int, line_spacing double, bad boolean").repartition(7)
+    got = {r.doc_id: (r.median_spacing, r.body_spacing) for r in documents.spacing_medians(df).collect()}
+    for d in {r[0] for r in rows}:
+        every = [r[2] for r in rows if r[0] == d and r[2] is not None]
+        body = [r[2] for r in rows if r[0] == d and r[2] is not None and r[1] > 0]
+        assert got.get(d, (None, None)) == (median(every) if every else None, median(body) if body else None)
+    plan = documents.spacing_medians(df)._jdf.queryExecution().executedPlan().toString()
+    assert "median" not in plan.replace("median_spacing", "") and "percentile" not in plan and "collect" not in plan
+    pages = {r.doc_id: (r.pages, r.min_value) for r in documents.bad_pages(df, F.col("bad"), F.col("page_no")).collect()}
+    for d in {r[0] for r in rows}:
+        bad = sorted(r[1] for r in rows if r[0] == d and r[3])
+        assert pages[d] == ([p + 1 for p in bad], bad[0] if bad else None)
+
+
+@pytest.mark.parametrize("n,block", [(1, 1), (3, 2), (10, 1000), (7, 3), (1000, 2)])
+def test_text_parts_of_pages(spark, n, block):
+    draw = random.Random(n)
+    rows = [(d, p, draw.choice(["", None, "é", "two\nlines", "x" * 23])) for d in range(25) for p in range(draw.randint(1, 9))]
+    rows += [(50, 0, None), (51, 0, ""), (52, 0, ""), (52, 1, "")]
+    df = spark.createDataFrame(rows, "doc_id long, page_no int, text string").repartition(5)
+    wanted = []
+    for d in {r[0] for r in rows}:
+        whole = "\n\n".join(t for _, _, t in sorted((r for r in rows if r[0] == d), key=lambda r: r[1]) if t is not None)
+        cut = [whole[i:i + n] for i in range(0, len(whole), n)] or [""]
+        wanted += [(d, i + 1, len(cut), t) for i, t in enumerate(cut)]
+    got = sorted(tuple(r) for r in documents.text_parts(df, n, block).collect())
+    assert got == sorted(wanted)
