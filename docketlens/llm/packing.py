@@ -30,21 +30,50 @@ WINDOW = 4096
 END = 2
 #: Remainders in a shard, about.
 SHARD = 40_000
-#: Words whose ids a Python worker remembers.
+#: Words, and letter cores of words, that a Python worker remembers: the last so many, twice that at most.
 WORDS = 500_000
-#: When there are more, words up to this length stay: they are few and frequent.
-KEPT_LENGTH = 6
+#: Texts whose new words are encoded together, and words in one call.
+TOGETHER, IN_A_CALL = 256, 1000
 
 
 # -- tokens -----------------------------------------------------------------
 
+class Aging(dict):
+    """Remembers what was used last: when ``limit`` keys are held, they become the old ones, and the older ones go.
+
+    ``make`` gives the value of a key that is not known.
+    """
+
+    def __init__(self, limit: int, make):
+        super().__init__()
+        self.limit, self.make, self.old = limit, make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def __setitem__(self, key: str, value: bytes) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        super().__setitem__(key, value)
+
+    def knows(self, key: str) -> bool:
+        return key in self or key in self.old
+
+
 class WordIds:
     """Ids of texts by a tokenizer that treats words between white space apart.
 
     Words repeat, so their ids are remembered as bytes.  A word of Latin letters
     with trailing punctuation is encoded as its lower-case letters and its
     punctuation, which the tokenizer separates as well; this needs a tokenizer
-    that lower-cases and splits letters from punctuation.
+    that lower-cases and splits letters from punctuation.  New letter cores are
+    encoded many in a call, as one text, and told apart by the tokenizer's own
+    numbering of words.
     """
 
     SPACE = re.compile("[\x20\x09-\x0d]+")
@@ -54,35 +83,35 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {"": b""}
-
-    def _learn(self, words: set[str]) -> None:
-        known, plain, direct = self.known, [], set()
-        for word in words:
-            parts = self.PLAIN.fullmatch(word)
-            if parts:
-                core, rest = parts[1].lower(), parts[2]
-                plain.append((word, core, rest))
-                direct.update(x for x in (core, rest) if x not in known)
-            else:
-                direct.add(word)
-        order = list(direct)
-        for word, found in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, "<u4").tobytes()
-        for word, core, rest in plain:
-            known[word] = known[core] + known[rest]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.parts, self.words = Aging(limit, self._encode), Aging(limit, self._compose)
+
+    def _encode(self, part: str) -> bytes:
+        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _compose(self, word: str) -> bytes:
+        split = self.PLAIN.fullmatch(word)
+        return self.parts[split[1].lower()] + self.parts[split[2]] if split else self.parts[word]
+
+    def learn(self, words: set[str]) -> None:
+        """Encode the letter cores of new words, many in a call."""
+        split = (self.PLAIN.fullmatch(w) for w in words if not self.words.knows(w))
+        cores = list({core for m in split if m and not self.parts.knows(core := m[1].lower())})
+        for i in range(0, len(cores), IN_A_CALL):
+            part = cores[i:i + IN_A_CALL]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, owner = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids)
+            cuts = [0, *(4 * (np.flatnonzero(np.diff(owner)) + 1)).tolist(), len(ids)]
+            if len(cuts) == len(part) + 1:  # else a core is several words to the tokenizer, or none: one by one
+                for core, a, b in zip(part, cuts, cuts[1:], strict=False):
+                    self.parts[core] = ids[a:b]
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        words = self.SPACE.split(text)
-        if new := set(words).difference(self.known):
-            if len(self.known) > self.limit:
-                self.known = {w: i for w, i in self.known.items() if len(w) <= KEPT_LENGTH}
-                if len(self.known) > self.limit // 2:
-                    self.known = {"": b""}
-                new = set(words).difference(self.known)
-            self._learn(new)
-        return b"".join(map(self.known.__getitem__, words))
+        return self.ids_of(self.SPACE.split(text))
+
+    def ids_of(self, words: list[str]) -> bytes:
+        return b"".join(map(self.words.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
@@ -102,8 +131,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int
         encoder = word_ids(tokenizer)
         for batch in batches:
             owner, start, length, crc, total, ids = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                own = encoder.ids(text or "") + tail
+            texts = batch.column(1)
+            for i in range(batch.num_rows):
+                if i % TOGETHER == 0:
+                    split = [encoder.SPACE.split(t or "") for t in texts.slice(i, TOGETHER).to_pylist()]
+                    encoder.learn(set().union(*split))
+                own = encoder.ids_of(split[i % TOGETHER]) + tail
                 for at in range(0, len(own), 4 * window):
                     piece = own[at:at + 4 * window]
                     owner.append(i)

@@ -20,7 +20,10 @@ def test_remembered_words_give_the_tokenizer_s_ids():
     texts = ["a <|endoftext|> b", "x́ ́y", "a\x1cb É", "İ A ΑΣ", "don't it's. '' O'Neil_x ___ a_b",
              "Élan,,, ßx º1 A1b2", "", " \n", "été... 12 中文", "A.\x0bB\x0c\x00c\x85d e"]
     words = packing.WordIds(PATH, limit=5)
-    for text in texts * 2:
+    for k, text in enumerate(texts * 3):
+        if k % 2:
+            words.learn(set(words.SPACE.split(text)))
+        assert len(words.words) <= 5 and len(words.words.old) <= 5
         assert np.frombuffer(words.ids(text), "<u4").tolist() == direct_ids(text)[:-1]
 
 
