@@ -762,18 +762,32 @@ def _evidence(key: str, fn, sql: str, view=V.fx_docs):
 _SECTION = R.SECTION_PATTERNS
 _evidence("EVD-1", evidence.section_presence,
           f"SELECT doc_id, {_flag_sql(_SECTION)} FROM fx_docs")
+_MARKS = f"cast(coalesce(sum({count('line', R.BRACKET_MARK)} + {count('line', R.PARAGRAPH_MARK)}) FILTER (heading IS NULL), 0) AS bigint)"
 _evidence("EVD-2", evidence.toc_reference_style,
-          f"""SELECT doc_id, count(*) AS toc_pages,
-          cast(sum({count('text', R.BRACKET_MARK)} + {count('text', R.PARAGRAPH_MARK)}) AS bigint) AS paragraph_refs,
-          cast(sum({count('text', '[^0-9' + chr(10) + '][ .' + chr(9) + ']\\d+[ ' + chr(9) + ']*$', 'm')}) AS bigint) AS page_refs
-          FROM fx_dpages WHERE {hit('text', _SECTION['table_of_contents'], 'i')} GROUP BY 1""", V.fx_dpages)
+          f"""SELECT doc_id, count(DISTINCT page_no) AS toc_pages, {_MARKS} AS paragraph_refs,
+          cast(coalesce(sum({count('line', '[^0-9][ .' + chr(9) + ']\\d+[ ' + chr(9) + ']*$')}) FILTER (heading IS NULL), 0) AS bigint) AS page_refs
+          FROM v_section_lines WHERE section = 'contents' GROUP BY 1""", V.fx_dpages)
 _evidence("EVD-3", evidence.authorities_sorted,
           f"""SELECT doc_id, cast(len(whole) AS bigint) AS case_lines, whole = list_sort(whole) AS in_order, paragraph_refs
-          FROM (SELECT doc_id, flatten(list(cases ORDER BY page_no)) AS whole, cast(sum(marks) AS bigint) AS paragraph_refs
-          FROM (SELECT doc_id, page_no,
-            list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, {WS})), lambda x: contains(x, ' v. ')) AS cases,
-            {count('text', R.BRACKET_MARK)} + {count('text', R.PARAGRAPH_MARK)} AS marks
-          FROM fx_dpages WHERE {hit('text', _SECTION['table_of_authorities'], 'i')}) GROUP BY 1)""", V.fx_dpages)
+          FROM (SELECT doc_id, coalesce(list(trim(line, {WS}) ORDER BY line_seq) FILTER (contains(line, ' v. ')), []) AS whole,
+            {_MARKS} AS paragraph_refs FROM v_section_lines WHERE section = 'authorities' GROUP BY 1)""", V.fx_dpages)
+_NUMBERS = ("list_distinct(list_transform(regexp_extract_all({}, {}, 1), lambda x: regexp_replace(x, '(^|-)0+([0-9])', '\\1\\2', 'g')))")
+
+
+@case("statutes_set_out", f"""SELECT d.doc_id, coalesce(cited, '') AS cited, coalesce(set_out, '') AS set_out, coalesce(missing, '') AS missing
+    FROM documents d LEFT JOIN (SELECT doc_id, string_agg(number, ',' ORDER BY number) FILTER (c) AS cited,
+      string_agg(number, ',' ORDER BY number) FILTER (s) AS set_out, string_agg(number, ',' ORDER BY number) FILTER (c AND NOT s) AS missing
+      FROM (SELECT doc_id, number, bool_or(how = 'cited') AS c, bool_or(how = 'set_out') AS s FROM (
+        SELECT doc_id, 'cited' AS how, unnest({_NUMBERS.format('line', q(evidence.SECTION_CITED))}) AS number
+          FROM v_section_lines WHERE section <> 'addendum'
+        UNION ALL SELECT doc_id, 'set_out', unnest({_NUMBERS.format(f'trim(line, {WS})', q(evidence.SECTION_SET_OUT))})
+          FROM v_section_lines WHERE section = 'addendum') GROUP BY 1, 2) GROUP BY 1) n ON d.doc_id = n.doc_id""")
+def statutes_set_out(spark, sf):
+    """EVD-14 with CNT-003: cited sections against those that the addendum sets out."""
+    return evidence.statutes_set_out(V.fx_dpages(spark, sf)).select(
+        "doc_id", *[joined(c).alias(c) for c in ("cited", "set_out", "missing")])
+
+
 _evidence("EVD-4", evidence.record_cite_mix,
           f"""SELECT *, CASE WHEN record_cites + other_cites > 0 THEN
           round(record_cites / (record_cites + other_cites), 6) END AS compliant_share FROM (SELECT doc_id,

@@ -9,6 +9,7 @@ import re
 
 from conformance import views as V
 from docketlens import rules as R
+from docketlens.operators import evidence as E
 
 # The characters that count as white space at the ends of a text.
 WS = "' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(28)||chr(29)||chr(30)||chr(31)||chr(133)||chr(160)"
@@ -185,6 +186,13 @@ VIEWS: dict[str, str] = {
     "fx_judged_parts": """SELECT doc_id, check_no, check_id, rule, part_no, (doc_id + check_no + part_no * 2) % 3 <> 0 AS passed,
         'seen ' || check_id || ' in ' || part_no AS message
         FROM (SELECT *, unnest([1, 2, 3]) AS part_no FROM fx_judged) WHERE (doc_id + check_no * 3 + part_no) % 4 <> 0""",
+    # Every line of the decorated pages with the last heading line at or before it.
+    "v_section_lines": f"""SELECT *, coalesce(last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_seq
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'none') AS section FROM (
+        SELECT doc_id, line_seq, line_seq // 5 AS page_no, line, CASE {' '.join(
+            f"WHEN {hit('trim(line, ' + WS + ')', f'^(?:{p})' + chr(92) + 's*:?$', 'i')} THEN '{n}'" for n, p in E.HEADING_LINES.items())} END AS heading
+        FROM (SELECT doc_id, unnest(range(0, len(a))) AS line_seq, unnest(a) AS line
+          FROM (SELECT doc_id, string_split(full_text, chr(10)) AS a FROM fx_docs)))""",
     # ---- operator results --------------------------------------------------
     "v_types": f"SELECT doc_id, {_classify('cover_text')} AS brief_type FROM fx_docs",
     "v_vis": f"""SELECT *, length(text) AS chars FROM (

@@ -186,6 +186,13 @@ DECORATIONS = [
     ("doc_id % 12 = 5", ["SSN 123-45-6789, born 01/02/1990, card 4111111111111111."]),
     ("doc_id % 18 = 4", ["Table of Authorities", "Abel v. Cain, ¶ 3", "Baker v. Dodd, ¶ 5"]),
     ("doc_id % 18 = 13", ["Table of Authorities", "Baker v. Dodd, ¶ 5", "Abel v. Cain, ¶ 3"]),
+    # Tables that go on over pages without a heading, in order or with a late fault, and what ends them.
+    ("doc_id % 18 = 7", ["TABLE OF AUTHORITIES:"] + [f"{a}bel v. Cain, ¶ {i}" for i, a in enumerate("ABCDEFGHIJKLM")]),
+    ("doc_id % 18 = 16", ["  table of  authorities"] + [f"{a}bel v. Cain, ¶ {i}" for i, a in enumerate("ABCDEFGHIKJLM")]),
+    ("doc_id % 9 = 7 and doc_id % 4 < 2", ["Statement of the Case", "Aaron v. Last, ¶ 9"]),
+    ("doc_id % 9 = 3", ["Table of Contents"] + [f"Part {i} .... {i}" for i in range(7)] + ["Issue ¶ 8", "Argument"]),
+    ("doc_id % 11 = 10 and doc_id % 2 = 0", ["See N.D.C.C. § 27-20.3-16 and N.D.C.C. § 1-01-49.", "Addendum", "N.D.C.C. § 14-9-06. Custody.",
+                                             "words", "more words", "yet more", "§ 01-1-49 Words", "§ 12.1-20-03", "N.D.C.C. § 27-20.3-16"]),
     ("doc_id % 11 = 2", ["Review is de novo; findings stand unless clearly erroneous."]),
     ("doc_id % 11 = 3", ["Conclusion", "The judgment should be reversed and remanded."]),
     ("doc_id % 11 = 5", ["The Appellant and the appellees disagree."]),

@@ -6,6 +6,8 @@ shuffle is needed, and the features never claim to be the judgement itself.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +58,23 @@ REDACTIONS = [
     (IDENTIFIERS["emails"], "", "[e-mail address]"),
     (r"\b\d{3}-\d{3}-(\d{4})\b", "", "xxx-xxx-$1"),
 ]
+# Lines that are nothing but one of these begin a section, which lasts until the next one.
+HEADING_LINES = {
+    "contents": r"table\s+of\s+contents",
+    "authorities": r"table\s+of\s+authorities",
+    "jurisdiction": r"jurisdictional\s+statement|statement\s+of\s+jurisdiction",
+    "issues": r"statement\s+of\s+(?:the\s+)?issues?|issues?\s+presented",
+    "case": r"statement\s+of\s+(?:the\s+)?case",
+    "facts": r"statement\s+of\s+(?:the\s+)?facts",
+    "review": r"standard\s+of\s+review",
+    "argument": r"(?:law\s+and\s+)?argument",
+    "conclusion": r"conclusion",
+    "certificate": r"certificate\s+of\s+(?:compliance|service)",
+    "addendum": r"addendum",
+}
+SECTION_NUMBER = r"\d+(?:\.\d+)?-\d+(?:\.\d+)?(?:-\d+(?:\.\d+)?)?"
+SECTION_CITED = r"N\.D\.C\.C\.\s+§§?\s*(" + SECTION_NUMBER + ")"
+SECTION_SET_OUT = r"^(?:N\.D\.C\.C\.\s+)?§\s*(" + SECTION_NUMBER + ")"
 CODE_CITE = r"N\.D\.C\.C\.\s+(?:§|ch\.)\s*\d"
 NEUTRAL_YEAR = r"\b((?:19|20)\d{2})\s+ND(?:\s+App)?\s+\d+"
 NEUTRAL_SINCE = 1997
@@ -74,43 +93,115 @@ def section_presence(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *_flags(F.col("full_text"), R.SECTION_PATTERNS))
 
 
+def page_sections(pages: DataFrame, wanted: list[str], facts: dict[str, Callable[[Column], Column]],
+                  before: str | None = None) -> DataFrame:
+    """(doc_id, page_no, seg_no, section, n_lines, the facts): pages cut at their heading lines, sections carried on.
+
+    The lines before a page's first heading belong to the section that the pages before
+    it ended in, however many they are.  Pages become a few narrow rows inside their own
+    task; only these meet per document, to be named by the last heading seen.  ``facts``
+    are computed of the lines of ``wanted`` sections, and of lines not yet named;
+    ``before`` names what stands before the first heading of a document.
+    """
+    def heading(line: Column) -> Column:
+        bare, name = X.strip(line), None
+        for section, pattern in HEADING_LINES.items():
+            hit = X.matches(bare, rf"^(?:{pattern})\s*:?$", "i")
+            name = F.when(hit, section) if name is None else name.when(hit, section)
+        return name
+
+    lines = pages.select("doc_id", "page_no", F.split("text", "\n", -1).alias("lines"))
+    heads = lines.withColumn("heads", F.filter(F.transform("lines", lambda line, i: F.struct(
+        i.alias("at"), heading(line).alias("section"))), lambda h: h["section"].isNotNull()))
+    n = F.size("heads")
+
+    def segment(k: Column) -> Column:
+        begin = F.when(k == 0, F.lit(0)).otherwise(F.get("heads", k - 1)["at"] + 1)
+        until = F.when(k == n, F.size("lines")).otherwise(F.get("heads", k)["at"])
+        return F.struct(k.alias("seg_no"), F.get("heads", k - 1)["section"].alias("section"),
+                        F.slice("lines", begin + 1, until - begin).alias("lines"))
+
+    cut = heads.select("doc_id", "page_no", F.explode(F.transform(F.sequence(F.lit(0), n), segment)).alias("s"))
+    use = F.col("s.section").isNull() | F.col("s.section").isin(*wanted)
+    rows = cut.select("doc_id", "page_no", "s.seg_no", "s.section", F.size("s.lines").alias("n_lines"),
+                      *[F.when(use, fact(F.col("s.lines"))).alias(name) for name, fact in facts.items()])
+    so_far = Window.partitionBy("doc_id").orderBy("page_no", "seg_no").rowsBetween(Window.unboundedPreceding, 0)
+    named = rows.withColumn("section", F.coalesce(F.last("section", ignorenulls=True).over(so_far), F.lit(before)))
+    # A segment without lines is there only if a heading begins it.
+    return named.filter(F.col("section").isin(*wanted) & ((F.col("seg_no") > 0) | (F.col("n_lines") > 0)))
+
+
+def _marks(lines: Column) -> Column:
+    text = F.array_join(lines, "\n")
+    return X.count_matches(text, R.BRACKET_MARK) + X.count_matches(text, R.PARAGRAPH_MARK)
+
+
 def toc_reference_style(pages: DataFrame) -> DataFrame:
-    """EVD-2: on contents pages, paragraph marks against trailing page numbers."""
-    text = F.col("text")
-    toc = pages.filter(X.matches(text, R.SECTION_PATTERNS["table_of_contents"], "i"))
-    marks = X.count_matches(text, R.BRACKET_MARK, needs="[") + X.count_matches(text, R.PARAGRAPH_MARK, needs="¶")
-    numbers = X.count_matches(text, r"[^\d\n][ .\t]\d+[ \t]*$", "m")
-    return toc.select("doc_id", marks.alias("marks"), numbers.alias("numbers")).groupBy(
-        "doc_id").agg(F.count(F.lit(1)).alias("toc_pages"),
-                      F.sum("marks").alias("paragraph_refs"),
-                      F.sum("numbers").alias("page_refs"))
+    """EVD-2: in the table of contents, over all its pages, paragraph marks against trailing page numbers."""
+    toc = page_sections(pages, ["contents"], {
+        "marks": _marks,
+        "numbers": lambda lines: X.count_matches(F.array_join(lines, "\n"), r"[^\d\n][ .\t]\d+[ \t]*$", "m")})
+    per_page = toc.groupBy("doc_id", "page_no").agg(F.sum("marks").alias("marks"), F.sum("numbers").alias("numbers"))
+    return per_page.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("toc_pages"), F.sum("marks").alias("paragraph_refs"), F.sum("numbers").alias("page_refs"))
 
 
 def authorities_sorted(pages: DataFrame) -> DataFrame:
-    """EVD-3: are the case lines of the authorities pages in order, with marks?
+    """EVD-3: are the case lines of the table of authorities in order, over all its pages, with marks?
 
-    A page is reduced to its first and last case and whether it is in order
-    itself; neighbouring pages are then compared, a few rows per document.
+    A page's share is reduced to its first and last case and whether it is in order
+    itself; neighbours are then compared, a few rows per document.
     """
-    text = F.col("text")
-    toa = pages.filter(X.matches(text, R.SECTION_PATTERNS["table_of_authorities"], "i"))
-    cases = F.filter(F.transform(F.split(text, "\n", -1), X.strip),
-                     lambda line: line.contains(" v. "))
-    marks = X.count_matches(text, R.BRACKET_MARK, needs="[") + X.count_matches(text, R.PARAGRAPH_MARK, needs="¶")
-    per_page = toa.select("doc_id", "page_no", cases.alias("cases"), marks.alias("marks")).select(
-        "doc_id", "page_no", F.size("cases").alias("n"), "marks",
+    def cases(lines: Column) -> Column:
+        return F.filter(F.transform(lines, X.strip), lambda line: line.contains(" v. "))
+
+    toa = page_sections(pages, ["authorities"], {"marks": _marks, "cases": cases}).select(
+        "doc_id", "page_no", "seg_no", F.size("cases").alias("n"), "marks",
         F.get("cases", F.lit(0)).alias("first"), F.get("cases", F.size("cases") - 1).alias("last"),
         (F.col("cases") == F.array_sort("cases")).alias("sorted"))
     # Pages without a case line do not interrupt the order.
-    before = Window.partitionBy("doc_id").orderBy("page_no")
+    before = Window.partitionBy("doc_id").orderBy("page_no", "seg_no")
     follows = F.coalesce(F.last("last", ignorenulls=True).over(
         before.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("first"), F.lit(True))
-    return per_page.withColumn("follows", follows).groupBy("doc_id").agg(
+    return toa.withColumn("follows", follows).groupBy("doc_id").agg(
         F.sum("n").cast("long").alias("case_lines"),
         F.min(F.col("sorted") & F.col("follows")).alias("in_order"),
         F.sum("marks").alias("paragraph_refs"))
 
 
+def normal_section(number: Column) -> Column:
+    """A section number without leading zeros in its parts."""
+    return F.regexp_replace(number, r"(^|-)0+(\d)", "$1$2")
+
+
+def statutes_set_out(pages: DataFrame) -> DataFrame:
+    """EVD-14, CNT-003: code sections cited, those the addendum sets out, and cited ones it does not.
+
+    The addendum begins with its heading and may go on over any number of pages; a
+    section is set out where a line begins with its number.  Citations are those
+    outside the addendum.  Both sides meet on the normalised number.
+    """
+    def found(pattern: str):
+        def numbers(lines: Column) -> Column:
+            whole = F.array_join(F.transform(lines, X.strip), "\n")
+            return F.array_distinct(F.transform(X.all_matches(whole, pattern, "m", 1), normal_section))
+        return numbers
+
+    sections = page_sections(pages.withColumn("text", F.coalesce("text", F.lit(""))), [*HEADING_LINES, "none"], {
+        "cited": found(SECTION_CITED), "headed": found(SECTION_SET_OUT)}, before="none")
+    inside = F.col("section") == "addendum"
+    numbers = sections.select("doc_id", F.when(inside, "set_out").otherwise("cited").alias("how"),
+                              F.explode(F.when(inside, F.col("headed")).otherwise(F.col("cited"))).alias("number"))
+    met = numbers.groupBy("doc_id", "number").agg(
+        F.bool_or(F.col("how") == "cited").alias("cited"), F.bool_or(F.col("how") == "set_out").alias("set_out"))
+    # A list for each document, of the different sections it names.
+    lists = met.groupBy("doc_id").agg(*[F.array_sort(F.collect_list(F.when(cond, F.col("number")))).alias(name) for name, cond in (
+        ("cited", F.col("cited")), ("set_out", F.col("set_out")), ("missing", F.col("cited") & ~F.col("set_out")))])
+    none = F.array().cast("array<string>")
+    return pages.select("doc_id").distinct().join(lists, "doc_id", "left").select(
+        "doc_id", *[F.coalesce(c, none).alias(c) for c in ("cited", "set_out", "missing")])
+
+
 def record_cite_mix(docs: DataFrame) -> DataFrame:
     """EVD-4: record citations in the required form and in other forms."""
     text = F.col("full_text")

@@ -303,3 +303,21 @@ def test_capitals_without_a_body_size_are_body_text(spark):
     assert not font.passed and font.severity == "reject"
     histogram = fonts.font_histogram(spans_df(spark, spans))
     assert fonts.page_font_counts(histogram, fonts.doc_font_stats(histogram)).first().body_chars == 28
+
+
+def test_sections_go_on_over_pages(spark):
+    from docketlens.operators import evidence
+    cases = [f"{c}bel v. Cain, ¶ {i}" for i, c in enumerate("ABCDEFGHIJKL")]
+    late = [*cases[:10], cases[11], cases[10]]
+    rows = []
+    for d, names in ((1, cases), (2, late)):
+        rows += [(d, 0, "cover"), (d, 1, "TABLE OF CONTENTS\nIssue ... 3\n[4] Facts"), (d, 2, "Argument .... 9\n\nTable of Authorities:\n" + "\n".join(names[:4])),
+                 (d, 3, "\n".join(names[4:8])), (d, 4, None), (d, 5, "\n".join(names[8:]) + "\nStatement of the Issues\nAaron v. Zed")]
+    rows += [(3, 0, "As N.D.C.C. § 14-09-06 and N.D.C.C. § 1-2-3 say"), (3, 1, "Addendum\nN.D.C.C. § 14-9-6 Title"), (3, 2, "text\n  § 5-6 more"), (4, 0, None)]
+    pages = spark.createDataFrame(rows, "doc_id long, page_no int, text string").repartition(4)
+    toc = {r.doc_id: (r.toc_pages, r.paragraph_refs, r.page_refs) for r in evidence.toc_reference_style(pages).collect()}
+    assert toc == {1: (2, 1, 2), 2: (2, 1, 2)}
+    toa = {r.doc_id: (r.case_lines, r.in_order, r.paragraph_refs) for r in evidence.authorities_sorted(pages).collect()}
+    assert toa == {1: (12, True, 12), 2: (12, False, 12)}
+    code = {r.doc_id: (r.cited, r.set_out, r.missing) for r in evidence.statutes_set_out(pages).collect()}
+    assert code[3] == (["1-2-3", "14-9-6"], ["14-9-6", "5-6"], ["1-2-3"]) and code[4] == ([], [], []) and len(code) == 4
