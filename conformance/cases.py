@@ -227,6 +227,17 @@ def snk_4(spark, sf):
         "doc_id", "report_id", "recommendation")
 
 
+@case("report_by_id", f"""SELECT doc_id, substring(sha256(doc_id || ':{RUN}'), 1, 12) AS report_id, recommendation
+    FROM v_verdict WHERE doc_id = (SELECT max(doc_id) FROM documents)""")
+def report_by_id(spark, sf):
+    """SNK-4: one report out of the store."""
+    reports = writers.summaries(results(spark, sf), V.fx_docs(spark, sf), RUN).select("doc_id", "report_id", "recommendation")
+    store = V.work_folder(spark) + "/reports"
+    writers.write_reports(reports, store, RUN)
+    newest = V.table(spark, sf, "documents").agg(F.max("doc_id").alias("doc_id")).select(X.report_id(F.col("doc_id"), RUN)).first()[0]
+    return writers.report_by_id(spark, store, newest).select("doc_id", "report_id", "recommendation")
+
+
 # ------------------------------------------------------------ projections ---
 
 @case("PRJ-1", "SELECT doc_id, page_no, width_pt / 72 AS width_in, height_pt / 72 AS height_in FROM fx_pages")
@@ -992,3 +1003,15 @@ def str_3(spark, sf):
     return intake.intake_counts(verdicts, "1 hour").select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
         "recommendation", "n")
+
+
+@case("intake_with_late", """SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+    event_type AS recommendation, count(*) AS n FROM events GROUP BY 1, 2""")
+def intake_with_late(spark, sf):
+    """STR-3 as a stream: what was on time and what came late make up all rows."""
+    on_time, late = intake.run_counts(
+        spark, f"{sf}/events.parquet", V.table(spark, sf, "events").schema,
+        lambda events: events.select("ts", F.col("event_type").alias("recommendation")), V.work_folder(spark))
+    late = late.groupBy("window_start", "window_end", "recommendation").agg(F.count(F.lit(1)).alias("n"))
+    return intake.counted(on_time.unionByName(late)).select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "recommendation", "n")

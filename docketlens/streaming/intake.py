@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from docketlens import rules as R
 from docketlens import schema as S
@@ -52,26 +51,39 @@ def stream_checks(layout_stream: DataFrame, out: str, checkpoint: str,
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
 def dedupe_uploads(uploads: DataFrame, store: str, checkpoint: str, **trigger):
     """STR-2: keep the first upload of every content under ``store``, however late it comes.
 
-    What was kept is a table of hashes by batch; a new batch is reduced to one row
-    per hash and anti-joined with the batches before it.  A replayed batch
-    overwrites its own folder.  No watermark is involved, so an upload that was
-    never seen is never dropped.
+    Known contents live in the query's state, one row per hash in an embedded key-value
+    store on the executors' disks, so a batch looks up its own hashes only and never
+    reads what was kept before.  A hash is new in the batch in which it is first and last
+    seen; of several uploads in that batch the earliest stays.  A replayed batch has the
+    time it had before and overwrites its own folder.  No watermark is involved, so an
+    upload that was never seen is never dropped.  Uploads without a hash are the same
+    only if all their columns are.
     """
-    schema = StructType([*uploads.schema.fields]).add("batch_id", "long")
+    spark, columns = uploads.sparkSession, uploads.columns
+    whole_row = F.concat(F.lit("row:"), F.sha2(F.to_json(F.struct(*columns)), 256))
+    seen = uploads.withColumns({"__key": F.coalesce("content_hash", whole_row), "__at": F.current_timestamp()})
+    # One value holds the row: ties of received_at are broken by the other columns.
+    first = F.min(F.struct("received_at", *[c for c in columns if c != "received_at"])).alias("__row")
+    known = seen.groupBy("__key").agg(F.min("__at").alias("__since"), F.max("__at").alias("__last"), first)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        once = batch.groupBy("content_hash").agg(*[
-            F.min_by(c, "received_at").alias(c) for c in batch.columns if c != "content_hash"])
-        if batch_id:
-            kept = batch.sparkSession.read.schema(schema).parquet(store).filter(F.col("batch_id") < batch_id)
-            once = once.join(kept.select("content_hash"), "content_hash", "left_anti")
-        once.select(*batch.columns).write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
-
-    writer = uploads.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+        new = batch.filter("__since = __last").select(*[F.col(f"__row.{c}").alias(c) for c in columns])
+        new.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
+
+    writer = known.writeStream.outputMode("update").foreachBatch(process).option("checkpointLocation", checkpoint)
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)  # a query keeps the setting it starts with
+    try:
+        return writer.trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
 
 
 def intake_counts(verdicts: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
@@ -84,6 +96,42 @@ def intake_counts(verdicts: DataFrame, width: str = "1 hour", late: str | None =
         "recommendation", "n")
 
 
+def count_intake(verdicts: DataFrame, out: str, late_out: str, checkpoint: str, width: str = "1 hour",
+                 late: str = "1 hour", **trigger):
+    """STR-3 with nothing lost: counts per window under ``out``, rows behind the watermark under ``late_out``.
+
+    A batch counts its rows per window; such counts add up (:func:`counted`).  A row is
+    late when its window had ended ``late`` before the newest row of the batches before;
+    it is kept with its window instead of being dropped.  Each batch writes the newest
+    time so far beside its counts and reads that of the batch before, and overwrites its
+    own folders when it is replayed.
+    """
+    spark = verdicts.sparkSession
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        newest = spark.read.schema("newest timestamp").parquet(f"{checkpoint}-newest/batch_id={batch_id - 1}").first()[0] if batch_id else None
+        rows = batch.withColumn("window", F.window("ts", width))
+        ended = F.lit(newest) - F.expr(f"interval {late}")
+        behind = F.coalesce(F.col("window.end") <= ended, F.lit(False)) if newest else F.lit(False)
+        stored = f"{checkpoint}-batches/batch_id={batch_id}"  # read by three branches
+        rows.withColumn("behind", behind).write.mode("overwrite").parquet(stored)
+        rows = spark.read.parquet(stored)
+        ends = [F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end")]
+        rows.filter("not behind and window is not null").groupBy("window", "recommendation").agg(
+            F.count(F.lit(1)).alias("n")).select(*ends, "recommendation", "n").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        rows.filter("behind").select(*batch.columns, *ends).write.mode("overwrite").parquet(f"{late_out}/batch_id={batch_id}")
+        top = rows.agg(F.greatest(F.max("ts"), F.lit(newest).cast("timestamp")).alias("newest"))
+        top.coalesce(1).write.mode("overwrite").parquet(f"{checkpoint}-newest/batch_id={batch_id}")
+
+    writer = verdicts.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def counted(counts: DataFrame) -> DataFrame:
+    """The counts of all batches of :func:`count_intake` as one per window and verdict."""
+    return counts.groupBy("window_start", "window_end", "recommendation").agg(F.sum("n").alias("n"))
+
+
 def _read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     folder, _, name = path.rpartition("/")
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
@@ -103,3 +151,11 @@ def run_uploads(spark: SparkSession, path: str, schema, uploads: Callable[[DataF
     rows = uploads(_read_stream(spark, path, schema))
     dedupe_uploads(rows, f"{work}/out", f"{work}/state").awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{work}/out")
+
+
+def run_counts(spark: SparkSession, path: str, schema, verdicts: Callable[[DataFrame], DataFrame],
+               work: str) -> tuple[DataFrame, DataFrame]:
+    """Counts on time and late rows of everything that has arrived."""
+    rows = verdicts(_read_stream(spark, path, schema))
+    count_intake(rows, f"{work}/counts", f"{work}/late", f"{work}/state").awaitTermination()
+    return counted(spark.read.parquet(f"{work}/counts")), spark.read.parquet(f"{work}/late")

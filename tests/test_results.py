@@ -321,3 +321,25 @@ def test_sections_go_on_over_pages(spark):
     assert toa == {1: (12, True, 12), 2: (12, False, 12)}
     code = {r.doc_id: (r.cited, r.set_out, r.missing) for r in evidence.statutes_set_out(pages).collect()}
     assert code[3] == (["1-2-3", "14-9-6"], ["14-9-6", "5-6"], ["1-2-3"]) and code[4] == ([], [], []) and len(code) == 4
+
+
+def test_one_report_is_found_by_its_row_group(spark, tmp_path):
+    from docketlens.sources import writers
+    reports = spark.range(40_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("00"), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 10)).alias("report_id"),
+        F.sha2(F.concat(F.lit("x"), F.col("id")), 512).alias("reasoning"))
+    writers.write_reports(reports, str(tmp_path / "store"), "r", block_bytes=1 << 18)
+    wanted = reports.filter("doc_id = 777").first()
+    found = writers.report_by_id(spark, str(tmp_path / "store"), wanted.report_id)
+    rows = found.collect()
+    assert [(r.doc_id, r.reasoning) for r in rows] == [(777, wanted.reasoning)]
+    assert writers.report_by_id(spark, str(tmp_path / "store"), "00missing").count() == 0
+    plan, scanned = found._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        if node.nodeName().startswith("Scan"):
+            scanned.append(node.metrics().apply("numOutputRows").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+    walk(plan)
+    assert len(scanned) == 1 and 0 < scanned[0] < 10_000  # one row group of many

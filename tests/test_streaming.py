@@ -69,3 +69,40 @@ def test_window_counts_on_a_stream(spark, tmp_path):
     query.stop()
     got = {(r.window_start.hour, r.recommendation): r.n for r in spark.table("counts").collect()}
     assert got[1, "accept"] == 3 and got[2, "reject"] == 1
+
+
+def test_a_batch_does_not_read_what_was_kept(spark, tmp_path):
+    """Twenty batches; everything kept before is destroyed before each, and repeats are recognised still."""
+    columns = ["content_hash", "received_at", "name"]
+    expected, seen = [], set()
+    for k in range(20):
+        rows = [(f"h{(k * 7 + i * 3) % 60}" if i % 5 else None, datetime.datetime(2026, 1, 1, 0, i % 3).isoformat(), f"n{k % 4}-{i}") for i in range(12)]
+        _write(tmp_path / "in", f"{k}.json", [dict(zip(columns, r, strict=True)) for r in rows])
+        keys = {}
+        for r in sorted(rows, key=lambda r: (r[1], r[2])):
+            keys.setdefault(r[0] or r, r)
+        expected.append({r[2] for key, r in keys.items() if key not in seen})
+        seen |= set(keys)
+        for old in (tmp_path / "store").glob("*/*.parquet"):
+            old.write_bytes(b"gone")
+        stream = spark.readStream.schema("content_hash string, received_at timestamp, name string").json(str(tmp_path / "in"))
+        query = intake.dedupe_uploads(stream, str(tmp_path / "store"), str(tmp_path / "state"))
+        query.awaitTermination()
+        got = spark.read.parquet(str(tmp_path / "store" / f"batch_id={k}")).collect()
+        assert {r.name for r in got} == expected[k] and len(got) == len(expected[k])
+        assert sum(p["numInputRows"] for p in query.recentProgress) == 12
+
+
+def test_late_rows_are_kept_beside_the_counts(spark, tmp_path):
+    def at(hour, minute=0):
+        return datetime.datetime(2026, 1, 1, hour, minute).isoformat()
+
+    batches = [[at(1), at(1, 30), at(3)], [at(1, 45), at(2, 5), at(9), at(9, 1)], [at(1), at(7, 59), at(8, 1), at(7)], [None]]
+    for k, times in enumerate(batches):
+        _write(tmp_path / "in", f"{k}.json", [{"ts": t, "recommendation": "accept"} for t in times])
+        stream = spark.readStream.schema("ts timestamp, recommendation string").json(str(tmp_path / "in"))
+        for _ in range(2):  # a second run finds nothing new
+            intake.count_intake(stream, str(tmp_path / "out"), str(tmp_path / "late"), str(tmp_path / "state")).awaitTermination()
+    counts = {r.window_start.hour: r.n for r in intake.counted(spark.read.parquet(str(tmp_path / "out"))).collect()}
+    late = sorted((r.ts.hour, r.ts.minute, r.window_start.hour) for r in spark.read.parquet(str(tmp_path / "late")).collect())
+    assert counts == {1: 2, 3: 1, 2: 1, 9: 2, 8: 1} and late == [(1, 0, 1), (1, 45, 1), (7, 0, 7), (7, 59, 7)]
