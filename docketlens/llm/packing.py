@@ -16,8 +16,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ WINDOW = 4096
 END = 2
 #: Remainders in a shard, about.
 SHARD = 40_000
-#: Words, and letter cores of words, that a Python worker remembers: the last so many, twice that at most.
-WORDS = 500_000
+#: Words, and letter cores of words, that a Python worker remembers: the last so many, about twice that at most.
+WORDS = 800_000
 #: Texts whose new words are encoded together, and words in one call.
 TOGETHER, IN_A_CALL = 256, 1000
 
@@ -39,7 +40,7 @@ TOGETHER, IN_A_CALL = 256, 1000
 # -- tokens -----------------------------------------------------------------
 
 class Aging(dict):
-    """Remembers what was used last: when ``limit`` keys are held, they become the old ones, and the older ones go.
+    """Remembers what was used last: when more than ``limit`` keys are held, they become the old ones, and the older ones go.
 
     ``make`` gives the value of a key that is not known.
     """
@@ -50,19 +51,16 @@ class Aging(dict):
 
     def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        self[key] = value
+        self[key] = value = self.make(key) if value is None else value
         return value
 
-    def __setitem__(self, key: str, value: bytes) -> None:
-        if len(self) >= self.limit:
+    def age(self) -> None:
+        if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
-        super().__setitem__(key, value)
 
-    def knows(self, key: str) -> bool:
-        return key in self or key in self.old
+    def unknown(self, keys: Iterable[str]) -> Iterator[str]:
+        return filterfalse(self.old.__contains__, filterfalse(self.__contains__, keys))
 
 
 class WordIds:
@@ -76,7 +74,7 @@ class WordIds:
     numbering of words.
     """
 
-    SPACE = re.compile("[\x20\x09-\x0d]+")
+    SPACES = "\t\n\x0b\x0c\r"
     PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str, limit: int = WORDS):
@@ -86,6 +84,12 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.parts, self.words = Aging(limit, self._encode), Aging(limit, self._compose)
 
+    def split(self, text: str) -> list[str]:
+        """Words between white space; between two blanks stands an empty one."""
+        for space in self.SPACES:
+            text = text.replace(space, " ")
+        return text.split(" ")
+
     def _encode(self, part: str) -> bytes:
         return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -95,20 +99,22 @@ class WordIds:
 
     def learn(self, words: set[str]) -> None:
         """Encode the letter cores of new words, many in a call."""
-        split = (self.PLAIN.fullmatch(w) for w in words if not self.words.knows(w))
-        cores = list({core for m in split if m and not self.parts.knows(core := m[1].lower())})
+        self.words.age()
+        self.parts.age()
+        split = [(w, m[1].lower(), m[2]) for w in self.words.unknown(words) if (m := self.PLAIN.fullmatch(w))]
+        parts, cores = self.parts, list(set(self.parts.unknown(core for _, core, _ in split)))
         for i in range(0, len(cores), IN_A_CALL):
-            part = cores[i:i + IN_A_CALL]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            some = cores[i:i + IN_A_CALL]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             ids, owner = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids)
             cuts = [0, *(4 * (np.flatnonzero(np.diff(owner)) + 1)).tolist(), len(ids)]
-            if len(cuts) == len(part) + 1:  # else a core is several words to the tokenizer, or none: one by one
-                for core, a, b in zip(part, cuts, cuts[1:], strict=False):
-                    self.parts[core] = ids[a:b]
+            if len(cuts) == len(some) + 1:  # else a core is several words to the tokenizer, or none: one by one
+                parts.update(zip(some, (ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+        self.words.update((w, parts[core] + parts[rest]) for w, core, rest in split)
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        return self.ids_of(self.SPACE.split(text))
+        return self.ids_of(self.split(text))
 
     def ids_of(self, words: list[str]) -> bytes:
         return b"".join(map(self.words.__getitem__, words))
@@ -134,7 +140,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int
             texts = batch.column(1)
             for i in range(batch.num_rows):
                 if i % TOGETHER == 0:
-                    split = [encoder.SPACE.split(t or "") for t in texts.slice(i, TOGETHER).to_pylist()]
+                    split = [encoder.split(t or "") for t in texts.slice(i, TOGETHER).to_pylist()]
                     encoder.learn(set().union(*split))
                 own = encoder.ids_of(split[i % TOGETHER]) + tail
                 for at in range(0, len(own), 4 * window):

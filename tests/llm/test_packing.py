@@ -22,8 +22,8 @@ def test_remembered_words_give_the_tokenizer_s_ids():
     words = packing.WordIds(PATH, limit=5)
     for k, text in enumerate(texts * 3):
         if k % 2:
-            words.learn(set(words.SPACE.split(text)))
-        assert len(words.words) <= 5 and len(words.words.old) <= 5
+            words.learn(set(words.split(text)))
+            assert len(words.words) <= 5 + len(words.split(text))
         assert np.frombuffer(words.ids(text), "<u4").tolist() == direct_ids(text)[:-1]
 
 
