@@ -88,6 +88,22 @@ def src_1(spark, sf):
     return readers.candidate_filings(files, small).select("doc_id", "file_name", "content_hash", "status")
 
 
+@case("manifest_of_files", """SELECT doc_id, cast(65 * (1 + doc_id % 3) AS bigint) AS length,
+    'sha256:' || sha256(repeat(sha256(text) || chr(10), cast(1 + doc_id % 3 AS int))) AS content_hash,
+    CASE WHEN doc_id % 3 = 0 THEN 'ok' ELSE 'oversized' END AS status FROM documents WHERE doc_id % 4 <> 2""")
+def manifest_of_files(spark, sf):
+    """SRC-1 over files: one for each document, of four endings, written and listed again."""
+    folder = V.work_folder(spark) + "/filings"
+    lines = V.table(spark, sf, "documents").select(
+        "doc_id", F.explode(F.array_repeat(F.sha2("text", 256), (1 + F.col("doc_id") % 3).cast("int"))).alias("line"))
+    for k, ending in enumerate(("pdf", "PDF", "doc", "Pdf")):  # a file of a document is written by one task
+        (lines.filter(F.col("doc_id") % 4 == k).repartition("doc_id").write.partitionBy("doc_id")
+         .option("extension", ending).csv(f"{folder}/{k}"))
+    small = R.Thresholds(max_filing_bytes=100)
+    return readers.read_manifest(spark, folder, small).select(
+        F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("long").alias("doc_id"), "length", "content_hash", "status")
+
+
 @case("SRC-2", """SELECT doc_id, page_no,
     dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY block_no) - 1 AS block_no, line_no, span_no, text, font, size, flags,
     origin_y, bx0, by1 FROM fx_spans""")

@@ -20,9 +20,28 @@ def inline(name: str, df: DataFrame) -> DataFrame:
     return df
 
 
-def keep(name: str, df: DataFrame) -> DataFrame:
-    """Executor storage, spilling to disk; lost blocks are recomputed."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+class Kept:
+    """Executor storage, spilling to disk; lost blocks are recomputed.
+
+    ``with Kept() as stage: ...`` gives the storage back at the end, as does ``release``.
+    """
+
+    def __init__(self) -> None:
+        self.frames: list[DataFrame] = []
+
+    def __call__(self, name: str, df: DataFrame) -> DataFrame:
+        self.frames.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return self.frames[-1]
+
+    def release(self) -> None:
+        while self.frames:
+            self.frames.pop().unpersist()
+
+    def __enter__(self) -> Kept:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.release()
 
 
 def parquet_stage(folder: str) -> Stage:

@@ -13,7 +13,7 @@ from docketlens.operators import catalog, fonts, governance, sensitive, verdict
 from docketlens.plans import mechanical
 from docketlens.plans.full import Corpus, analyse, judge_requests
 from docketlens.plans.registry import Registry, judge_with
-from docketlens.plans.stages import keep, parquet_stage
+from docketlens.plans.stages import Kept, parquet_stage
 from docketlens.sources import readers, writers
 from tests.helpers import doc, docs_df, page, pages_df, span, spans_df
 
@@ -159,7 +159,7 @@ def test_manifest_of_files(spark, tmp_path):
 
 
 def test_json_round_trip_gives_the_same_verdict(spark, corpus, tmp_path):
-    facts = mechanical.document_facts(corpus.docs, corpus.pages, corpus.spans, stage=keep)
+    facts = mechanical.document_facts(corpus.docs, corpus.pages, corpus.spans, stage=Kept())
     results = mechanical.results_of(facts).persist()
     writers.write_documents(facts, results, str(tmp_path / "out"))
     back = readers.read_results(spark, str(tmp_path / "out"))
@@ -170,7 +170,7 @@ def test_json_round_trip_gives_the_same_verdict(spark, corpus, tmp_path):
 
 
 def test_report_store_and_html(spark, corpus, tmp_path):
-    analysis = analyse(corpus, "r1", stage=keep)
+    analysis = analyse(corpus, "r1", stage=Kept())
     html = {r.doc_id: r.html for r in writers.render_reports(analysis.reports, "v<1>").collect()}
     assert len(html) == 200 and all(h.startswith("<!DOCTYPE html>") for h in html.values())
     row = analysis.reports.filter("recommendation = 'reject'").orderBy("doc_id").first()
