@@ -227,6 +227,23 @@ def snk_3(spark, sf):
         F.size(F.regexp_extract_all("html", F.lit('<span class="page">'), F.lit(0))).cast("long").alias("pages"))
 
 
+@case("report_provenance", """SELECT doc_id, 'March 0' || (1 + doc_id % 9) || ', 2026 01:05 PM' AS date,
+    'Made by rules &lt;v2&gt; using judge' AS footer, CASE WHEN doc_id % 3 = 0 THEN 'because ' || doc_id || ' &amp; so'
+      ELSE CASE recommendation WHEN 'accept' THEN 'All' WHEN 'reject' THEN 'REJECT' ELSE 'Correction' END END AS reasoning FROM v_verdict""")
+def report_provenance(spark, sf):
+    """SNK-3: date, version and judge on the page, and a caller's reasoning in place of the rules'."""
+    facts = doc_facts(spark, sf)
+    words = V.table(spark, sf, "documents").selectExpr(
+        "doc_id", "case doc_id % 3 when 0 then concat('because ', doc_id, ' & so') when 1 then '' end reasoning")
+    reports = report_rows(facts, mechanical.results_of(facts), RUN, reasonings=words)
+    at = F.expr("timestamp_seconds(unix_seconds(timestamp'2026-03-01 13:05:00') + doc_id % 9 * 86400)")
+    html = writers.render_reports(reports, "Made by rules", at, "<v2>", "judge")
+    found = lambda p: F.regexp_extract("html", p, 1)
+    words = found("</table><p>([^<]*)</p>")
+    return html.select("doc_id", found("<td>Date</td><td>([^<]*)</td>").alias("date"), found("<footer>([^<]*)</footer>").alias("footer"),
+                       F.when(F.col("doc_id") % 3 == 0, words).otherwise(F.regexp_extract(words, "^(\\w+)", 1)).alias("reasoning"))
+
+
 @case("SNK-4", f"""SELECT v.doc_id, substring(sha256(v.doc_id || ':{RUN}'), 1, 12) AS report_id, recommendation
     FROM v_verdict v WHERE v.doc_id IN (SELECT doc_id FROM labels)""")
 def snk_4(spark, sf):

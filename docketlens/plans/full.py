@@ -41,7 +41,7 @@ def analyse(corpus: Corpus, run_id: str, overrides: DataFrame | None = None,
             answers: DataFrame | None = None, advised: DataFrame | None = None,
             check_catalog: DataFrame | None = None, registry: Registry | None = None,
             th: R.Thresholds = R.DEFAULTS, stage: Stage = inline,
-            fix_types: bool = False) -> Analysis:
+            fix_types: bool = False, reasonings: DataFrame | None = None) -> Analysis:
     """Classify, check, merge outside answers, decide, report.
 
     ``answers`` holds raw judge answers (``doc_id``, ``answer``, and ``part_no``
@@ -66,7 +66,7 @@ def analyse(corpus: Corpus, run_id: str, overrides: DataFrame | None = None,
         results = catalog.all_results(
             results, catalog.semantic_results(facts.select("doc_id", "brief_type"), checks, judged))
     results = stage("results", results)
-    return Analysis(facts, results, report_rows(facts, results, run_id, advised))
+    return Analysis(facts, results, report_rows(facts, results, run_id, advised, reasonings))
 
 
 def judge_requests(corpus: Corpus, facts: DataFrame, rule_texts: DataFrame,

@@ -13,12 +13,13 @@ RESULT_FIELDS = [c for c in S.RESULT_COLUMNS if c != "doc_id"]
 
 
 def report_rows(docs: DataFrame, results: DataFrame, run_id: str,
-                advised: DataFrame | None = None) -> DataFrame:
+                advised: DataFrame | None = None, reasonings: DataFrame | None = None) -> DataFrame:
     """Reports of a run.
 
     ``docs`` needs ``doc_id`` and ``brief_type``; ``cover_text``, ``path`` and
     the counts are used where present.  ``advised`` is the optional outside
-    opinion of AGG-14.
+    opinion of AGG-14.  ``reasonings`` (``doc_id``, ``reasoning``) are a caller's own
+    words for a verdict, one a document; empty ones leave what the rules say.
     """
     order = F.struct(verdict.result_group().alias("g"), "check_id", "name")
     listed = F.transform(F.array_sort(F.collect_list(F.struct(
@@ -27,6 +28,10 @@ def report_rows(docs: DataFrame, results: DataFrame, run_id: str,
     if advised is not None:
         raised = verdict.escalate(decided, advised).select("doc_id", "recommendation", "reasoning")
         decided = decided.drop("recommendation", "reasoning").join(raised, "doc_id")
+    if reasonings is not None:
+        own = reasonings.filter("reasoning <> ''").groupBy("doc_id").agg(F.max("reasoning").alias("own_words"))
+        decided = decided.join(own, "doc_id", "left").withColumn(
+            "reasoning", F.coalesce("own_words", "reasoning")).drop("own_words")
     keep = [c for c in ("brief_type", "total_pages", "body_pages", "word_count", "path")
             if c in docs.columns]
     facts = docs.select("doc_id", *keep, *_case_facts(docs))

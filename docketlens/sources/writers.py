@@ -135,8 +135,12 @@ def _result_table(title: str, rows: Column) -> Column:
     ).otherwise("")
 
 
-def report_html(footer: str = "") -> Column:
-    """A self-contained page from a report row of ``plans.reports``."""
+def report_html(footer: str = "", at: Column | None = None, version: str = "", model: str = "") -> Column:
+    """A self-contained page from a report row of ``plans.reports``.
+
+    ``at`` is the time of the analysis, ``version`` that of the rules and ``model`` the
+    judge's name; each is shown where it is given.
+    """
     banner = F.lit("")
     for value, (label, color, background) in _BANNERS.items():
         banner = F.when(F.col("recommendation") == value, F.lit(
@@ -168,7 +172,9 @@ def report_html(footer: str = "") -> Column:
     facts = _tag("table", fact("Report ID", F.col("report_id")), fact("Brief Type", kind),
                  fact("Pages (body)", F.col("body_pages")),
                  fact("Pages (total)", F.col("total_pages")),
-                 fact("Word Count", F.col("word_count")))
+                 fact("Word Count", F.col("word_count")),
+                 *([] if at is None else [fact("Date", F.date_format(at, "MMMM dd, yyyy hh:mm a"))]))
+    made = " ".join(x for x in (footer, version, f"using {model}" if model else "") if x)
     return F.concat(
         F.lit('<!DOCTYPE html><html lang="en"><head><meta charset="UTF-8"><title>'), title,
         F.lit(f"</title><style>{_STYLE}</style></head><body>"), _tag("h1", title),
@@ -177,9 +183,10 @@ def report_html(footer: str = "") -> Column:
         _tag("h2", F.format_string("Failed Checks (%d)", F.col("failed_checks"))), failed,
         _result_table("Passed Checks", F.filter(results, lambda r: r["passed"] & r["applicable"])),
         _result_table("Not Applicable", F.filter(results, lambda r: ~r["applicable"])),
-        _tag("footer", X.html_escape(F.lit(footer))), F.lit("</body></html>"))
+        _tag("footer", X.html_escape(F.lit(made))), F.lit("</body></html>"))
 
 
-def render_reports(reports: DataFrame, footer: str = "") -> DataFrame:
+def render_reports(reports: DataFrame, footer: str = "", at: Column | None = None, version: str = "",
+                   model: str = "") -> DataFrame:
     """SNK-3: one HTML page per report, as rows (write as text or parquet)."""
-    return reports.select("doc_id", "report_id", report_html(footer).alias("html"))
+    return reports.select("doc_id", "report_id", report_html(footer, at, version, model).alias("html"))
