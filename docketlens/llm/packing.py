@@ -32,7 +32,8 @@ END = 2
 #: Remainders in a shard, about.
 SHARD = 40_000
 #: Words, and letter cores of words, that a Python worker remembers: the last so many, about twice that at most.
-WORDS = 800_000
+#: Cores cost most to make; words are put together of them.
+WORDS, PARTS = 250_000, 500_000
 #: Texts whose new words are encoded together, and words in one call.
 TOGETHER, IN_A_CALL = 256, 1000
 
@@ -77,12 +78,12 @@ class WordIds:
     SPACES = "\t\n\x0b\x0c\r"
     PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, limit: int = WORDS):
+    def __init__(self, path: str, limit: int = WORDS, parts: int = PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts, self.words = Aging(limit, self._encode), Aging(limit, self._compose)
+        self.parts, self.words = Aging(parts, self._encode), Aging(limit, self._compose)
 
     def split(self, text: str) -> list[str]:
         """Words between white space; between two blanks stands an empty one."""

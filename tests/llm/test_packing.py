@@ -19,7 +19,7 @@ def direct_ids(text):
 def test_remembered_words_give_the_tokenizer_s_ids():
     texts = ["a <|endoftext|> b", "x́ ́y", "a\x1cb É", "İ A ΑΣ", "don't it's. '' O'Neil_x ___ a_b",
              "Élan,,, ßx º1 A1b2", "", " \n", "été... 12 中文", "A.\x0bB\x0c\x00c\x85d e"]
-    words = packing.WordIds(PATH, limit=5)
+    words = packing.WordIds(PATH, limit=5, parts=4)
     for k, text in enumerate(texts * 3):
         if k % 2:
             words.learn(set(words.split(text)))
