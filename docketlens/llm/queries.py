@@ -146,9 +146,7 @@ WITH RECURSIVE p AS (
          ELSE doc_id // 1000 || '/' || doc_id // 100 || '/' || doc_id // 10 END AS dir,
     doc_id % 10 = 0 AS is_file, CASE WHEN doc_id % 10 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS name
   FROM documents),
-s0 AS (SELECT DISTINCT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[ 	
-
-]+', '' || chr(10), 'g'), chr(10))) AS s FROM p),
+s0 AS (SELECT DISTINCT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[ \t\n\x0b\x0c\r]+', '\1' || chr(10), 'g'), chr(10))) AS s FROM p),
 s AS (SELECT * FROM s0 WHERE regexp_matches(s, '%(cue)s')),
 u AS (SELECT s, count(*) AS times, regexp_extract_all(lower(s), '%(term)s') AS terms FROM s GROUP BY s),
 n AS (SELECT coalesce(sum(times), 0) AS n FROM u),
