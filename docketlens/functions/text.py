@@ -179,8 +179,8 @@ def case_title(cover: Column, path: Column) -> Column:
 
     plaintiff, defendant = party(_PLAINTIFF), party(_DEFENDANT)
     stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=[^.])\.[^.]*$", "")
-    stem = F.regexp_replace(stem, rx(r"^\d+_"), "")
-    stem = F.regexp_replace(stem, rx(r"_(Apt|Ape|Apc|Ami|Rep)-?Br.*$", "i"), "")
+    stem = F.regexp_replace(stem, rx(R.STEM_NUMBER), "")
+    stem = F.regexp_replace(stem, rx(R.STEM_KIND, "i"), "")
     stem = F.regexp_replace(F.replace(stem, F.lit("-"), F.lit(" ")), rx(r"\bv\b"), "v.")
     return F.when((plaintiff != "") & (defendant != ""),
                   F.concat(plaintiff, F.lit(" v. "), defendant)).otherwise(strip(stem))
