@@ -1,6 +1,7 @@
 """Benchmark items inside documents: size-partitioned MinHash containment search.
 
-An item is the set of its five-word shingles.  Items are partitioned by size into
+An item is the set of its five-word shingles; one of fewer words is a single
+shingle, its whole sequence of words.  Items are partitioned by size into
 classes [2**c, 2**(c+1)).  A class keeps of each item the k smallest shingle
 hashes, its bottom-k MinHash sketch, with k one more than the shingles that a
 document containing the item to the threshold may lack at the class's upper
@@ -13,8 +14,8 @@ containment of shingles as text.
 The items are a query set: they are taken in blocks of bounded size, and
 each block is held by the tasks that scan the documents.
 
-Defined cases: null text is empty; items of fewer than five words have no
-shingle and match nothing; repeated items or documents match each; documents
+Defined cases: null text is empty; items without a word match nothing; items of
+fewer than five words match where their words stand together; repeated items or documents match each; documents
 without words are clean; an empty table on either side gives no match.
 """
 
@@ -44,14 +45,17 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def shingle_keys(words: list[str], n: int) -> np.ndarray:
-    """A 64-bit hash of every n-word shingle: a polynomial over word hashes."""
-    if len(words) < n:
+def word_keys(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def shingle_keys(h: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of every n-word shingle: a polynomial over the word hashes h."""
+    if len(h) < n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    out = np.zeros(len(words) - n + 1, np.uint64)
+    out = np.zeros(len(h) - n + 1, np.uint64)
     for i in range(n):
-        out = out * np.uint64(_BASE) + h[i:len(words) - n + 1 + i]
+        out = out * np.uint64(_BASE) + h[i:len(h) - n + 1 + i]
     return out ^ (out >> np.uint64(29))
 
 
@@ -71,29 +75,35 @@ class Sketches:
     """A block of items: shingles as text, and bottom-k sketches by size class."""
 
     def __init__(self, items: list[tuple], n: int, threshold: float):
-        self.n, self.items, keys, owners = n, [], [], []
+        self.items, keys, owners = [], [], []
         for item, text in items:
             words = words_of(text)
-            own = shingles(words, n)
-            if not own:
+            length = min(n, len(words))
+            if not length:
                 continue
+            own = shingles(words, length)
             size = len(own)
             upper = 2 ** size.bit_length() - 1
             k = min(size, upper - at_least(upper, threshold) + 1)
-            sketch = np.unique(shingle_keys(words, n))[:k]
+            sketch = np.unique(shingle_keys(word_keys(words), length))[:k]
             enough = at_least(size, threshold)
             least = max(1, len(sketch) - (size - enough))
             owners.extend([len(self.items)] * len(sketch))
             keys.extend(sketch.tolist())
-            self.items.append((item, own, least, enough))
+            self.items.append((item, own, least, enough, length))
+        #: Words of a shingle: n, and the sizes of shorter items.
+        self.lengths = sorted({i[4] for i in self.items})
         order = np.argsort(np.array(keys, np.uint64), kind="stable")
         self.keys, self.owners = np.array(keys, np.uint64)[order], np.array(owners, np.int64)[order]
 
     def matches(self, text: str | None) -> list[tuple]:
         """(item, shingles of the item, of these in the text), where enough are."""
         words = words_of(text)
-        keys = shingle_keys(words, self.n)
-        if not len(keys) or not len(self.keys):
+        if not words or not self.items:
+            return []
+        h = word_keys(words)
+        keys = np.concatenate([shingle_keys(h, length) for length in self.lengths])
+        if not len(keys):
             return []
         at = np.searchsorted(self.keys, keys)
         met = np.unique(keys[self.keys[np.minimum(at, len(self.keys) - 1)] == keys])
@@ -104,10 +114,11 @@ class Sketches:
         likely = [i for i, count in hits.items() if count >= self.items[i][2]]
         if not likely:
             return []
-        own, found = shingles(words, self.n), []
+        own = {length: shingles(words, length) for length in {self.items[i][4] for i in likely}}
+        found = []
         for i in sorted(likely):
-            item, parts, _, enough = self.items[i]
-            shared = sum(p in own for p in parts)
+            item, parts, _, enough, length = self.items[i]
+            shared = sum(p in own[length] for p in parts)
             if shared >= enough:
                 found.append((item, len(parts), shared))
         return found

@@ -58,10 +58,11 @@ WITH i AS (
   SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
 d AS (
   SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
-si AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 4], ' ') AS s FROM (
-  SELECT item_id, w, unnest(range(1, len(w) - 3)) AS k FROM i)),
-sd AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (
-  SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d)),
+z AS (SELECT DISTINCT least(len(w), 5) AS z FROM i WHERE len(w) > 0),
+si AS (SELECT DISTINCT item_id, array_to_string(w[k:k + z - 1], ' ') AS s FROM (
+  SELECT item_id, w, z, unnest(range(1, len(w) - z + 2)) AS k FROM i JOIN z ON z = least(len(w), 5))),
+sd AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + z - 1], ' ') AS s FROM (
+  SELECT doc_id, w, z, unnest(range(1, len(w) - z + 2)) AS k FROM d JOIN z ON z <= len(w))),
 n AS (SELECT item_id, count(*) AS item_shingles FROM si GROUP BY item_id),
 f AS (SELECT doc_id, item_id, count(*) AS found_shingles FROM si JOIN sd USING (s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, item_shingles, found_shingles, found_shingles / item_shingles AS containment

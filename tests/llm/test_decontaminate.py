@@ -8,14 +8,18 @@ ITEM = "item_id long, text string"
 
 
 def brute(docs, items, n=5, threshold=0.8):
-    def parts(text):
-        w = re.findall(r"[^\W_]+", (text or "").lower())
-        return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)}
+    def words(text):
+        return re.findall(r"[^\W_]+", (text or "").lower())
+
+    def parts(text, n):
+        w = words(text)
+        return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if n else set()
     out = []
     for i, t in items:
-        own = parts(t)
+        z = min(n, len(words(t)))
+        own = parts(t, z)
         for d, text in docs:
-            shared = len(own & parts(text))
+            shared = len(own & parts(text, z))
             if own and shared / len(own) >= threshold:
                 out.append((d, i, len(own), shared))
     return sorted(out)
@@ -42,15 +46,26 @@ def test_partial_items_at_the_threshold(spark):
     assert sorted((r["id"], r["item"], r["item_shingles"], r["found_shingles"]) for r in found.collect()) == brute(docs, items)
 
 
+def test_items_of_fewer_than_five_words(spark):
+    items = [(1, "Answer is: forty two!"), (2, "forty two"), (3, "two forty"), (4, "?!"), (5, "alone"),
+             (6, "answer is forty two in the end")]
+    docs = [(1, "far " * 900 + "the answer is\nforty-two, then " + "on " * 900), (2, "answer is forty"), (3, "forty"), (4, None),
+            (5, "two alone"), (6, "forty two forty"), (7, "answer is forty two in the end")]
+    found = D.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEM), chars=30)
+    rows = sorted((r["id"], r["item"], r["item_shingles"], r["found_shingles"]) for r in found.collect())
+    assert rows == brute(docs, items)
+    assert {r[:2] for r in rows} == {(1, 1), (1, 2), (5, 5), (6, 2), (6, 3), (7, 1), (7, 2), (7, 6)}
+
+
 def test_odd_rows(spark):
     items = spark.createDataFrame([(1, " ".join(BASE.upper().split()[10:40])), (2, None), (3, ""), (4, "one two"),
                                    (5, " ".join(LONG.split()[100:200])), (5, " ".join(LONG.split()[100:200])), (None, "zz " * 9)], ITEM)
     docs = odd_docs(spark)
     found = sorted((r["id"] or -1, r["item"]) for r in D.contained_items(docs, items).collect())
-    assert found == [(-1, 1), (6, 1), (6, 1), (7, 1), (8, 1), (9, 1), (10, 5), (10, 5), (11, 5), (11, 5)]
+    assert found == [(-1, 1), (5, 4), (6, 1), (6, 1), (7, 1), (8, 1), (9, 1), (10, 5), (10, 5), (11, 5), (11, 5), (14, 4)]
     kept = D.decontaminate(docs, items)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 12, 13, 13, 14]
+    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 12, 13, 13]
     assert D.contained_items(no_docs(spark), items).count() == 0
     assert D.contained_items(docs, items.limit(0)).count() == 0
     assert D.decontaminate(docs, items.limit(0)).count() == docs.count()
