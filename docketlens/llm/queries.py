@@ -147,8 +147,16 @@ WITH RECURSIVE p AS (
          ELSE doc_id // 1000 || '/' || doc_id // 100 || '/' || doc_id // 10 END AS dir,
     doc_id % 10 = 0 AS is_file, CASE WHEN doc_id % 10 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS name
   FROM documents),
-s0 AS (SELECT DISTINCT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[ \t\n\x0b\x0c\r]+', '\1' || chr(10), 'g'), chr(10))) AS s FROM p),
-s AS (SELECT * FROM s0 WHERE regexp_matches(s, '%(cue)s')),
+h AS (SELECT doc_id, name, text, CASE WHEN regexp_matches(string_split_regex(text, '%(no_comment)s')[1], '%(cue)s')
+    THEN string_split_regex(text, '%(no_comment)s')[1] END AS header FROM p),
+j AS (SELECT doc_id, name, text, regexp_replace(regexp_replace(regexp_replace(text, '%(mark)s', '\1', 'g'), '%(paragraph)s', '. ', 'g'), '\n', ' ', 'g') AS joined,
+    regexp_replace(regexp_replace(regexp_replace(header, '%(mark)s', '\1', 'g'), '%(paragraph)s', '. ', 'g'), '\n', ' ', 'g') AS header FROM h),
+s0 AS (SELECT doc_id, 0 AS kind, unnest(string_split(regexp_replace(text, '([.!?])[ \t\n\x0b\x0c\r]+', '\1' || chr(10), 'g'), chr(10))) AS s FROM j
+  UNION SELECT doc_id, 0, unnest(string_split(regexp_replace(joined, '([.!?])[ \t\n\x0b\x0c\r]+', '\1' || chr(10), 'g'), chr(10))) FROM j),
+s AS (SELECT * FROM s0 WHERE regexp_matches(s, '%(cue)s')
+  UNION SELECT doc_id, 1, joined FROM j WHERE regexp_matches(name, '%(file_name)s')
+  UNION SELECT doc_id, 1, header FROM j WHERE header IS NOT NULL
+  UNION SELECT doc_id, 2, 'spdx ' || regexp_replace(lower(unnest(regexp_extract_all(text, '%(tag)s', 1))), '%(noise)s', '', 'g') FROM j),
 u AS (SELECT s, count(*) AS times, regexp_extract_all(lower(s), '%(term)s') AS terms FROM s GROUP BY s),
 n AS (SELECT coalesce(sum(times), 0) AS n FROM u),
 df AS (SELECT term, sum(times) AS df FROM (SELECT times, unnest(list_distinct(terms)) AS term FROM u) GROUP BY term),
@@ -163,8 +171,9 @@ tn AS (SELECT template, sqrt(sum(w * w)) AS size FROM tw GROUP BY template),
 c AS (SELECT sw.s, tw.license, round(sum(sw.w * tw.w) / (any_value(sn.size) * any_value(tn.size)), 6) AS cosine
   FROM sw JOIN tw USING (term) JOIN sn ON sn.s = sw.s JOIN tn ON tn.template = tw.template
   GROUP BY sw.s, tw.template, tw.license),
-o AS (SELECT doc_id, license, cosine FROM s JOIN c USING (s) WHERE cosine >= 0.6
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) = 1),
+b AS (SELECT * FROM c WHERE cosine >= 0.6 QUALIFY row_number() OVER (PARTITION BY s ORDER BY cosine DESC, license) = 1),
+o AS (SELECT doc_id, license, cosine FROM s JOIN b USING (s)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY kind DESC, cosine DESC, license) = 1),
 f AS (SELECT p.doc_id, p.dir, p.name, p.is_file, o.license AS own_license, o.cosine AS own_similarity FROM p LEFT JOIN o USING (doc_id)),
 g AS (SELECT dir, arg_max(own_license, {'c': own_similarity, 'l': own_license}) AS dir_license FROM f WHERE is_file AND own_license IS NOT NULL GROUP BY dir),
 i AS (SELECT f.doc_id, g.dir, g.dir_license FROM f JOIN g ON f.dir = g.dir OR starts_with(f.dir, g.dir || '/') WHERE f.own_license IS NULL
@@ -172,8 +181,11 @@ i AS (SELECT f.doc_id, g.dir, g.dir_license FROM f JOIN g ON f.dir = g.dir OR st
 SELECT doc_id, f.dir || '/' || name AS path, own_license, own_similarity, coalesce(own_license, dir_license) AS license,
        CASE WHEN own_license IS NOT NULL THEN 'own' WHEN dir_license IS NOT NULL THEN 'inherited' END AS via, i.dir AS license_dir
 FROM f LEFT JOIN i USING (doc_id)"""
-for _mark, _value in (("%(cue)s", licenses.CUE), ("%(term)s", licenses.TERM),
-                      ("%(templates)s", ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(licenses.TEMPLATES)))):
+_BODIES = [*licenses.TEMPLATES, *((x, "spdx " + x.lower().replace("-", "").replace(".", "")) for x in sorted({x for x, _ in licenses.TEMPLATES}))]
+for _mark, _value in (("%(cue)s", licenses.CUE), ("%(term)s", licenses.TERM), ("%(no_comment)s", licenses.NO_COMMENT),
+                      ("%(mark)s", licenses.MARK), ("%(paragraph)s", licenses.PARAGRAPH), ("%(file_name)s", licenses.FILE_NAME),
+                      ("%(tag)s", licenses.TAG), ("%(noise)s", licenses.TAG_NOISE),
+                      ("%(templates)s", ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(_BODIES)))):
     _LICENSE_SQL = _LICENSE_SQL.replace(_mark, _value)
 
 
