@@ -12,8 +12,8 @@ before sentences, and then the greatest cosine decides.  Files without a license
 inherit from the license file in the nearest directory above them that has one
 with a license.
 
-Statements are exploded under a hash of their text, so no term carries it along,
-and terms are counted by combining aggregates.  The template table is a constant
+Statements are told apart by a hash of their text and then numbered, so a term
+carries along neither text nor hash; terms are counted by combining aggregates.  The template table is a constant
 of the code; longer license texts may be given as ``templates``.  A file meets its few ancestors in an
 equi-join on the directory, dealt over ``SALTS`` copies of the directory row so
 that a directory with a third of all files stays divisible.
@@ -164,9 +164,10 @@ def scan_licenses(files: DataFrame, path_column: str = "path", text_column: str
     found = staged(rows.select("path", *keep, F.when(states, _statements(name, F.col("text"))).alias("statements"))
                    .withColumn("file", F.monotonically_increasing_id()), "license-statements")
     # Equal statements are weighed once.
-    said = found.select("file", F.inline("statements")).withColumn("key", F.sha2("statement", 256))
+    said = found.select("file", F.inline("statements")).withColumn("key", F.unhex(F.sha2("statement", 256)))
     statements = staged(said.groupBy("key").agg(F.count("*").alias("times"), F.any_value("statement").alias("statement"))
-                        .select("key", "times", _terms(F.col("statement")).alias("terms")), "license-sentences")
+                        .select("key", "times", _terms(F.col("statement")).alias("terms"),
+                                F.monotonically_increasing_id().alias("number")), "license-sentences")
     total = statements.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n"))
     rarity = (statements.select("times", F.explode(F.array_distinct("terms")).alias("term"))
               .groupBy("term").agg(F.sum("times").alias("df")))
@@ -184,20 +185,20 @@ def scan_licenses(files: DataFrame, path_column: str = "path", text_column: str
         w = F.col("tf") * F.coalesce("idf", F.log(rarest) + 1)
         return counts.join(rarity, "term", "left").select(*key, "term", w.alias("w"))
 
-    said_terms = weighed(statements.select("key", "terms"), ["key"])
+    said_terms = weighed(statements.select("number", "terms"), ["number"])
     template_terms = weighed(table.select("template", _terms(F.col("body")).alias("terms")), ["template"])
-    said_size = said_terms.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    said_size = said_terms.groupBy("number").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
     template_size = template_terms.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("template_size"))
     # At most one row per statement and template: the templates are a constant.
     dots = (said_terms.join(template_terms.withColumnRenamed("w", "v"), "term")
-            .groupBy("key", "template").agg(F.sum(F.col("w") * F.col("v")).alias("dot")))
-    cosines = (dots.join(said_size, "key").join(template_size, "template").join(table.select("template", "license"), "template")
-               .select("key", "license", F.round(F.col("dot") / (F.col("size") * F.col("template_size")), 6).alias("cosine")))
+            .groupBy("number", "template").agg(F.sum(F.col("w") * F.col("v")).alias("dot")))
+    cosines = (dots.join(said_size, "number").join(template_size, "template").join(table.select("template", "license"), "template")
+               .select("number", "license", F.round(F.col("dot") / (F.col("size") * F.col("template_size")), 6).alias("cosine")))
     order = spark.createDataFrame([(x, i) for i, x in enumerate(licenses)], "license string, order int")
     last = F.negative(F.col("order")).alias("o")
     named = staged(cosines.filter(F.col("cosine") >= similarity).join(order, "license")
-                   .groupBy("key").agg(F.max_by(F.struct("license", "cosine"), F.struct("cosine", last)).alias("best")),
-                   "license-names")
+                   .groupBy("number").agg(F.max_by(F.struct("license", "cosine"), F.struct("cosine", last)).alias("best"))
+                   .join(statements.select("number", "key"), "number").select("key", "best"), "license-names")
     own = (said.join(named, "key").select("file", "kind", F.col("best.license").alias("license"), F.col("best.cosine").alias("cosine"))
            .join(order, "license").groupBy("file")
            .agg(F.max_by(F.struct("license", "cosine"), F.struct("kind", "cosine", last)).alias("best")))
