@@ -106,3 +106,20 @@ def test_late_rows_are_kept_beside_the_counts(spark, tmp_path):
     counts = {r.window_start.hour: r.n for r in intake.counted(spark.read.parquet(str(tmp_path / "out"))).collect()}
     late = sorted((r.ts.hour, r.ts.minute, r.window_start.hour) for r in spark.read.parquet(str(tmp_path / "late")).collect())
     assert counts == {1: 2, 3: 1, 2: 1, 9: 2, 8: 1} and late == [(1, 0, 1), (1, 45, 1), (7, 0, 7), (7, 59, 7)]
+
+
+def test_streams_read_a_table_of_one_file_or_of_many(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs.repartition(5).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    (tmp_path / "one").mkdir()
+    docs.coalesce(1).write.parquet(str(tmp_path / "written"))
+    next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "one" / "documents.parquet")
+    docs.limit(3).write.parquet(str(tmp_path / "many" / "documents.parquet.old"))  # beside it, not part of it
+    ids = sorted(r.doc_id for r in docs.collect())
+    for kind in ("many", "one"):
+        path = str(tmp_path / kind / "documents.parquet")
+        found = intake.run_available(spark, path, docs.schema, lambda batch: batch.select("doc_id"), str(tmp_path / f"checks-{kind}"))
+        assert sorted(r.doc_id for r in found.collect()) == ids
+        kept = intake.run_uploads(spark, path, docs.schema, lambda rows: rows.select(
+            F.sha2("text", 256).alias("content_hash"), F.timestamp_seconds("doc_id").alias("received_at")), str(tmp_path / f"uploads-{kind}"))
+        assert kept.count() == docs.select("text").distinct().count()
