@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from conformance import views as V
 from docketlens import schema as S
 from docketlens.operators import documents, layout
 from docketlens.sources import readers
@@ -240,3 +241,20 @@ def test_text_parts_of_pages(spark, n, block):
         wanted += [(d, i + 1, len(cut), t) for i, t in enumerate(cut)]
     got = sorted(tuple(r) for r in documents.text_parts(df, n, block).collect())
     assert got == sorted(wanted)
+
+
+def test_nested_views_are_built_and_read_without_a_shuffle(spark, sf_dir):
+    nested = V.fx_layout(spark, sf_dir)
+    for df in (nested, layout.nested_baseline_gaps(nested), layout.nested_page_margins(nested), layout.nested_page_numbers(nested)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    flat = layout.flatten_layout(nested).filter("block_type = 0").groupBy("doc_id", "page_no").agg(F.count("*"), F.sum("size"), F.max("text"))
+    spans = V.fx_spans(spark, sf_dir).filter("block_type = 0").groupBy("doc_id", "page_no").agg(F.count("*"), F.sum("size"), F.max("text"))
+    assert sorted(flat.collect()) == sorted(spans.collect())
+
+
+def test_pages_with_a_value_are_chosen_without_repeating_its_expression(spark, sf_dir):
+    """A filter on the value would be pushed below its steps and repeat them, once for each use."""
+    df = layout.nested_line_spacing(V.fx_layout(spark, sf_dir))
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in text.splitlines() if "Filter " in line.split("[")[0] and "blocks" in line]
+    assert df.filter("line_spacing is null").count() == 0
