@@ -1,5 +1,6 @@
 """Cover normalisation, document types, case facts, links, page lists."""
 
+import random
 import re
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docketlens import rules as R
 from docketlens.functions import text as X
+from docketlens.operators import evidence
 
 
 def values(spark, column, texts, schema="t string"):
@@ -116,3 +118,19 @@ def test_parts_and_escape(spark):
         ["abc"], ["abc", "d"], [""], [""], ["a\nb", "😀c"]]
     assert values(spark, X.html_escape(F.col("t")), ['<a href="x">&']) == [
         "&lt;a href=&quot;x&quot;&gt;&amp;"]
+
+
+def test_identifiers_by_early_failing_patterns(spark):
+    """The same counts and shortened texts as by the patterns as they are written."""
+    draw = random.Random(3)
+    pieces = ["a@b.com", "_x@y.org", "a@b.comx", "%", "@", ".", " ", "\n", "123-45-6789", "123-456-7890", "-", "/", "born ", "DOB: ",
+              "1/2/1990", "01/12/2001", "4111111111111111", "12", "é", "٣", "Birth", "x", "a.b-c@d-e.fg.hi"]
+    rows = [(i, "".join(draw.choice(pieces) for _ in range(draw.randint(0, 14)))) for i in range(3000)] + [(3000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, full_text string")
+    text = F.col("full_text")
+    for pattern, flags, shortened in evidence.REDACTIONS:
+        text = F.regexp_replace(text, X.rx(pattern, flags), shortened)
+    plain = docs.select("doc_id", *[X.count_matches(F.col("full_text"), p, "i").alias(n) for n, p in evidence.IDENTIFIERS.items()],
+                        text.alias("redacted_text"))
+    assert all(evidence._early(p)[0] != p for p in evidence.IDENTIFIERS.values())
+    assert sorted(evidence.personal_identifiers(docs).collect(), key=str) == sorted(plain.collect(), key=str)
