@@ -63,6 +63,7 @@ def analyse(corpus: Corpus, run_id: str, overrides: DataFrame | None = None,
         judged = catalog.judged_rows(answers)
         if "part_no" in judged.columns:
             judged = catalog.join_parts(judged, checks)
+        judged = stage("judged", judged)  # read by two branches of the merge
         results = catalog.all_results(
             results, catalog.semantic_results(facts.select("doc_id", "brief_type"), checks, judged))
     results = stage("results", results)
