@@ -73,3 +73,12 @@ def test_empty_tables(spark):
     rows = brown.score(odd_docs(spark), model).collect()
     assert len(rows) == len(odd_rows()) and all(math.isfinite(r["score"]) and r["base_score"] <= 0 for r in rows)
     assert brown.score(no_docs(spark), model).count() == 0
+
+
+def test_the_list_of_frequent_words_is_no_cut(spark):
+    """Words beyond the list meet their exact counts in a join: known words and scores do not depend on its size."""
+    docs = odd_docs(spark)
+    def scores(listed):
+        rows = brown.score(docs, brown.train(docs, clustered=1, listed=listed, number=6, rounds=3)).collect()
+        return sorted((r["id"] or -1, r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in rows)
+    assert scores(0) == scores(20) == scores(10 ** 6)
