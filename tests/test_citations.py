@@ -99,3 +99,13 @@ def test_many_hits_in_one_text_take_linear_time(spark):
     seconds(1000)
     few, many = min(seconds(50_000) for _ in range(2)), min(seconds(100_000) for _ in range(2))
     assert many < 3 * few + 0.5
+
+
+def test_texts_are_cut_once_at_their_citations(spark):
+    """The pieces between citations serve both ends of the window: one search for the hits and one for the cuts."""
+    rows = spark.createDataFrame([(1, "1 N.W.2d 2 and 3 N.W.2d 4"), (2, "N.W. of none"), (3, None)], "doc_id long, full_text string")
+    df = citations.with_missing_citations(rows)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("split(full_text") == 1 and text.count("regexp_extract_all(full_text") == 1
+    assert [(r.reporter_cites, r.missing_cites) for r in df.orderBy("doc_id").collect()] == [
+        (2, ["1 N.W.2d 2", "3 N.W.2d 4"]), (0, []), (0, [])]

@@ -134,3 +134,16 @@ def test_identifiers_by_early_failing_patterns(spark):
                         text.alias("redacted_text"))
     assert all(evidence._early(p)[0] != p for p in evidence.IDENTIFIERS.values())
     assert sorted(evidence.personal_identifiers(docs).collect(), key=str) == sorted(plain.collect(), key=str)
+
+
+def test_cheap_ways_give_what_the_patterns_give(spark):
+    """Lengths and capitals of texts that skip the pattern, and of those that must not."""
+    texts = ["", " ", "a", "A", "1", "ABC 12", "ABc", " AB ", "\x1fAB", "AB　", "\xa0\x85", "ÄÖ", "Äö", "AB\x7f", "~A~",
+             "ǅA", "ⅰA", "ⓐA", "Aª", "ʰA", "AB 中", "中", "ßA", "İI", "Iͅ", "\tA", "A\n", "é", " é ", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", X.strip_length(F.col("t")).alias("n"), X.is_all_uppercase(F.col("t")).alias("up"),
+        F.length(X.strip(F.col("t"))).alias("plain_n"),
+        (~F.col("t").rlike(r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]") & F.col("t").rlike(r"\p{L}")).alias("plain_up")).collect()
+    for r in rows:
+        assert (r.n, r.up) == (r.plain_n, r.plain_up), repr(r.t)
+        assert r.t is None or r.n == len(r.t.strip())
