@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlens import rules as R
@@ -122,14 +122,12 @@ def escalate(hard: DataFrame, advised: DataFrame) -> DataFrame:
 def order_results(results: DataFrame) -> DataFrame:
     """SRT-1: failed by falling severity, then passed, then not applicable.
 
-    Adds a position per document instead of sorting the whole corpus.
+    Adds a position per document instead of sorting the whole corpus.  A window, and no
+    list of whole rows, so that only the columns asked for are shuffled and sorted.
     """
-    key = F.struct(result_group().alias("g"), "check_id", "name", "message")
-    rows = F.array_sort(F.collect_list(F.struct(key.alias("k"), F.struct(
-        *[c for c in results.columns if c != "doc_id"]).alias("r"))))
-    return results.groupBy("doc_id").agg(rows.alias("rows")).select(
-        "doc_id", F.posexplode("rows").alias("pos", "row")).select(
-        "doc_id", (F.col("pos") + 1).alias("position"), "row.r.*")
+    order = Window.partitionBy("doc_id").orderBy(result_group(), "check_id", "name", "message")
+    return results.select("doc_id", F.row_number().over(order).alias("position"),
+                          *[c for c in results.columns if c != "doc_id"])
 
 
 def result_group() -> Column:

@@ -104,3 +104,11 @@ def test_single_checks_read_only_what_they_need(spark, sf_dir, expected):
     ids = {"SEC-013", "FMT-009", "PG-002"}
     got = sorted(map(str, run(ids).select(*COLS).collect()))
     assert got == [r for r in expected if any(f"'{i}'" in r.split("name")[0] for i in ids)]
+
+
+def test_ordering_carries_only_what_is_asked_for(spark):
+    rows = spark.createDataFrame([(1, "B", "n", True, "note", True, "m", "d"), (1, "A", "n", False, "note", True, "m", "d")],
+                                 "doc_id long, check_id string, name string, passed boolean, severity string, applicable boolean, message string, details string")
+    df = verdict.order_results(rows).select("doc_id", "check_id", "position")
+    assert "collect_list" not in plan(df) and "details" not in plan(df).split("Exchange")[0]
+    assert sorted(map(tuple, df.collect())) == [(1, "A", 1), (1, "B", 2)]
