@@ -23,8 +23,10 @@ def recommendation_of(rank: Column) -> Column:
             .otherwise("accept"))
 
 
-def failed() -> Column:
-    return ~F.col("passed") & F.col("applicable")
+def failed(r: Column | None = None) -> Column:
+    """Of a result row, or of ``r``, a result in a document's array."""
+    passed, applicable = (F.col("passed"), F.col("applicable")) if r is None else (r["passed"], r["applicable"])
+    return ~passed & applicable
 
 
 def failed_results(results: DataFrame) -> DataFrame:
@@ -71,6 +73,24 @@ def decide(results: DataFrame, *extra: Column) -> DataFrame:
         "check_id", "name", "severity"))))
     summary = results.groupBy("doc_id").agg(
         rank.alias("worst"), failures.alias("failed_list"), *count_columns(), *extra)
+    return _reasoned(summary)
+
+
+def decide_listed(documents: DataFrame) -> DataFrame:
+    """``decide`` where each row is a document with its ``results`` in an array; nothing is shuffled."""
+    def count(condition) -> Column:
+        return F.size(F.filter("results", condition)).cast("long")
+
+    failures = F.array_sort(F.transform(F.filter("results", failed), lambda r: F.struct(
+        *[r[c].alias(c) for c in ("check_id", "name", "severity")])))
+    summary = documents.filter(F.size("results") > 0).withColumn("failed_list", failures).withColumns({
+        "worst": F.array_max(F.transform("failed_list", lambda f: severity_rank(f["severity"]))),
+        "total_checks": F.size("results").cast("long"), "failed_checks": F.size("failed_list").cast("long"),
+        "passed_checks": count(lambda r: r["passed"] & r["applicable"])})
+    return _reasoned(summary)
+
+
+def _reasoned(summary: DataFrame) -> DataFrame:
     deciding = F.expr("filter(failed_list, f -> f.severity = if(worst = 2, 'reject', 'correction'))")
     listed = "array_join(transform(deciding, f -> concat(f.check_id, ' (', f.name, ')')), '; ')"
     reasoning = F.expr(f"""case
@@ -130,7 +150,8 @@ def order_results(results: DataFrame) -> DataFrame:
                           *[c for c in results.columns if c != "doc_id"])
 
 
-def result_group() -> Column:
+def result_group(r: Column | None = None) -> Column:
     """0 reject, 1 correction, 2 note, 3 passed, 4 not applicable."""
-    return (F.when(~F.col("applicable"), 4).when(F.col("passed"), 3)
-            .otherwise(2 - severity_rank(F.col("severity"))))
+    applicable, passed, severity = (
+        F.col(c) if r is None else r[c] for c in ("applicable", "passed", "severity"))
+    return F.when(~applicable, 4).when(passed, 3).otherwise(2 - severity_rank(severity))

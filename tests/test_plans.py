@@ -106,6 +106,20 @@ def test_single_checks_read_only_what_they_need(spark, sf_dir, expected):
     assert got == [r for r in expected if any(f"'{i}'" in r.split("name")[0] for i in ids)]
 
 
+def test_reports_are_made_in_the_row(spark, sf_dir):
+    """Reports of results in their document's row are those of result rows, without a second search or a shuffle."""
+    from docketlens.plans.reports import report_rows
+    from docketlens.sources import writers
+    facts = mechanical.document_facts(V.fx_docs(spark, sf_dir), V.fx_pages(spark, sf_dir), V.fx_spans(spark, sf_dir))
+    facts = facts.localCheckpoint()
+    rows, listed = mechanical.results_of(facts), mechanical.with_results(facts)
+    for apart, within in ((report_rows(facts, rows, "r"), report_rows(listed, None, "r")),
+                          (writers.document_rows(facts, rows), writers.document_rows(listed, None))):
+        assert "Exchange" not in plan(within)
+        text = lambda df: sorted(r[0] for r in df.select(F.to_json(F.struct(*sorted(apart.columns)))).collect())
+        assert sorted(within.columns) == sorted(apart.columns) and text(within) == text(apart)
+
+
 def test_ordering_carries_only_what_is_asked_for(spark):
     rows = spark.createDataFrame([(1, "B", "n", True, "note", True, "m", "d"), (1, "A", "n", False, "note", True, "m", "d")],
                                  "doc_id long, check_id string, name string, passed boolean, severity string, applicable boolean, message string, details string")
